@@ -69,6 +69,18 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     )
 
 
+def keep_first_copies(docs: DataFrame) -> DataFrame:
+    """docs with only the row of least doc_id of each text; all columns stay.
+
+    Rows that share this doc_id and the text are the same document given twice: one of them stays.
+    A text none of whose rows has a doc_id keeps one of them.
+    """
+    rows = docs.withColumn("_digest", digest(F.col("text")))
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    first = rows.join(kept, (F.col("_digest") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return first.dropDuplicates(["_digest"]).drop("_digest")
+
+
 def op8_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
