@@ -49,8 +49,8 @@ RULES = (
     ("assign", seq(_KEYWORDS, _QUOTE, _SPACES, one(b":="), _SPACES, _QUOTE, times(_VALUE, 1, True)), 0, 6),
     ("access", seq(word("AKIA"), times(one(_UPPER), 1, True)), 20, 0),
     ("hex", times(one(b"0123456789abcdef"), 24, True), 24, 0),
-    ("github", seq(word("gh"), one(b"pousr"), word("_"), times(one(ALNUM), 36, True)), 0, 0),
-    ("google", seq(word("AIza"), times(one(ALNUM + b"_-"), 35, True)), 0, 0),
+    ("github", seq(word("gh"), one(b"pousr"), word("_"), times(one(ALNUM), 1, True)), 40, 0),
+    ("google", seq(word("AIza"), times(one(ALNUM + b"_-"), 1, True)), 39, 0),
     ("private_key", seq(word("-----BEGIN "), times(one(ALNUM[:26] + b" "), 0, True), word("PRIVATE KEY-----")), 0, 0),
 )
 BASE = 3
