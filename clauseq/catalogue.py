@@ -2,5 +2,161 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from clauseq.functions.tokens import slug
+from clauseq.operators import language, lexical, tables, vectors
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+_TERMS = """
+terms AS (SELECT item_id AS query_id, unnest(list_distinct_in_order) AS term FROM (
+  SELECT item_id, (list_transform(list_sort(list_transform(list_distinct(t), lambda x: {'p': list_position(t, x), 'x': x})), lambda s: s.x))[1:12] AS list_distinct_in_order
+  FROM (SELECT item_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x) BETWEEN 2 AND 40) AS t FROM benchmark))),
+words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ws FROM documents)
+"""
+_BM25 = f"""{_TERMS},
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM words) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+idf AS (SELECT term, ln(1 + ((SELECT count(*) FROM words) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY term),
+scored AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT avg(len(ws)) FROM words)))), 6) AS score
+  FROM terms JOIN idf USING (term) JOIN tf USING (term) GROUP BY ALL),
+bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 10)
+"""
+
+
+@query(f"WITH {_BM25} SELECT * FROM bm")
+def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.bm25_topk(read(spark, sf_dir, "documents"), asked(spark, sf_dir))
+
+
+@query(f"""WITH {_BM25}, ov AS (
+  SELECT query_id, doc_id, count(*) AS c, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS rank
+  FROM terms JOIN (SELECT doc_id, unnest(list_distinct(ws)) AS term FROM words) USING (term) GROUP BY query_id, doc_id QUALIFY rank <= 10),
+f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score
+  FROM (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM ov) GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""")
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents"), asked(spark, sf_dir)
+    return lexical.rrf([lexical.bm25_topk(docs, items), lexical.overlap_topk(docs, items)])
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 6) AS score,
+       row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 6) DESC, e.vec_id) AS rank
+FROM e q JOIN e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10""")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = read(spark, sf_dir, "embeddings")
+    return vectors.cosine_topk(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
+_HITS = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(s) for s in stop)}))) AS h_{lang}" for lang, stop in language.STOPWORDS.items())
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 30000)), '[a-zà-öø-ÿ]+') AS w FROM documents),
+h AS (SELECT doc_id, len(w) AS n, {_HITS} FROM d), r AS (SELECT *, list_reverse_sort([h_en, h_fr, h_es, h_de]) AS s FROM h)
+SELECT doc_id, CASE WHEN n >= 150 AND s[1] >= 10 AND s[1] >= 2 * s[2] THEN
+  CASE s[1] WHEN h_en THEN 'en' WHEN h_fr THEN 'fr' WHEN h_es THEN 'es' ELSE 'de' END END AS detected FROM r""")
+def langid_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", language.stopword_language(F.col("text")).alias("detected"))
+
+
+@query("SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug, sha256(url)[1:16] AS url_id FROM pages")
+def slug_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", slug(F.col("url")).alias("slug"), F.substring(F.sha2(F.col("url").cast("binary"), 256), 1, 16).alias("url_id"))
+
+
+@query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total,
+  round(100.0 * count(*) FILTER (event_type = 'error') / count(*), 1) AS error_rate FROM events GROUP BY ALL""")
+def stats_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type")
+    wrong = F.count_if(F.col("event_type") == "error")
+    return e.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(100.0 * wrong / F.count(F.lit(1)), 1).alias("error_rate"))
+
+
+@query("""WITH s AS (SELECT event_type, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n
+  FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY value))
+SELECT event_type, min(value) FILTER (i = least(n - 1, CAST(floor(0.5 * n) AS BIGINT))) AS p50,
+       min(value) FILTER (i = least(n - 1, CAST(floor(0.95 * n) AS BIGINT))) AS p95 FROM s GROUP BY event_type""")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.nearest_rank(read(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+
+
+@query("""SELECT user_id, CAST(ts AS DATE) AS day, event_id, count(*) OVER w AS used, count(*) OVER w <= 3 AS allowed
+FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "ts")
+    w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return e.withColumn("used", F.count(F.lit(1)).over(w)).select("user_id", "day", "event_id", "used", (F.col("used") <= 3).alias("allowed"))
+
+
+@query("""SELECT o_custkey, o_orderdate, o_orderkey, lead(o_orderkey) OVER w AS superseded_by, lead(o_orderkey) OVER w IS NULL AS active
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def edition_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.active_editions(read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
+
+
+@query("""SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS valid, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest
+FROM orders GROUP BY o_custkey""")
+def register_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.latest_of(read(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", F.col("o_orderstatus") == "F")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 10 THEN 'small' WHEN l_quantity > 10 AND l_quantity <= 30 THEN 'medium'
+  WHEN l_quantity > 30 THEN 'large' END AS step FROM lineitem""")
+def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = [("small", None, 10, False), ("medium", 10, 30, True), ("large", 30, None, True)]
+    return tables.interval_lookup(read(spark, sf_dir, "lineitem"), "l_quantity", steps).select("l_orderkey", "l_linenumber", "step")
+
+
+@query("""SELECT l_returnflag, count(1) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem WHERE l_quantity >= 10 AND l_linestatus = 'O'
+GROUP BY l_returnflag ORDER BY n DESC, l_returnflag LIMIT 10""")
+def db_find_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = tables.find(
+        read(spark, sf_dir, "lineitem"), [("l_quantity", "ge", 10), ("l_linestatus", "eq", "O")], ["l_returnflag"],
+        [("count", "*", "n"), ("sum", "l_quantity", "qty")], [("n", True), ("l_returnflag", False)],
+    )
+    return got.withColumn("qty", F.round("qty", 2))
+
+
+@query("""SELECT p_partkey, p_name, p_brand FROM part WHERE p_size BETWEEN 5 AND 20 AND p_type ILIKE '%s%' ORDER BY p_partkey LIMIT 25""")
+def db_find_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.find(read(spark, sf_dir, "part"), [("p_size", "between", (5, 20)), ("p_type", "like", "%s%")], order_by=[("p_partkey", False)], limit=25).select("p_partkey", "p_name", "p_brand")
+
+
+@query("""SELECT d.* FROM (SELECT doc_id, source, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) d
+UNION ALL SELECT doc_id, source, lang FROM documents o WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND NOT EXISTS
+ (SELECT 1 FROM documents c WHERE c.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND c.source = o.source AND c.lang = o.lang)""")
+def precedence_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of the lesser tier goes if the better tier has its source and language."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    clean, other = docs.join(good, "doc_id", "left_semi"), docs.join(good, "doc_id", "left_anti")
+    return clean.unionByName(other.join(clean.select("source", "lang").distinct(), ["source", "lang"], "left_anti").select("doc_id", "source", "lang"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, least(CAST(ceil(length(coalesce(text, '')) / 4.0) AS BIGINT), 600) AS tokens FROM conversations)
+SELECT conv_id, turn, tokens, sum(tokens) OVER w <= 300 AS kept FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)""")
+def history_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.least(F.ceil(F.char_length(F.coalesce("text", F.lit(""))) / 4.0), F.lit(600)).cast("long")
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", size.alias("tokens")).withColumn("kept", F.sum("tokens").over(w) <= 300)
