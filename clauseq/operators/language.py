@@ -15,10 +15,14 @@ STOPWORDS = {
 SAMPLE_CHARS, MIN_WORDS, MIN_HITS, DOMINANCE = 30_000, 150, 10, 2.0
 
 
+def _hits(words: Column, stop: list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(stop)))
+
+
 def stopword_language(text: Column) -> Column:
     """en, fr, es or de if its stop words lead clearly, else null. The sample's length is part of the operator; the share of other scripts is not judged."""
     words = F.regexp_extract_all(F.lower(F.substring(text, 1, SAMPLE_CHARS)), F.lit("[a-zà-öø-ÿ]+"), F.lit(0))
-    hits = {lang: F.size(F.filter(words, lambda w, s=stop: w.isin(s))) for lang, stop in STOPWORDS.items()}
+    hits = {lang: _hits(words, stop) for lang, stop in STOPWORDS.items()}
     ranked = F.array_sort(F.array(*hits.values()), lambda a, b: b - a)
     best, second = ranked[0], ranked[1]
     sure = (F.size(words) >= MIN_WORDS) & (best >= MIN_HITS) & (best >= DOMINANCE * second)
