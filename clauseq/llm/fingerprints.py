@@ -53,7 +53,7 @@ def fingerprint(docs: DataFrame, text: str, out: str) -> DataFrame:
     kept = docs.columns
     return (
         docs.withColumn("_words", words)
-        .withColumn("_sorted", F.when(F.size("_words") == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(shingles)))
+        .withColumn("_sorted", F.when(F.size("_words") == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(shingles)))
         .withColumn("_least", F.filter("_sorted", is_first))
         .withColumn("_bins", F.transform("_least", bin_of))
         .withColumn(out, F.when(F.size("_bins") == 0, "").otherwise(F.array_join(packed, "")))
