@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseq.functions.tokens import slug
-from clauseq.operators import language, lexical, tables, vectors
+from clauseq.operators import graph, language, lexical, tables, vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -160,3 +160,146 @@ def history_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.least(F.ceil(F.char_length(F.coalesce("text", F.lit(""))) / 4.0), F.lit(600)).cast("long")
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", size.alias("tokens")).withColumn("kept", F.sum("tokens").over(w) <= 300)
+
+
+@query(f"""WITH {_BM25}, ov AS (
+  SELECT query_id, doc_id, count(*) AS c, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS rank
+  FROM terms JOIN (SELECT doc_id, unnest(list_distinct(ws)) AS term FROM words) USING (term) GROUP BY query_id, doc_id QUALIFY rank <= 10),
+f AS (SELECT query_id, doc_id, round(sum(w / (60 + rank)), 9) AS score
+  FROM (SELECT query_id, doc_id, rank, 1.0::DOUBLE AS w FROM bm UNION ALL SELECT query_id, doc_id, rank, 1.2::DOUBLE FROM ov) GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 15""")
+def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents"), asked(spark, sf_dir)
+    return lexical.rrf([lexical.bm25_topk(docs, items), lexical.overlap_topk(docs, items)], k=15, weights=[1.0, 1.2])
+
+
+@query(f"""WITH {_BM25}, ov AS (
+  SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS rank
+  FROM terms JOIN (SELECT doc_id, unnest(list_distinct(ws)) AS term FROM words) USING (term) GROUP BY query_id, doc_id QUALIFY rank <= 10)
+SELECT query_id, doc_id, lane, rank FROM (SELECT query_id, doc_id, 0 AS lane, rank FROM bm UNION ALL SELECT query_id, doc_id, 1, rank FROM ov)
+QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY lane, rank) = 1""")
+def lane_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents"), asked(spark, sf_dir)
+    return lexical.lanes([lexical.bm25_topk(docs, items), lexical.overlap_topk(docs, items)])
+
+
+@query(f"""WITH {_BM25} SELECT query_id, doc_id, source, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM (
+  SELECT bm.*, source FROM bm JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY rank) <= 2)""")
+def diversity_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most two results of a query have the same source. The cap is the feature; overviews have no counterpart in the tables."""
+    docs = read(spark, sf_dir, "documents")
+    ranked = lexical.bm25_topk(docs, asked(spark, sf_dir)).join(docs.select("doc_id", "source"), "doc_id")
+    own, all_of = Window.partitionBy("query_id", "source").orderBy("rank"), Window.partitionBy("query_id").orderBy("rank")
+    kept = ranked.withColumn("nth", F.row_number().over(own)).where("nth <= 2")
+    return kept.select("query_id", "doc_id", "source", "score", F.row_number().over(all_of).cast("long").alias("place"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IN (1, 2, 3))
+SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 6) AS score,
+       row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 6) DESC, e.vec_id) AS rank
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0) q JOIN e ON e.vec_id <> q.vec_id QUALIFY rank <= 10""")
+def vector_scoped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = read(spark, sf_dir, "embeddings")
+    return vectors.cosine_topk(v.where(F.col("label").isin(1, 2, 3)), v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
+_MASS = ",\n".join(
+    f"m{i + 1} AS (SELECT node, sum(mass) AS mass FROM (SELECT b AS node, 0.85::DOUBLE * mass / degree AS mass FROM m{i} JOIN o ON node = a "
+    f"UNION ALL SELECT node, (1 - 0.85::DOUBLE) * mass FROM m0) GROUP BY node)"
+    for i in range(graph.ITERATIONS)
+)
+
+
+@query(f"""WITH e AS (SELECT 'n' || s_nationkey AS a, 's' || s_suppkey AS b FROM supplier UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), o AS (SELECT a, b, count(*) OVER (PARTITION BY a) AS degree FROM d),
+m0 AS (SELECT 'n' || n_nationkey AS node, 1.0::DOUBLE / count(*) OVER () AS mass FROM nation WHERE n_regionkey = 1),
+{_MASS}
+SELECT node, round(mass, 9) AS mass FROM m{graph.ITERATIONS}""")
+def ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def name(letter: str, column: str):
+        return F.concat(F.lit(letter), F.col(column).cast("string"))
+
+    nations = read(spark, sf_dir, "nation")
+    edges = read(spark, sf_dir, "supplier").select(name("n", "s_nationkey").alias("a"), name("s", "s_suppkey").alias("b"))
+    edges = edges.unionByName(nations.select(name("r", "n_regionkey").alias("a"), name("n", "n_nationkey").alias("b")))
+    return graph.personalized_pagerank(edges, nations.where("n_regionkey = 1").select(name("n", "n_nationkey").alias("node")))
+
+
+@query("""WITH p AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\n+')) AS part, generate_subscripts(string_split_regex(coalesce(text, ''), '\\n+'), 1) - 1 AS ordinal FROM documents)
+SELECT doc_id, ordinal, length(part) AS n_chars, sha256(part) AS part_sha256 FROM p WHERE part <> ''""")
+def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n+")).alias("ordinal", "part"))
+    return parts.where("part <> ''").select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.char_length("part").cast("long").alias("n_chars"), F.sha2(F.col("part").cast("binary"), 256).alias("part_sha256"))
+
+
+@query("""SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)), '') AS title,
+  len(regexp_extract_all(html, '(?i)<p[ >]')) AS paragraphs, len(regexp_extract_all(html, '(?i)<table[ >]')) AS tables FROM pages""")
+def html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def tags(pattern: str):
+        return F.size(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).cast("long")
+
+    title = F.nullif(F.trim(F.regexp_extract("html", "(?is)<title[^>]*>([^<]*)</title>", 1)), F.lit(""))
+    return read(spark, sf_dir, "pages").select("page_id", title.alias("title"), tags("(?i)<p[ >]").alias("paragraphs"), tags("(?i)<table[ >]").alias("tables"))
+
+
+@query("""WITH c AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Z]{2,6}[ -][0-9]{1,6}'))) AS cited FROM documents)
+SELECT doc_id, 'cite:' || lower(replace(cited, ' ', '-')) AS node, count(*) AS n FROM c GROUP BY ALL""")
+def cites_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from documents to what they cite: a series in capitals and a number; spellings of one citation are counted."""
+    cited = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z]{2,6}[ -][0-9]{1,6}"), F.lit(0)))
+    edges = read(spark, sf_dir, "documents").select("doc_id", F.explode(cited).alias("cited"))
+    return edges.groupBy("doc_id", F.concat(F.lit("cite:"), F.lower(F.replace("cited", F.lit(" "), F.lit("-")))).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT p_brand, p_type, count(*) AS members, arg_max(p_partkey, (p_size, p_retailprice, -p_partkey)) AS best
+FROM part GROUP BY p_brand, p_type HAVING count(*) >= 2""")
+def families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = F.max_by("p_partkey", F.struct("p_size", "p_retailprice", -F.col("p_partkey")))
+    return read(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("members"), best.alias("best")).where("members >= 2")
+
+
+@query("""WITH r AS (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS superseded_by FROM orders)
+SELECT r.o_orderkey, superseded_by, s.o_totalprice AS successor_price FROM r LEFT JOIN orders s ON s.o_orderkey = superseded_by""")
+def family_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders")
+    one = tables.active_editions(orders, "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "superseded_by")
+    return one.join(orders.select(F.col("o_orderkey").alias("superseded_by"), F.col("o_totalprice").alias("successor_price")), "superseded_by", "left")
+
+
+@query("""WITH c AS (SELECT 'discount' AS rule, l_discount <= 0.08 AS ok FROM lineitem UNION ALL
+  SELECT 'charge', l_extendedprice * (1 - l_discount) >= 1000 FROM lineitem UNION ALL SELECT 'returned', l_returnflag <> 'R' OR l_linestatus = 'F' FROM lineitem)
+SELECT rule, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (ok IS NULL) AS unknown FROM c GROUP BY rule""")
+def verdict_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = {
+        "discount": F.col("l_discount") <= 0.08, "charge": F.col("l_extendedprice") * (1 - F.col("l_discount")) >= 1000,
+        "returned": (F.col("l_returnflag") != "R") | (F.col("l_linestatus") == "F"),
+    }
+    return tables.verdicts(read(spark, sf_dir, "lineitem"), checks)
+
+
+@query("""SELECT user_id, CAST(ts AS DATE) AS day, event_id, round(sum(value) OVER w, 4) AS spent, round(sum(value) OVER w, 4) <= 100 AS allowed
+FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "ts", "value")
+    w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return e.withColumn("spent", F.round(F.sum("value").over(w), 4)).select("user_id", "day", "event_id", "spent", (F.col("spent") <= 100).alias("allowed"))
+
+
+@query("""WITH m AS (SELECT max(CAST(ts AS DATE)) AS last FROM events)
+SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(ts AS DATE) >= last - 10 AS kept FROM events, m GROUP BY ALL""")
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    last = days.agg(F.max("day").alias("last"))  # one row
+    return days.join(F.broadcast(last)).select("day", "n", (F.col("day") >= F.date_sub("last", 10)).alias("kept"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, min(ts) AS begins, max(ts) AS ends, count(*) AS n FROM s GROUP BY user_id, session""")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user, apart by over 30 minutes; ours, the reference has only daily windows."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    fresh = F.when(F.col("ts") <= F.lag("ts").over(order) + F.expr("INTERVAL 30 MINUTES"), 0).otherwise(1)
+    e = read(spark, sf_dir, "events").withColumn("fresh", fresh)
+    e = e.withColumn("session", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return e.groupBy("user_id", "session").agg(F.min("ts").alias("begins"), F.max("ts").alias("ends"), F.count(F.lit(1)).alias("n")).drop("session")

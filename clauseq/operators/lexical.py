@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +36,18 @@ def bm25_topk(docs: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
     return top(scored, k)
 
 
-def rrf(rankings: list[DataFrame], k: int = 10, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of rankings (query_id, doc_id, rank): the sum of 1 / (constant + rank)."""
-    both = rankings[0].select("query_id", "doc_id", "rank")
-    for r in rankings[1:]:
-        both = both.unionByName(r.select("query_id", "doc_id", "rank"))
-    return top(both.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 9).alias("score")), k)
+def rrf(rankings: list[DataFrame], k: int = 10, constant: int = 60, weights: list[float] | None = None) -> DataFrame:
+    """Reciprocal rank fusion of rankings (query_id, doc_id, rank): the sum of weight / (constant + rank)."""
+    weights = weights or [1.0] * len(rankings)
+    parts = [r.select("query_id", "doc_id", (F.lit(w) / (constant + F.col("rank"))).alias("part")) for r, w in zip(rankings, weights, strict=True)]
+    both = reduce(DataFrame.unionByName, parts)
+    return top(both.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score")), k)
+
+
+def lanes(rankings: list[DataFrame]) -> DataFrame:
+    """query_id, doc_id, lane, rank: the union of rankings; of a document in several, the row of the first lane stays."""
+    both = reduce(DataFrame.unionByName, [r.select("query_id", "doc_id", F.struct(F.lit(i).alias("lane"), "rank").alias("at")) for i, r in enumerate(rankings)])
+    return both.groupBy("query_id", "doc_id").agg(F.min("at").alias("at")).select("query_id", "doc_id", "at.*")
 
 
 def overlap_topk(docs: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:

@@ -71,3 +71,10 @@ def active_editions(docs: DataFrame, family: str, edition: str, key: str) -> Dat
 def latest_of(rows: DataFrame, by: str, order: list[str], value: str, valid: Column) -> DataFrame:
     """Register totals: rows, valid rows and the latest one's value for each group; map-side partial."""
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if(valid).alias("valid"), F.max_by(value, F.struct(*order)).alias("latest"))
+
+
+def verdicts(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """rule, passed, failed, unknown: how many rows each check holds for, does not, or has no value for. One scan; the checks of a row are folded before the shuffle."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), check.alias("ok")) for name, check in checks.items())))
+    counts = F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"), F.count_if(F.col("ok").isNull()).alias("unknown")
+    return rows.select(each.alias("x")).select("x.*").groupBy("rule").agg(*counts)
