@@ -69,8 +69,10 @@ def fit(docs: DataFrame) -> Model:
     The landmarks are dealt evenly to the languages, so that a rare one has its share.
     """
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("text", "lang", "doc_id")
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    rows = sorted((r["lang"], bytes(r["bits"])) for r in packed_presence(sample).collect())
+    # Ids are chosen before texts are read, so no text is shuffled; at most TRAIN_ROWS ids are broadcast.
+    chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi")
+    rows = sorted((r["lang"], bytes(r["bits"])) for r in packed_presence(sample).limit(TRAIN_ROWS).collect())
     if not rows:
         return Model([], np.zeros((0, DIMENSIONS // 8), np.uint8), np.zeros((1, 0)))
     langs = sorted({r[0] for r in rows})
