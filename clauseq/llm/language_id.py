@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,14 +19,16 @@ SPECTRUM, DIMENSIONS = (2, 3, 4), 1 << 14
 TRAIN_ROWS, LANDMARKS, RIDGE = 3000, 192, 1e-2
 #: A text is read in blocks of this many bytes; each gives a presence vector, and their kernels are averaged.
 BLOCK = 2048
-#: The pipeline rejects documents below this score, and those without letters.
-REJECT = 0.1
+#: The pipeline rejects documents whose evidence is not above this share of what all labelled rows but a hundredth reach.
+EVIDENCE, LOWEST = 0.5, 0.01
 
 
 class Model(NamedTuple):
     languages: list[str]
     landmarks: np.ndarray  # packed bits
     weights: np.ndarray  # landmarks + 1 x languages
+    of: np.ndarray  # language of each landmark
+    bound: float  # of the evidence
 
 
 def presence(raw: np.ndarray) -> np.ndarray:
@@ -43,11 +46,21 @@ def presence(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def kernel(bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Normalised presence kernel of two sets of vectors: shared n-grams over the root of both sizes."""
+def shared(bits: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many n-grams each two vectors share, and the sizes of both sets."""
     a, b = bits.astype(np.float32), marks.astype(np.float32)
-    sizes = np.sqrt(np.maximum(a.sum(1), 1))[:, None] * np.sqrt(np.maximum(b.sum(1), 1))[None, :]
-    return (a @ b.T) / sizes
+    return a @ b.T, np.maximum(a.sum(1), 1)[:, None], np.maximum(b.sum(1), 1)[None, :]
+
+
+def kernel(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Normalised presence kernel of two sets of vectors: shared n-grams over the root of both sizes."""
+    return common / (np.sqrt(a) * np.sqrt(b))
+
+
+def lift(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The share of a text's n-grams that a landmark has, over chance: 1 if all, 0 if as many as of any hashed text."""
+    chance = np.minimum(b / DIMENSIONS, 0.999)
+    return (common / a - chance) / (1 - chance)
 
 
 def packed_presence(docs: DataFrame) -> DataFrame:
@@ -72,64 +85,81 @@ def fit(docs: DataFrame) -> Model:
     # Ids are chosen before texts are read, so no text is shuffled; at most TRAIN_ROWS ids are broadcast.
     chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi")
-    rows = sorted((r["lang"], bytes(r["bits"])) for r in packed_presence(sample).limit(TRAIN_ROWS).collect())
+    # In the order of a hash: by the bits themselves the landmarks would be the shortest texts.
+    rows = sorted((r["lang"], zlib.crc32(r["bits"]), bytes(r["bits"])) for r in packed_presence(sample).limit(TRAIN_ROWS).collect())
     if not rows:
-        return Model([], np.zeros((0, DIMENSIONS // 8), np.uint8), np.zeros((1, 0)))
+        return Model([], np.zeros((0, DIMENSIONS // 8), np.uint8), np.zeros((1, 0)), np.zeros(0, int), 0.0)
     langs = sorted({r[0] for r in rows})
-    packed = np.stack([np.frombuffer(r[1], np.uint8) for r in rows])
+    packed = np.stack([np.frombuffer(r[2], np.uint8) for r in rows])
     of = np.array([langs.index(r[0]) for r in rows])
     turn = np.array([np.count_nonzero(of[:i] == of[i]) for i in range(len(of))])
-    marks = packed[np.sort(np.lexsort((of, turn))[:LANDMARKS])]
-    k = kernel(np.unpackbits(packed, axis=1), np.unpackbits(marks, axis=1))
+    at = np.sort(np.lexsort((of, turn))[:LANDMARKS])
+    marks = packed[at]
+    common = shared(np.unpackbits(packed, axis=1), np.unpackbits(marks, axis=1))
+    # Each row's evidence for its own language, by the landmarks but itself; a row without another landmark says nothing.
+    own = (of[:, None] == of[at]) & (np.arange(len(of))[:, None] != at)
+    reached = (lift(*common) * own).sum(1)[own.any(1)] / own.sum(1)[own.any(1)]
+    bound = max(0.0, EVIDENCE * float(np.quantile(reached, LOWEST))) if len(reached) else 0.0
+    k = kernel(*common)
     k = np.hstack([k, np.ones((len(k), 1))]).astype(np.float64)
     target = (of[:, None] == np.arange(len(langs))).astype(np.float64)
     weight = (len(of) / (len(langs) * np.maximum(target.sum(0), 1)))[of][:, None]
     weights = np.linalg.solve(k.T @ (k * weight) + RIDGE * np.eye(k.shape[1]), k.T @ (target * weight))
-    return Model(langs, marks, weights)
+    return Model(langs, marks, weights, of[at], bound)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per document: doc_id, lang_pred, score (0 to 1), and every other column of docs but these.
+    """One row per document: doc_id, lang_pred, score (0 to 1), _evidence, and every other column of docs but these.
+
+    The scores of a text sum to 1 over the languages, so they compare languages and
+    cannot tell a text of none; _evidence can: the mean lift by the landmarks of
+    lang_pred, 0 or less where the text has no more of their n-grams than chance.
 
     lang_pred is `und` with score 0 where text is null or has no letter, and
     where the model knows no language. A long text's blocks are all scored and
     averaged by their bytes. Ties go to the first language in alphabetical order.
     """
-    keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS rows of fixed size
+    keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "_evidence")]
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS rows of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         letter = regex.compile(r"\p{L}")
-        m = shared.value
+        m = sent.value
         marks = np.unpackbits(m.landmarks, axis=1) if len(m.landmarks) else None
+        ours = (m.of[:, None] == np.arange(len(m.languages))) / np.maximum(np.bincount(m.of, minlength=len(m.languages)), 1)
         for batch in batches:
             raw, at = text_bytes(batch.column("text"))
             texts = batch.column("text")
             spans = [(r, s, min(s + BLOCK, at[r + 1])) for r in range(batch.num_rows) for s in range(at[r], at[r + 1], BLOCK)]
-            total = np.zeros((batch.num_rows, len(m.languages)))
+            total, lifts = np.zeros((batch.num_rows, len(m.languages))), np.zeros((batch.num_rows, len(m.languages)))
             for lo in range(0, len(spans) if m.languages else 0, 256):
                 part = spans[lo : lo + 256]
-                k = kernel(np.stack([presence(raw[s:e]) for _, s, e in part]), marks)
+                common = shared(np.stack([presence(raw[s:e]) for _, s, e in part]), marks)
+                k = kernel(*common)
                 said = np.hstack([k, np.ones((len(k), 1))]) @ m.weights
-                np.add.at(total, [p[0] for p in part], said * np.array([[e - s] for _, s, e in part]))
+                row, length = [p[0] for p in part], np.array([[e - s] for _, s, e in part])
+                np.add.at(total, row, said * length)
+                np.add.at(lifts, row, (lift(*common) @ ours) * length)
             size = np.diff(at)
-            langs, scores = [], []
+            langs, scores, evidence = [], [], []
             for r in range(batch.num_rows):
                 if not m.languages or not size[r] or not letter.search(texts[r].as_py()):
                     langs.append("und")
                     scores.append(0.0)
+                    evidence.append(0.0)
                 else:
                     best = int(np.argmax(total[r]))
                     langs.append(m.languages[best])
                     scores.append(float(min(1.0, max(0.0, total[r, best] / size[r]))))
-            arrays = [batch.column(f.name) for f in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in keep] + ["lang_pred", "score"])
+                    evidence.append(float(lifts[r, best] / size[r]))
+            arrays = [batch.column(f.name) for f in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(evidence, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in keep] + ["lang_pred", "score", "_evidence"])
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    schema = StructType([*keep, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*keep, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("_evidence", DoubleType())])
     return docs.select(*[f.name for f in keep]).mapInArrow(run, schema)
 
 
@@ -145,9 +175,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language is undetermined (no letters, or a score under REJECT); all columns stay."""
+    """docs without the rows whose language is undetermined (no letters, or evidence not above the model's bound); all columns stay."""
     names = docs.columns
-    return predict(docs, fit(held_out(docs).where(~F.col("held_out")))).where((F.col("lang_pred") != "und") & (F.col("score") >= REJECT)).select(*names)
+    model = fit(held_out(docs).where(~F.col("held_out")))
+    return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("_evidence") > model.bound)).select(*names)
 
 
 def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
