@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseq.llm.staging import shared_folder
+
 #: Fixed by the contract: verdict, rule (host/path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Segments of the tree; what lies deeper is one wildcard.
-DEPTH = 4
 #: A node whose children are at least so many, and so large a share of its urls, has variable children.
 FANOUT, SPREAD = 8, 0.3
-#: Weight of the smoothing prior in urls, standard errors that set a branch apart, share that rejects a template.
+#: Weight of the smoothing prior in labelled urls, standard errors that set a branch apart, share that rejects a template.
 PRIOR, APART, REJECT = 4.0, 2.0, 0.6
 
 
@@ -38,39 +41,62 @@ def rule_of(host: Column, path: Column, rules: tuple) -> Column:
 def coarse(path: Column) -> Column:
     """The path with the segments that vary by their look as wildcards: numbers, dates, long hexadecimal names; an extension stays."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    looks = F.transform(segments, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[0-9a-f]{8,}(?=\.|$)|^[0-9a-f]{4,}-[0-9a-f-]+(?=\.|$)", "*"), r"[0-9]+", "*"))
-    return F.when(F.size(looks) > DEPTH, F.concat(F.slice(looks, 1, DEPTH), F.array(F.lit("**")))).otherwise(looks)
+    return F.transform(segments, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[0-9a-f]{8,}(?=\.|$)|^[0-9a-f]{4,}-[0-9a-f-]+(?=\.|$)", "*"), r"[0-9]+", "*"))
+
+
+def deeper(tree: DataFrame) -> DataFrame:
+    """tree with one segment more in each template; a node all of whose rows have one path left takes it whole."""
+    tree = tree.withColumn("seg", F.get("rest", F.lit(0)))
+    counts = [F.sum(c).alias(c) for c in ("n", "bad", "good")]
+    child = tree.groupBy("host", "template", "seg").agg(*counts, F.min("rest").alias("low"), F.max("rest").alias("high"))
+    node = child.groupBy("host", "template").agg(
+        F.count(F.lit(1)).alias("kids"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "bad", "good")), (F.min("low") == F.max("high")).alias("only")
+    )
+    told, rest = F.col("bad") + F.col("good"), F.col("all_bad") + F.col("all_good") - F.col("bad") - F.col("good")
+    share, others = F.col("bad") / F.greatest(told, F.lit(1)), (F.col("all_bad") - F.col("bad")) / F.greatest(rest, F.lit(1))
+    pooled = F.col("all_bad") / F.greatest(told + rest, F.lit(1))
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(told, F.lit(1)) + 1 / F.greatest(rest, F.lit(1))) + 1e-9)
+    # Without labels on either side nothing sets the branch apart.
+    alike = (F.col("kids") > 1) & ((told == 0) | (rest == 0) | (F.abs(share - others) <= APART * error))
+    variable = (F.col("kids") >= FANOUT) & (F.col("kids") >= SPREAD * F.col("all_n"))
+    named = child.join(node, ["host", "template"]).select("host", "template", "seg", "only", F.when(variable | alike, "*").otherwise(F.col("seg")).alias("name"))
+    tree = tree.join(named, ["host", "template", "seg"])
+    return tree.select(
+        "host", "shape", "n", "bad", "good",
+        F.concat("template", F.lit("/"), F.when(F.col("only"), F.array_join("rest", "/")).otherwise(F.col("name"))).alias("template"),
+        F.when(F.col("only"), F.slice("rest", 1, 0)).otherwise(F.expr("slice(rest, 2, size(rest))")).alias("rest"),
+    )
 
 
 def templates(paths: DataFrame) -> DataFrame:
     """(host, shape) -> template and rejected.
 
     paths: host, shape (array of segments), n urls, bad and good (urls that a rule
-    blocks or allows). Level by level, a node's children become one wildcard where they are
-    variable; of the others, those whose share of blocked urls is within APART
-    standard errors of all their siblings' together are merged. A leaf is rejected
-    if its share of blocked urls, smoothed towards the share over all hosts, reaches
-    REJECT. Every statistic is over all urls. The table has one row for each distinct shape of a host.
+    blocks or allows). Level by level, down to the last segment of the longest path,
+    a node's children become one wildcard where they are variable; of the others,
+    those whose share of blocked urls is within APART standard errors of all their
+    siblings' together are merged. A leaf is rejected if its share of blocked urls,
+    smoothed towards the share over all hosts, reaches REJECT. Shares are of the urls
+    with a rule; a url without one has no label, and takes that of the template it
+    falls into. Each level is written to the folder of spark.checkpoint.dir. The
+    table has one row for each distinct shape of a host.
     """
-    tree = paths.withColumn("template", F.lit(""))
-    for level in range(DEPTH):
-        tree = tree.withColumn("seg", F.get("shape", F.lit(level)))
-        child = tree.where("seg IS NOT NULL").groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
-        rest_n, rest_bad = F.col("all_n") - F.col("n"), F.col("all_bad") - F.col("bad")
-        share, pooled = F.col("bad") / F.col("n"), F.col("all_bad") / F.col("all_n")
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / F.greatest(rest_n, F.lit(1))) + 1e-9)
-        alike = (rest_n > 0) & (F.abs(share - rest_bad / F.greatest(rest_n, F.lit(1))) <= APART * error)
-        variable = (F.col("kids") >= FANOUT) & (F.col("kids") >= SPREAD * F.col("all_n"))
-        named = child.join(node, ["host", "template"]).select("host", "template", "seg", F.when(variable | alike, "*").otherwise(F.col("seg")).alias("name"))
-        tree = tree.join(named, ["host", "template", "seg"], "left").withColumn(
-            "template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))
-        ).drop("seg", "name")
-    tree = tree.withColumn("template", F.when(F.size("shape") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
-    prior = paths.agg((F.coalesce(F.sum("bad"), F.lit(0)) / F.greatest(F.sum("n"), F.lit(1))).alias("prior"))
-    leaf = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    spark = paths.sparkSession
+    folder = f"{shared_folder(spark)}/templates-{uuid.uuid4().hex}"
+    tree = paths.select("host", "shape", "n", "bad", "good", F.lit("").alias("template"), F.col("shape").alias("rest"))
+    schema = tree.schema
+    for level in itertools.count():
+        tree.write.parquet(f"{folder}/level={level}")
+        tree = spark.read.schema(schema).parquet(f"{folder}/level={level}").where(F.size("rest") > 0)
+        if tree.isEmpty():
+            break
+        tree = deeper(tree)
+    tree = spark.read.schema(schema).parquet(folder).where(F.size("rest") == 0)
+    told = F.sum("bad") + F.sum("good")
+    prior = tree.agg(F.coalesce(F.sum("bad") / F.greatest(told, F.lit(1)), F.lit(0.0)).alias("prior"))
+    leaf = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), told.alias("told"))
     # The prior is one row.
-    leaf = leaf.join(F.broadcast(prior)).select("host", "template", ((F.col("bad") + PRIOR * F.col("prior")) / (F.col("n") + PRIOR) >= REJECT).alias("rejected"))
+    leaf = leaf.join(F.broadcast(prior)).select("host", "template", ((F.col("bad") + PRIOR * F.col("prior")) / (F.col("told") + PRIOR) >= REJECT).alias("rejected"))
     return tree.select("host", "shape", "template").join(leaf, ["host", "template"])
 
 

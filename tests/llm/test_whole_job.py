@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from clauseq.llm import language_id
+from clauseq.llm import language_id, url_filter
 
 
 def test_language_stage_rejects_junk_and_foreign_scripts(spark):
@@ -22,3 +22,58 @@ def test_language_stage_rejects_junk_and_foreign_scripts(spark):
     assert not [i for i in ids if i < 0]
     lettered = {r["doc_id"] for r in language_id.held_out(rows).where("held_out").where(F.col("text").rlike(r"\p{L}")).collect()}
     assert lettered and lettered <= ids
+
+
+def tree_of(shapes):
+    """(host, segments) -> (template, rejected), level by level in plain Python; shapes: (host, segments) -> [n, bad, good]."""
+    name = {k: "" for k in shapes}
+    for level in range(max(len(s) for _, s in shapes)):
+        nodes = {}
+        for h, s in shapes:
+            if len(s) > level:
+                nodes.setdefault((h, name[h, s]), {}).setdefault(s[level], []).append((h, s))
+        for kids in nodes.values():
+            counts = {seg: [sum(shapes[k][i] for k in keys) for i in range(3)] for seg, keys in kids.items()}
+            n, bad, good = (sum(c[i] for c in counts.values()) for i in range(3))
+            for seg, keys in kids.items():
+                told, rest = sum(counts[seg][1:]), bad + good - sum(counts[seg][1:])
+                alike = len(kids) > 1
+                if told and rest:
+                    share, others, pooled = counts[seg][1] / told, (bad - counts[seg][1]) / rest, bad / (bad + good)
+                    alike &= abs(share - others) <= 2 * (pooled * (1 - pooled) * (1 / told + 1 / rest) + 1e-9) ** 0.5
+                variable = len(kids) >= 8 and len(kids) >= 0.3 * n
+                for k in keys:
+                    name[k] += "/" + ("*" if variable or alike else seg)
+    prior = sum(c[1] for c in shapes.values()) / max(1, sum(c[1] + c[2] for c in shapes.values()))
+    leaves = {}
+    for (h, s), (_, bad, good) in shapes.items():
+        leaf = leaves.setdefault((h, name[h, s]), [0, 0])
+        leaf[0], leaf[1] = leaf[0] + bad, leaf[1] + bad + good
+    return {k: (t, (leaves[k[0], t][0] + 4 * prior) / (leaves[k[0], t][1] + 4) >= 0.6) for k, t in name.items()}
+
+
+def test_templates_reach_the_last_segment(spark):
+    rng = random.Random(9)
+    shapes = {}
+    for _ in range(400):
+        shape = tuple(rng.choice("abc") for _ in range(rng.randint(0, 7)))
+        count = shapes.setdefault((rng.choice(["x", "y", "z"]), shape), [0, 0, 0])
+        n, bad = rng.randint(1, 30), rng.random() < (0.9 if shape[4:5] == ("a",) else 0.2)
+        labelled = n if rng.random() < 0.6 else 0
+        for i, v in enumerate((n, labelled * bad, labelled * (not bad))):
+            count[i] += v
+    shapes["x", tuple("abcabcabcabc")] = [3, 0, 0]
+    paths = spark.createDataFrame([(h, list(s), *c) for (h, s), c in shapes.items()], "host string, shape array<string>, n long, bad long, good long")
+    got = {(r["host"], tuple(r["shape"])): (r["template"], r["rejected"]) for r in url_filter.templates(paths).collect()}
+    assert got == tree_of(shapes)
+    assert len({r for _, r in got.values()}) == 2
+
+
+def test_urls_without_rule_take_the_label_of_their_template(spark):
+    rules = (("block", "bad.com/de/"), ("allow", "good.org/fr/"), ("block", "deep.net/a/b/c/d/e/x"), ("allow", "deep.net/a/b/c/d/f/x"))
+    starts = ["bad.com/de/", "bad.com/en/", "good.org/fr/", "good.org/en/"] + [f"deep.net/a/b/c/d/{s}" for s in ("e/x", "e/y", "f/x", "f/y")]
+    urls = [f"http://{s}{i}" for s in starts for i in range(20)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, rules).collect()}
+    assert [got[20 * k]["verdict"] for k in range(8)] == ["block", "block", "allow", "allow", "block", "block", "allow", "allow"]
+    assert got[20]["rule"] is None and got[100]["template"] == "/a/b/c/d/e/*" and got[140]["template"] == "/a/b/c/d/f/*"
