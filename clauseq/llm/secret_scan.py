@@ -54,6 +54,13 @@ RULES = (
     ("private_key", seq(word("-----BEGIN "), times(one(ALNUM[:26] + b" "), 0, True), word("PRIVATE KEY-----")), 0, 0),
 )
 BASE = 3
+_BASE64, _BLANK = ALNUM + b"+/=", b" \t\r\n\\"
+_BODY = one(_BASE64 + _BLANK + b":,\"'")
+#: What follows the private_key rule's line: headers and key to the END line, none of it with two dashes running; without an END line, runs of 16 characters or more.
+KEY_REST = either(
+    seq(times(either(_BODY, seq(one(b"-"), _BODY)), 0, True), word("-----END "), times(one(ALNUM[:26] + b" "), 0, True), word("PRIVATE KEY-----")),
+    times(seq(times(one(_BLANK), 0, True), times(one(_BASE64), 16, True)), 0, True),
+)
 
 
 class Automaton(NamedTuple):
@@ -149,14 +156,15 @@ def compile_rules(rules: list[tuple], anywhere: bool) -> Automaton:
 
 
 @lru_cache(None)
-def automata() -> tuple[Automaton, list[Automaton]]:
-    """The automaton of all rules, and of each rule read backwards from its end."""
-    return compile_rules([r[1] for r in RULES], True), [compile_rules([_reversed(r[1])], False) for r in RULES]
+def automata() -> tuple[Automaton, list[Automaton], Automaton]:
+    """The automaton of all rules, of each rule read backwards from its end, and of a private key after its first line."""
+    return compile_rules([r[1] for r in RULES], True), [compile_rules([_reversed(r[1])], False) for r in RULES], compile_rules([KEY_REST], False)
 
 
 class Scanner:
     def __init__(self) -> None:
-        forward, self.back = automata()
+        forward, self.back, self.rest = automata()
+        self.key = [r[0] for r in RULES].index("private_key")
         self.table, self.accepts = forward.step.ravel(), forward.accepts
         self.rows = forward.step.tolist()
         #: Bytes that bring each state to the start: the bytes between two of them can be read on their own.
@@ -206,6 +214,15 @@ class Scanner:
             pos = i
         return out
 
+    def key_end(self, raw: np.ndarray, i: int) -> int:
+        """Where the private key ends whose first line ends at i; no byte is read after the first that no key goes on with."""
+        step, accepts = self.rest
+        state, end = 0, i
+        while i < len(raw) and (accepts[state := step[state, raw[i]]] or not (step[state] == state).all()):
+            i += 1
+            end = i if accepts[state] else end
+        return end
+
     def scan(self, raw: np.ndarray, at: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """For each row with any: (start, rule, end) in bytes, sorted."""
         if not len(raw):
@@ -220,7 +237,10 @@ class Scanner:
             data, shift = raw[cuts[c] : ends[c]].tobytes(), int(cuts[c] - at[row])
             for k in range(len(RULES)):
                 if flags[c] >> k & 1:
-                    out.setdefault(row, []).extend((s + shift, k, e + shift) for s, e in self.spans(data, k))
+                    found = [(s + shift, k, e + shift) for s, e in self.spans(data, k)]
+                    if k == self.key:
+                        found = [(s, k, self.key_end(raw[at[row] : at[row + 1]], e)) for s, _, e in found]
+                    out.setdefault(row, []).extend(found)
         return {r: sorted(v) for r, v in out.items() if v}
 
 
