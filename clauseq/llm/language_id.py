@@ -8,15 +8,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseq.llm.textkit import U64, mix, text_bytes
 
 #: Lengths of the byte n-grams of the blended spectrum; presence bits of a text.
 SPECTRUM, DIMENSIONS = (2, 3, 4), 1 << 14
-#: Labelled rows the model is fitted on at most, landmarks among them, ridge.
-TRAIN_ROWS, LANDMARKS, RIDGE = 3000, 192, 1e-2
+#: Labelled rows the model is fitted on, shared out evenly to the languages; least share of one; blocks of a text at most; landmarks among them; ridge.
+TRAIN_ROWS, LEAST_ROWS, TRAIN_BLOCKS, LANDMARKS, RIDGE = 3000, 20, 3, 192, 1e-2
 #: A text is read in blocks of this many bytes; each gives a presence vector, and their kernels are averaged.
 BLOCK = 2048
 #: The pipeline rejects documents whose evidence is not above this share of what all labelled rows but a hundredth reach.
@@ -64,46 +64,65 @@ def lift(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def packed_presence(docs: DataFrame) -> DataFrame:
+    """lang, the presence bits of at most TRAIN_BLOCKS blocks of the text, those of least hash, the longest first, and their lengths."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = text_bytes(batch.column("text"))
-            # The block in the middle stands for the text in training; predictions read all blocks.
-            bits = [np.packbits(presence(raw[max(s, (s + e - BLOCK) // 2) : min(e, (s + e + BLOCK) // 2)])).tobytes() for s, e in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(bits, pa.binary())], ["lang", "bits"])
+            bits, sizes = [], []
+            for s, e in zip(at[:-1], at[1:], strict=True):
+                parts = sorted((raw[i : min(e, i + BLOCK)] for i in range(s, max(e, s + 1), BLOCK)), key=lambda p: (zlib.crc32(p.tobytes()), p.tobytes()))
+                parts = sorted(parts[:TRAIN_BLOCKS], key=len, reverse=True)
+                bits.append(b"".join(np.packbits(presence(p)).tobytes() for p in parts))
+                sizes.append([len(p) for p in parts])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), pa.array(bits, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))], ["lang", "bits", "sizes"]
+            )
 
-    return docs.select("text", "lang").mapInArrow(run, "lang string, bits binary")
+    return docs.select("text", "lang").mapInArrow(run, "lang string, bits binary, sizes array<int>")
 
 
 def fit(docs: DataFrame) -> Model:
     """Kernel ridge regression of each language against the rest, on labelled rows with text.
 
-    The rows are at most TRAIN_ROWS, those with the least hash of doc_id: the bound
-    is this model's parameter. Only their presence bits (2 KB each) reach the driver.
+    Each language has an even share of TRAIN_ROWS, but LEAST_ROWS at least, and gives
+    its rows of least hash of doc_id, so that a rare one is learnt too: the bound is
+    this model's parameter. Only their presence bits (2 KB a block) reach the driver.
     The landmarks are dealt evenly to the languages, so that a rare one has its share.
     """
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("text", "lang", "doc_id")
-    # Ids are chosen before texts are read, so no text is shuffled; at most TRAIN_ROWS ids are broadcast.
-    chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi")
+    # Ids are chosen before texts are read, so no text is shuffled; at most `share` ids of a language are broadcast.
+    ids = labelled.select("doc_id", "lang").distinct()
+    known = labelled.select("lang").distinct().count()
+    share = max(LEAST_ROWS, TRAIN_ROWS // max(1, known))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = ids.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= share).select("doc_id", "lang")
+    sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     # In the order of a hash: by the bits themselves the landmarks would be the shortest texts.
-    rows = sorted((r["lang"], zlib.crc32(r["bits"]), bytes(r["bits"])) for r in packed_presence(sample).limit(TRAIN_ROWS).collect())
+    rows = packed_presence(sample).limit(share * max(1, known)).collect()
+    rows = sorted((r["lang"], zlib.crc32(r["bits"]), bytes(r["bits"]), r["sizes"]) for r in rows)
     if not rows:
         return Model([], np.zeros((0, DIMENSIONS // 8), np.uint8), np.zeros((1, 0)), np.zeros(0, int), 0.0)
     langs = sorted({r[0] for r in rows})
-    packed = np.stack([np.frombuffer(r[2], np.uint8) for r in rows])
-    of = np.array([langs.index(r[0]) for r in rows])
-    turn = np.array([np.count_nonzero(of[:i] == of[i]) for i in range(len(of))])
-    at = np.sort(np.lexsort((of, turn))[:LANDMARKS])
+    text = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+    packed = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(text), -1)
+    part = np.concatenate([np.maximum(r[3], 1) / np.maximum(r[3], 1).sum() for r in rows])  # of its text
+    lang = np.array([langs.index(r[0]) for r in rows])
+    of, first = lang[text], np.searchsorted(text, np.arange(len(rows)))
+    turn = np.arange(len(rows)) - np.searchsorted(lang, lang)
+    at = first[np.sort(np.lexsort((lang, turn))[:LANDMARKS])]
     marks = packed[at]
-    common = shared(np.unpackbits(packed, axis=1), np.unpackbits(marks, axis=1))
-    # Each row's evidence for its own language, by the landmarks but itself; a row without another landmark says nothing.
-    own = (of[:, None] == of[at]) & (np.arange(len(of))[:, None] != at)
-    reached = (lift(*common) * own).sum(1)[own.any(1)] / own.sum(1)[own.any(1)]
+    bits = np.unpackbits(marks, axis=1)
+    each = [shared(np.unpackbits(packed[i : i + 512], axis=1), bits) for i in range(0, len(packed), 512)]
+    common = (np.concatenate([c[0] for c in each]), np.concatenate([c[1] for c in each]), each[0][2])
+    # Each text's evidence for its own language, by the landmarks of other texts; one without such a landmark says nothing.
+    own = (of[:, None] == of[at]) & (text[:, None] != text[at])
+    reached = np.bincount(text, part * (lift(*common) * own).sum(1) / np.maximum(own.sum(1), 1))[own.any(1)[first]]
     bound = max(0.0, EVIDENCE * float(np.quantile(reached, LOWEST))) if len(reached) else 0.0
     k = kernel(*common)
     k = np.hstack([k, np.ones((len(k), 1))]).astype(np.float64)
     target = (of[:, None] == np.arange(len(langs))).astype(np.float64)
-    weight = (len(of) / (len(langs) * np.maximum(target.sum(0), 1)))[of][:, None]
+    weight = (part * (len(rows) / (len(langs) * np.bincount(lang, minlength=len(langs))))[of])[:, None]
     weights = np.linalg.solve(k.T @ (k * weight) + RIDGE * np.eye(k.shape[1]), k.T @ (target * weight))
     return Model(langs, marks, weights, of[at], bound)
 

@@ -95,3 +95,28 @@ def test_private_keys_go_to_their_end_line(spark):
     assert got[6] == f"The line [REDACTED] begins a key. {last} ends it."
     spans = {r["doc_id"]: r["spans"] for r in secret_scan.find_secrets(docs).collect()}
     assert spans[0].split(",")[0] == f"private_key:10:{10 + len(keys[0])}"
+
+
+def test_a_rare_language_is_learnt(spark):
+    rng = random.Random(4)
+
+    def text(words):
+        return " ".join(rng.choice(words) for _ in range(40))
+
+    common, rare = ["the", "and", "house", "which", "there", "under"], ["ja", "talo", "joka", "siellä", "alla", "yksi"]
+    rows = [(i, text(rare if i % 1000 == 7 else common), "fi" if i % 1000 == 7 else "en") for i in range(12000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    # The ids of the rare language are those whose hash is not among the least 3,000 of all.
+    least = {r["doc_id"] for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(3000).collect()}
+    docs = docs.where(~((F.col("lang") == "fi") & F.col("doc_id").isin(*least)))
+    model = language_id.fit(docs)
+    assert model.languages == ["en", "fi"]
+    got = {r["lang_pred"] for r in language_id.predict(docs.where("lang = 'fi'"), model).collect()}
+    assert got == {"fi"}
+
+
+def test_training_reads_more_than_the_middle(spark):
+    blocks = ["a" * 2048, "b" * 2048, "c" * 2048]
+    docs = spark.createDataFrame([("".join(blocks), "en"), ("", "en")], "text string, lang string")
+    got = sorted(tuple(r["sizes"]) for r in language_id.packed_presence(docs).collect())
+    assert got == [(0,), (2048, 2048, 2048)]
