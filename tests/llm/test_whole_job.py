@@ -1,9 +1,12 @@
 """Cases that the operators once left out."""
 
 import random
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from clauseq.llm import language_id, secret_scan, url_filter
 
 
@@ -120,3 +123,11 @@ def test_training_reads_more_than_the_middle(spark):
     docs = spark.createDataFrame([("".join(blocks), "en"), ("", "en")], "text string, lang string")
     got = sorted(tuple(r["sizes"]) for r in language_id.packed_presence(docs).collect())
     assert got == [(0,), (2048, 2048, 2048)]
+
+
+def test_the_packed_corpus_has_its_token_ids(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four " * 3000)], "doc_id long, text string")
+    rows = corpus_pipeline.packing(spark, docs, "").collect()
+    assert {r["doc_id"] for r in rows} == {1, 2}
+    for r in rows:
+        assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
