@@ -13,9 +13,12 @@ MAX_ROUNDS = 60
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; one of our own only where it is unset and all runs in one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="clauseq-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -26,11 +29,21 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*steps: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in steps:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable over edges (columns a, b, longs); nodes without edges are absent.
+    """(node, component), staged: the least node reachable over edges (columns a, b, longs); nodes without edges are absent.
 
     Alternates the large-star and small-star steps, which keep the components and
     shrink them to stars. Each step is a grouped minimum and a join, so neither a
@@ -44,11 +57,15 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        e = staged(small.where("a <> b").distinct())
+        before, e = e, staged(small.where("a <> b").distinct())
+        unstage(before)
         mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == last:
-            return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(
-                e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
+            out = staged(
+                e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+                .unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            )
+            unstage(e)
+            return out
         last = mark
     raise RuntimeError("connected components did not settle")
