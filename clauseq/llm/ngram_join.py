@@ -10,13 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseq.llm.bitmaps import map_of, perhaps
 from clauseq.llm.staging import components, staged, unstage
 from clauseq.llm.textkit import U64, WordHasher, blocks, mix, shingle_sets, text_bytes
 
 #: Shingles are counted in so many buckets by hash, whatever the size of the corpus.
 COUNT_BITS = 18
-#: Bits of the map of ids that are asked for: 8 MB, whatever the size of the corpus. Where it fills up it only spares less of a shuffle.
-ASKED_BITS = 26
 #: Bytes of text whose sets are held at a time.
 HELD = 8 << 20
 
@@ -67,25 +66,12 @@ def _prefixes(width: int, percent: int, shared):
     return run
 
 
-def _place(ids: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (mix(ids.astype(np.int64).view(U64) ^ U64(0x2545F4914F6CDD1D)) >> U64(64 - ASKED_BITS)).astype(np.int64)
-
-
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = _place(batch.column("id").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((U64(1) << (at & 63).astype(U64)).view(np.int64))], ["word", "bits"])
-
-
 def _asked_texts(shared):
-    """Compressed texts of the rows whose id's bit is set."""
+    """Compressed texts of the rows whose id may be asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            at = _place(batch.column("id").to_numpy())
-            keep = np.flatnonzero(bits[at >> 6] >> (at & 63).astype(U64) & U64(1))
+            keep = np.flatnonzero(perhaps(shared.value, batch.column("id").to_numpy()))
             raw, rows = text_bytes(batch.column("text").take(pa.array(keep)))
             texts = [zlib.compress(raw[s:e].tobytes(), 1) for s, e in zip(rows[:-1], rows[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep)), pa.array(texts, pa.binary())], ["id", "packed"])
@@ -165,11 +151,7 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that link."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        words = ids.mapInArrow(_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-        asked = np.zeros(1 << ASKED_BITS - 6, U64)
-        asked[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U64)
-        sent = spark.sparkContext.broadcast(asked)
-        texts = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").mapInArrow(_asked_texts(sent), "id long, packed binary")
+        texts = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").mapInArrow(_asked_texts(map_of(ids)), "id long, packed binary")
         a, b = (texts.select(F.col("id").alias(c), F.col("packed").alias("p" + c)) for c in "ab")
         return pairs.hint("shuffle_hash").join(a, "a").join(b, "b").select("a", "b", "pa", "pb").mapInArrow(_verify(width, percent), "a long, b long")
 

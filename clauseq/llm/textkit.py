@@ -18,10 +18,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def tables_dir(sf_dir: str, name: str) -> str:
-    return f"{sf_dir}/{name}.parquet"
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 row offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -55,26 +51,38 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def window_hashes(raw: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each window of `width` bytes, by doubling."""
-    if len(raw) < width:
-        return np.empty(0, U64)
-    have, done, out = _TABLE[raw], 1, None
-    power, filled = U64(_P), 0
-    with np.errstate(over="ignore"):
-        while True:
-            if width & done:
-                if out is None:
-                    out, filled = have, done
-                else:
-                    n = len(raw) - filled - done + 1
-                    out = out[:n] * power + have[filled : filled + n]
-                    filled += done
-            if filled == width:
-                return mix(out[: len(raw) - width + 1])
-            have = have[:-done] * power + have[done:]
-            power = power * power
-            done *= 2
+def powers(base: int, size: int) -> np.ndarray:
+    out = np.full(size, base, U64)
+    out[0] = 1
+    return np.cumprod(out, dtype=U64)
+
+
+class PrefixHasher:
+    """Hashes of any byte strings of one text after another, from sums over its prefixes."""
+
+    def __init__(self) -> None:
+        self.up = self.down = self.total = np.empty(0, U64)
+        self.size = 0
+
+    def of(self, raw: np.ndarray) -> PrefixHasher:
+        self.size = len(raw)
+        if len(self.up) <= len(raw):
+            size = max(len(raw) + 1, 1 << 16)
+            self.up, self.down = powers(_P, size), powers(pow(_P, -1, 1 << 64), size)
+        self.total = np.zeros(len(raw) + 1, U64)
+        with np.errstate(over="ignore"):
+            np.cumsum(_TABLE[raw] * self.up[: len(raw)], out=self.total[1:], dtype=U64)
+        return self
+
+    def windows(self, start: int, count: int, width: int) -> np.ndarray:
+        """Of the strings of `width` bytes at start, start + 1, ..."""
+        end = start + count
+        with np.errstate(over="ignore"):
+            return mix((self.total[start + width : end + width] - self.total[start:end]) * self.down[start:end])
+
+    def at(self, starts: np.ndarray, width: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.total[starts + width] - self.total[starts]) * self.down[starts])
 
 
 class WordHasher:
@@ -86,11 +94,7 @@ class WordHasher:
     def _powers(self, n: int) -> None:
         if len(self.up) <= n:
             size = max(n + 1, 1 << 16)
-            inverse = pow(_P, -1, 1 << 64)
-            for name, base in (("up", _P), ("down", inverse)):
-                steps = np.full(size, base, U64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=U64))
+            self.up, self.down = powers(_P, size), powers(pow(_P, -1, 1 << 64), size)
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in reading order, and for each row the index of its first word (n + 1 values)."""
