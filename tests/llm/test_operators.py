@@ -154,6 +154,18 @@ def test_index_drops_what_it_knows(spark, docs):
     assert exact_dedup.exact_dedup(again, index).where("kept").count() == 0
 
 
+def test_exact_dedup_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(3, "a b"), (1, "a  b"), (1, "a b"), (1, "a b"), (None, "a b"), (None, None), (None, ""), (7, "z"), (7, "z"), (7, "y")] + [(i, "hot") for i in range(100, 130)]
+    t = spark.createDataFrame([(d, x, "s", "h", 1) for d, x in rows], "doc_id long, text string, sha string, _digest string, _id int").repartition(3)
+    got = exact_dedup.exact_dedup(t).collect()
+    assert len(got) == len(rows)
+    assert sorted((r["doc_id"], r["group_size"]) for r in got if r["kept"] and r["doc_id"] is not None) == [(1, 5), (7, 1), (7, 2), (100, 30)]
+    assert [r["group_size"] for r in got if r["kept"] and r["doc_id"] is None] == [2]
+    kept = exact_dedup.keep_first_copies(t)
+    assert kept.columns == t.columns and {r["_id"] for r in kept.collect()} == {1}
+    assert sorted((r["doc_id"] or 0, " ".join((r["text"] or "").split())) for r in kept.collect()) == [(0, ""), (1, "a b"), (7, "y"), (7, "z"), (100, "hot")]
+
+
 def test_fingerprints(docs):
     rows = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs).collect()}
     ids = sorted((k for k in TEXTS if k is not None), reverse=True) + [None]
