@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clauseq.llm.textkit import blocks, text_bytes
 
 TIERS = (2048, 1024, 512, 256)
-#: Tokens of one training step; a step group holds windows of one tier, STEP_TOKENS / tier of them.
+#: Tokens of one training step; a step group holds STEP_TOKENS / tier windows of one tier.
 STEP_TOKENS = 16_384
 END_ID = 1
 _READY: dict[tuple, object] = {}
@@ -33,35 +33,67 @@ def byte_bpe(rank_path: str, pattern: str):
     return _READY[key]
 
 
+def byte_encoder(rank_path: str, pattern: str, tokenizer_path: str):
+    """text -> ids. Texts whose runs of white space are too long for the one library's patterns go to the other, which gives the same ids."""
+    fast = byte_bpe(rank_path, pattern)
+
+    def slow(text: str) -> np.ndarray:
+        if tokenizer_path not in _READY:
+            from tokenizers import Tokenizer
+
+            tok = _READY[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
+            tok.no_truncation()
+            tok.no_padding()
+        return np.array(_READY[tokenizer_path].encode(text, add_special_tokens=False).ids, "<u4")
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return slow(text)
+
+    return encode
+
+
 class TierPacker:
-    """Packs what one task sees. Holds one block of documents and at most one open window a tier.
+    """Packs what one task sees. Holds one block of documents, and at most one open window and one step group a tier.
 
     Each document gives full windows of the longest tier; its rest is routed to
     the smallest tier that holds it. From the longest tier down, each rest opens
     a window. Its gap is filled by whole rests of shorter tiers, largest first,
     and then by cutting one (a shorter one if there is, else one of this tier).
     So windows are full but for the last of a task.
+
+    A step group is released when it is full. As the tiers divide each other, what is
+    left of the groups at the end fills mixed ones, longest windows first, so
+    that only the last group of a task may be short.
     """
 
     def __init__(self, base: int) -> None:
-        self.base, self.next_id = base, 0
+        self.base, self.next_id, self.next_group = base, 0, 0
         self.open: dict[int, list] = {}
+        self.held: dict[int, list] = {t: [] for t in TIERS}
         self.rows: list[tuple] = []
-        self.groups: dict[int, tuple[int, int]] = {}
-        self.next_group = 0
 
     def emit(self, pieces: list[tuple[int, int, int]], tier: int) -> None:
         """pieces: (document, start, length) in order."""
-        seq, at = self.base + self.next_id, 0
-        self.next_id += 1
-        group, used = self.groups.get(tier, (-1, STEP_TOKENS))
-        if used >= STEP_TOKENS:
-            group, used = self.next_group, 0
-            self.next_group += 1
-        self.groups[tier] = (group, used + tier)
-        for doc, start, length in pieces:
-            self.rows.append((doc, start, length, seq, at, tier, self.base + group))
-            at += length
+        self.held[tier].append(pieces)
+        if len(self.held[tier]) * tier >= STEP_TOKENS:
+            self.release([(tier, p) for p in self.held[tier]])
+            self.held[tier] = []
+
+    def release(self, windows: list[tuple[int, list]]) -> None:
+        for tier, pieces in windows:
+            seq, at = self.base + self.next_id, 0
+            self.next_id += 1
+            for doc, start, length in pieces:
+                self.rows.append((doc, start, length, seq, at, tier, self.base + self.next_group))
+                at += length
+        self.next_group += 1
+
+    def waiting(self) -> set[int]:
+        """Documents with pieces not yet released."""
+        return {p[0] for pieces, _ in self.open.values() for p in pieces} | {p[0] for windows in self.held.values() for pieces in windows for p in pieces}
 
     def add(self, docs: list[tuple[int, int]]) -> None:
         """docs: (document, tokens)."""
@@ -123,16 +155,29 @@ class TierPacker:
                 need -= take
             total -= size
             self.emit(window, size if size in TIERS else TIERS[0])
-
-
-def pack(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+        group, used = [], 0
+        for tier in TIERS:
+            for pieces in self.held[tier]:
+                group.append((tier, pieces))
+                used += tier
+                if used == STEP_TOKENS:
+                    self.release(group)
+                    group, used = [], 0
+            self.held[tier] = []
+        if group:
+            self.release(group)
+
+
+def pack(docs: DataFrame, rank_path: str, pattern: str, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group (and ids if asked for).
 
     A document's ids are its text's byte-BPE ids and then END_ID; null text has
     END_ID only. Each id lies in exactly one piece. A sequence has exactly `tier`
     ids, so needs no padding; only the last one of a task may have fewer, and is
-    padded to 2048. Each step group has the same number of ids (STEP_TOKENS).
-    Repeated and null doc_ids are separate documents. Other columns are ignored.
+    padded to 2048. Each step group has the same number of ids (STEP_TOKENS), but the
+    last of a task may have fewer. Repeated and null doc_ids are separate documents.
+    Other columns are ignored. rank_path and tokenizer_path hold one vocabulary, each
+    in a file that every executor has.
 
     Each task packs its own rows as they stream by, so there is no shuffle, and
     sequence ids are made unique by the task's partition number. Write the result
@@ -140,7 +185,7 @@ def pack(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = False)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = byte_bpe(rank_path, pattern)
+        encode = byte_encoder(rank_path, pattern, tokenizer_path)
         packer = TierPacker(TaskContext.get().partitionId() << 40)
         ids: dict[int, np.ndarray] = {}
         names: dict[int, object] = {}
@@ -159,7 +204,7 @@ def pack(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = False)
             if with_ids:
                 arrays.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
                 fields.append("ids")
-            waiting = {p[0] for pieces, _ in packer.open.values() for p in pieces}
+            waiting = packer.waiting()
             for d in [d for d in ids if d not in waiting]:
                 del ids[d], names[d]
             return pa.RecordBatch.from_arrays(arrays, fields)
@@ -171,7 +216,7 @@ def pack(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = False)
                 data, rows = raw[at[lo] : at[hi]].tobytes(), (at[lo : hi + 1] - at[lo]).tolist()
                 new = []
                 for r in range(hi - lo):
-                    got = enc.encode_to_numpy(data[rows[r] : rows[r + 1]].decode(), allowed_special="all")
+                    got = encode(data[rows[r] : rows[r + 1]].decode())
                     ids[serial] = np.append(got, np.uint32(END_ID)).astype("<u4", copy=False)
                     names[serial] = doc_ids[lo + r]
                     new.append((serial, len(ids[serial])))
@@ -185,10 +230,10 @@ def pack(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool = False)
     return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
 
 
-def pack_default(docs: DataFrame) -> DataFrame:
+def pack_default(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     import public_tokenizers as P
 
-    return pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("byte_bpe_50k.json"), with_ids)
 
 
 def op4_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,8 @@ RULES = (
     ("private_key", seq(word("-----BEGIN "), times(one(ALNUM[:26] + b" "), 0, True), word("PRIVATE KEY-----")), 0, 0),
 )
 BASE = 3
+#: A segment of more than four times this many bytes is read in pieces.
+PIECE = 2048
 _BASE64, _BLANK = ALNUM + b"+/=", b" \t\r\n\\"
 _BODY = one(_BASE64 + _BLANK + b":,\"'")
 #: What follows the private_key rule's line: headers and key to the END line, none of it with two dashes running; without an END line, runs of 16 characters or more.
@@ -173,7 +175,10 @@ class Scanner:
     def flags(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """For each segment, the rules that end within; segments are read side by side, each byte once."""
         out = np.zeros(len(starts), np.uint8)
+        for c in np.flatnonzero(lengths > 4 * PIECE):
+            out[c] = self.long_flags(raw[starts[c] : starts[c] + lengths[c]])
         order = np.argsort(-lengths, kind="stable")
+        order = order[lengths[order] <= 4 * PIECE]
         for lo in range(0, len(order), 16384):
             rows = order[lo : lo + 16384]
             at, size = starts[rows], lengths[rows]
@@ -185,6 +190,33 @@ class Scanner:
             out[rows] = seen
         return out
 
+    def long_flags(self, raw: np.ndarray) -> int:
+        """The rules that end within one long segment.
+
+        Its pieces are read side by side, each as if at the start state. Then, from
+        left to right, a piece whose true first state is another is read again from
+        that, up to where both readings are in the same state; from there on they agree.
+        """
+        n = -(-len(raw) // PIECE)
+        bytes_ = np.zeros(n * PIECE, np.uint8)
+        bytes_[: len(raw)] = raw
+        bytes_ = bytes_.reshape(n, PIECE)
+        states, state = np.zeros((PIECE, n), np.int32), np.zeros(n, np.int32)
+        for j in range(PIECE):
+            state = states[j] = self.table[(state << 8) | bytes_[:, j]]
+        states[(len(raw) - 1) % PIECE + 1 :, -1] = 0
+        seen, last = int(np.bitwise_or.reduce(self.accepts[states], axis=None)), 0
+        for i in range(n):
+            true = last
+            for j in range(PIECE if i + 1 < n else len(raw) - i * PIECE):
+                true = self.rows[true][bytes_[i, j]]
+                if true == states[j, i]:
+                    true = int(states[-1, i])
+                    break
+                seen |= int(self.accepts[true])
+            last = true
+        return seen
+
     def spans(self, data: bytes, k: int) -> list[tuple[int, int]]:
         """Leftmost, longest, non-overlapping spans of rule k in bytes; those that are too short are used up and dropped."""
         _, _, least, tail = RULES[k]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clauseq.llm.exact_dedup import keep_first_copies
 from clauseq.llm.language_id import keep_identified
 from clauseq.llm.ngram_join import keep_one_of_each
-from clauseq.llm.packing import pack
+from clauseq.llm.packing import pack_default
 from clauseq.llm.secret_scan import redact_secrets
 from clauseq.llm.staging import staged
 
@@ -29,9 +29,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers as P
-
-    return pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True)
+    return pack_default(docs, with_ids=True)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("secrets", secrets), ("packing", packing)]

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clauseq.llm import language_id, secret_scan, url_filter
+from clauseq.llm import language_id, packing, secret_scan, url_filter
 
 
 def test_language_stage_rejects_junk_and_foreign_scripts(spark):
@@ -118,11 +118,70 @@ def test_a_rare_language_is_learnt(spark):
     assert got == {"fi"}
 
 
-def test_training_reads_more_than_the_middle(spark):
-    blocks = ["a" * 2048, "b" * 2048, "c" * 2048]
-    docs = spark.createDataFrame([("".join(blocks), "en"), ("", "en")], "text string, lang string")
-    got = sorted(tuple(r["sizes"]) for r in language_id.packed_presence(docs).collect())
-    assert got == [(0,), (2048, 2048, 2048)]
+def test_model_equals_numpy(spark):
+    """The whole fit by plain NumPy, over every block of the training texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").where("doc_id < 120")
+    model = language_id.fit(docs)
+    rows = [r for r in docs.collect() if r["lang"] is not None and r["text"] is not None]
+    marks = np.unpackbits(model.landmarks, axis=1).astype(float)
+
+    def features(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        parts = [raw[i : i + language_id.BLOCK] for i in range(0, len(raw), language_id.BLOCK)]
+        bits = np.array([language_id.presence(p) for p in parts]).astype(float).reshape(len(parts), -1)
+        k = bits @ marks.T / np.sqrt(np.maximum(bits.sum(1), 1)[:, None] * marks.sum(1))
+        return np.hstack([k, np.ones((len(k), 1))]), np.array([len(p) / len(raw) for p in parts])
+
+    langs = sorted({r["lang"] for r in rows})
+    left, right = 0, 0
+    for r in rows:
+        k, part = features(r["text"])
+        w = part * len(rows) / (len(langs) * sum(x["lang"] == r["lang"] for x in rows))
+        left, right = left + (k * w[:, None]).T @ k, right + np.outer((k * w[:, None]).sum(0), [r["lang"] == x for x in langs])
+    norm = np.eye(len(marks) + 1) * 1e-9 * len(rows)
+    norm[:-1, :-1] += language_id.RIDGE * len(rows) * (marks @ marks.T / np.sqrt(np.outer(marks.sum(1), marks.sum(1))))
+    weights = np.linalg.solve(left + norm, right)
+    assert model.languages == langs
+    for r in language_id.predict(docs.limit(50), model).collect():
+        if r["text"] and r["lang_pred"] != "und":
+            k, part = features(r["text"])
+            scores = part @ (k @ weights)
+            assert r["lang_pred"] == langs[int(np.argmax(scores))] and abs(r["score"] - min(1, max(0, scores.max()))) < 1e-4
+
+
+def test_language_stage_keeps_clashing_columns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("*", "doc_id AS score", "lang AS lang_pred", "'x' AS evidence", "1 AS held_out")
+    kept = language_id.keep_identified(docs)
+    assert kept.columns == docs.columns
+    assert kept.where("score <> doc_id OR evidence <> 'x' OR NOT (lang <=> lang_pred)").count() == 0
+
+
+def test_long_lines_of_secrets(spark):
+    line = "word and others " * 5000 + "token = abcdefgh1 " + "ab01 " * 9000 + "AKIA" + "Z" * 20
+    got = {r["doc_id"]: r for r in secret_scan.find_secrets(spark.createDataFrame([(1, line), (2, "f" * 100_000), (3, None)], "doc_id long, text string")).collect()}
+    assert (got[1]["n_assign"], got[1]["n_access"], got[2]["spans"], got[3]["spans"]) == (1, 1, "hex:0:100000", "")
+
+
+def test_packing_of_long_runs_and_step_groups(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [" " * 1_500_000 + "x", "a\n" + "\n" * 1_200_000] + ["some words here and there " * n for n in range(1, 120)]
+    rows = packing.pack_default(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    for k in (0, 1):
+        ids = np.array([*tok.encode(texts[k], add_special_tokens=False).ids, 1], "<u4")
+        for r in (r for r in rows if r["doc_id"] == k):
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]])
+    windows = {}
+    for r in rows:
+        w = windows.setdefault(r["sequence_id"], [r["step_group"], r["tier"], 0])
+        w[2] += r["length"]
+    groups = {}
+    for group, tier, used in windows.values():
+        assert used == tier or used < 2048
+        groups[group] = groups.get(group, 0) + tier
+    assert sorted(groups.values())[1:] == [packing.STEP_TOKENS] * (len(groups) - 1)
 
 
 def test_the_packed_corpus_has_its_token_ids(spark):
