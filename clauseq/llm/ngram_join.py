@@ -17,7 +17,7 @@ from clauseq.llm.textkit import U64, WordHasher, blocks, mix, shingle_sets, text
 #: Shingles are counted in so many buckets by hash, whatever the size of the corpus.
 COUNT_BITS = 18
 #: Bytes of text whose sets are held at a time.
-HELD = 8 << 20
+HELD = 2 << 20
 
 
 def _sets(batch: pa.RecordBatch, words: WordHasher, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -66,6 +66,22 @@ def _prefixes(width: int, percent: int, shared):
     return run
 
 
+def _lists(tokens):
+    """The shingles of the groups' prefixes, of those that may be in several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("prefix")
+            sizes, token = column.value_lengths().to_numpy(), column.flatten().to_numpy()
+            keep = np.flatnonzero(perhaps(tokens.value, token))
+            row = np.repeat(np.arange(batch.num_rows), sizes)[keep]
+            pos = (np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[keep]
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), batch.column("gid").take(of), batch.column("n").take(of), pa.array(pos)], ["token", "gid", "n", "pos"])
+
+    return run
+
+
 def _asked_texts(shared):
     """Compressed texts of the rows whose id may be asked for."""
 
@@ -156,19 +172,24 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return pairs.hint("shuffle_hash").join(a, "a").join(b, "b").select("a", "b", "pa", "pb").mapInArrow(_verify(width, percent), "a long, b long")
 
     def reach(n1: str, p1: str, n2: str, p2: str) -> Column:
-        """Whether two sets that share a shingle at these positions of their order can reach the similarity."""
-        size = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
-        most = F.least(p1, p2) + F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2))
-        return size & (most * (100 + percent) >= percent * (F.col(n1) + F.col(n2)))
+        """Whether two sets whose first shared shingle stands at these positions can reach the similarity.
+
+        Before it they share nothing, as both are in one order. A pair that links
+        passes in the list of its first shared shingle, whatever the others say.
+        """
+        most = F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2))
+        return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (most * (100 + percent) >= percent * (F.col(n1) + F.col(n2)))
 
     def in_order(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    lists = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    lists = staged(groups.mapInArrow(_lists(map_of(tokens)), "token long, gid long, n long, pos long"))
+    unstage(groups)
     pivot = lists.groupBy("token").agg(F.min(F.struct("gid", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
     # From here on only the shingles that several groups have.
     common = staged(lists.join(pivot.select("token", F.col("p.gid").alias("g0"), F.col("p.n").alias("n0"), F.col("p.pos").alias("p0")), "token"))
-    unstage(groups)
+    unstage(lists)
     star = common.where(F.col("gid") != F.col("g0")).where(reach("n", "pos", "n0", "p0")).select(F.col("g0").alias("a"), F.col("gid").alias("b"))
     star = star.unionByName(inside.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b")))
     tried = staged(in_order(star))
@@ -182,11 +203,12 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spread = staged(placed.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
     lists = common.select("token", "gid", "n", "pos").join(spread, "gid")
     mixed = lists.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
-    # Sizes that can reach the similarity lie in the same step of a geometric series or the next.
-    step = F.floor(F.log("n") / -np.log(percent / 100)) if percent < 100 else F.col("n")
+    # The sizes that a set can reach lie in its own step of a geometric series and the next.
+    step = F.floor(F.log("n") / -np.log(percent / 100)).cast("int") if percent < 100 else F.col("n")
     left = lists.join(mixed, "token", "left_semi").withColumn("step", step)
-    right = left.select("token", *(F.col(c).alias(c + "2") for c in ("gid", "n", "pos", "lo", "hi")), F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)).alias("step"))
-    pairs = left.join(right, ["token", "step"]).where("gid < gid2 AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").where(reach("n", "pos", "n2", "pos2")).select("gid", "gid2").distinct()
+    right = left.select("token", *(F.col(c).alias(c + "2") for c in ("gid", "n", "pos", "lo", "hi")), F.explode(F.array(F.col("step") - 1, "step")).alias("step"))
+    pairs = left.join(right, ["token", "step"]).where("(n < n2 OR n = n2 AND gid < gid2) AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
+    pairs = pairs.where(reach("n", "pos", "n2", "pos2")).select("gid", "gid2").distinct()
     pairs = pairs.unionByName(spread.where("lo <> hi").select("gid", F.col("gid").alias("gid2")))
     one, two = placed.select("gid", F.col("rep").alias("a"), F.col("component").alias("ca")), placed.select(F.col("gid").alias("gid2"), F.col("rep").alias("b"), F.col("component").alias("cb"))
     rest = staged(in_order(pairs.join(one, "gid").join(two, "gid2").where("ca <> cb")).join(tried, ["a", "b"], "left_anti"))

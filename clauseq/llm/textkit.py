@@ -22,16 +22,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 row offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
     if len(column) == 0:
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    if column.null_count:
+        column = column.fill_null("")
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    width = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def blocks(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges that cover all rows; each has at most `limit` bytes or is one row."""
     n, lo = len(offsets) - 1, 0
     while lo < n:
