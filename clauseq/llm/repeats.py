@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from clauseq.llm.bitmaps import map_of, perhaps
 from clauseq.llm.staging import staged, unstage
-from clauseq.llm.textkit import U64, PrefixHasher, mix, text_bytes
+from clauseq.llm.textkit import U64, PrefixHasher, mix, pieces, text_bytes
 
 LENGTH, KMER = 200, 64
 #: Windows whose starts lie in one cell of this many share a core of LENGTH - CELL + 1 bytes.
@@ -66,7 +66,7 @@ def _id(key: pa.Array) -> np.ndarray:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = PrefixHasher()
-    for batch in batches:
+    for batch in pieces(batches):
         raw, at = text_bytes(batch.column("text"))
         held, rows = [np.empty(0, U64)], 0
         for r in range(batch.num_rows):
@@ -82,7 +82,7 @@ def _blocks(anchors, copies):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = PrefixHasher(), {}
-        for batch in batches:
+        for batch in pieces(batches):
             raw, at = text_bytes(batch.column("text"))
             keys = batch.column("key")
             copied = perhaps(copies.value, _id(keys))
@@ -113,7 +113,7 @@ def _packed(asked, names: list[str]):
     """Rows whose key may be asked for, with compressed text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             keep = pa.array(np.flatnonzero(perhaps(asked.value, _id(batch.column("key")))))
             batch = batch.take(keep)
             raw, at = text_bytes(batch.column("text"))
@@ -134,7 +134,7 @@ def _asked(batch: pa.RecordBatch, hasher: PrefixHasher) -> Iterator[tuple[int, t
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A hash for each cell of windows of an asked block: of the bytes that all of them share."""
     hasher = PrefixHasher()
-    for batch in batches:
+    for batch in pieces(batches, "packed", 1 << 18):
         held = [np.empty(0, U64)]
         for _, (place, first, last, anchor, _) in _asked(batch, hasher):
             low, counts = (place - last) // CELL, (place - first) // CELL - (place - last) // CELL + 1
@@ -153,7 +153,7 @@ def _windows(cores):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = PrefixHasher()
-        for batch in batches:
+        for batch in pieces(batches, "packed", 1 << 18):
             keys, held, rows = batch.column("key"), [], 0
             for r, (place, first, last, anchor, n) in _asked(batch, hasher):
                 counts = last - first + 1
@@ -192,7 +192,7 @@ def _untouched(touched, with_text: bool):
     """Rows whose text surely has no repeated string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             batch = batch.take(pa.array(np.flatnonzero(~perhaps(touched.value, _id(batch.column("key"))))))
             raw, at = text_bytes(batch.column("text"))
             yield _result(batch.column("doc_id"), [(raw[s:e].tobytes(), None) for s, e in zip(at[:-1], at[1:], strict=True)], with_text)
@@ -216,7 +216,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "packed", 1 << 18):
             rows, sizes, lists = [], batch.column("size").to_pylist(), batch.column("runs")
             for r, packed in enumerate(batch.column("packed")):
                 text = zlib.decompress(packed.as_py())

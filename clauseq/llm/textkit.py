@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -43,6 +44,14 @@ def blocks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         lo = hi
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have at most `limit` bytes or that are one row, so that little is held at a time."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for lo, hi in blocks(np.concatenate([[0], np.cumsum(sizes)]), limit):
+            yield batch.slice(lo, hi - lo)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash."""
     h = h ^ (h >> U64(30))
