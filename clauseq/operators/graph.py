@@ -24,3 +24,15 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, iterations: int =
         moved = mass.join(out, "node").select(F.col("b").alias("node"), (F.lit(DAMPING) * F.col("mass") / F.col("degree")).alias("mass"))
         mass = moved.unionByName(start.select("node", (F.lit(1 - DAMPING) * F.col("mass")).alias("mass"))).groupBy("node").agg(F.sum("mass").alias("mass"))
     return mass.select("node", F.round("mass", 9).alias("mass"))
+
+
+def neighborhood(edges: DataFrame, seed: str, caps: list[int]) -> DataFrame:
+    """(node, hops) around a seed over undirected edges (src, dst): of each hop's new nodes the first by name, as many as its cap. A frontier is no longer than that, so it is broadcast."""
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    found = edges.sparkSession.createDataFrame([(seed, 0)], "node string, hops int")
+    frontier = found
+    for hop, cap in enumerate(caps, 1):
+        new = both.join(F.broadcast(frontier.select(F.col("node").alias("src"))), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier = new.join(F.broadcast(found), "node", "left_anti").orderBy("node").limit(cap).withColumn("hops", F.lit(hop))
+        found = found.unionByName(frontier)
+    return found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseq.functions.tokens import query_terms, tokens
@@ -55,3 +55,15 @@ def overlap_topk(docs: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
     terms = asked.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
     has = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     return top(terms.join(has, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), k)
+
+
+def keyword_score(query: Column, text: str) -> Column:
+    """Mean over the query's terms (two characters or more) of 1 + ln(occurrences, ten at most) / 2; occurrences may overlap."""
+    low = F.regexp_replace(F.lower(query), r"[^a-z0-9_\s-]", " ")
+    terms = F.filter(F.split(low, r"\s+"), lambda x: F.char_length(x) > 1)
+
+    def point(t: Column) -> Column:
+        n = F.regexp_count(F.lower(F.col(text)), F.concat(F.lit(r"(?=\Q"), t, F.lit(r"\E)")))
+        return F.when(n > 0, 1 + F.log(F.least(n, F.lit(10))) * 0.5).otherwise(0.0)
+
+    return F.when(F.size(terms) > 0, F.aggregate(F.transform(terms, point), F.lit(0.0), lambda a, x: a + x) / F.size(terms)).otherwise(0.0)

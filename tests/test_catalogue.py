@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import __spark_entry__  # noqa: F401  registers the queries of all modules
 import clauseq.catalogue as catalogue
 
 SF = "/root/testdata/sf0.001"
