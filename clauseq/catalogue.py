@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clauseq.functions.tokens import slug
+from clauseq.functions.tokens import STOP, slug
 from clauseq.operators import graph, language, lexical, tables, vectors
 
 QUERIES: dict = {}
@@ -29,11 +29,12 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-_TERMS = """
+_STOP = ", ".join(f"'{w}'" for w in STOP)
+_TERMS = f"""
 terms AS (SELECT item_id AS query_id, unnest(list_distinct_in_order) AS term FROM (
-  SELECT item_id, (list_transform(list_sort(list_transform(list_distinct(t), lambda x: {'p': list_position(t, x), 'x': x})), lambda s: s.x))[1:12] AS list_distinct_in_order
-  FROM (SELECT item_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x) BETWEEN 2 AND 40) AS t FROM benchmark))),
-words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ws FROM documents)
+  SELECT item_id, (list_transform(list_sort(list_transform(list_distinct(t), lambda x: {{'p': list_position(t, x), 'x': x}})), lambda s: s.x))[1:12] AS list_distinct_in_order
+  FROM (SELECT item_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) BETWEEN 2 AND 40 AND x NOT IN ({_STOP})) AS t FROM benchmark))),
+words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents)
 """
 _BM25 = f"""{_TERMS},
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM words) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
@@ -49,6 +50,13 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25_topk(read(spark, sf_dir, "documents"), asked(spark, sf_dir))
 
 
+@query(f"""WITH {_BM25} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored
+WHERE doc_id IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2', 'src3')) QUALIFY rank <= 6""")
+def lexical_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return lexical.bm25_within(docs, asked(spark, sf_dir), docs.where(F.col("source").isin("src1", "src2", "src3")), 6)
+
+
 @query(f"""WITH {_BM25}, ov AS (
   SELECT query_id, doc_id, count(*) AS c, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, doc_id) AS rank
   FROM terms JOIN (SELECT doc_id, unnest(list_distinct(ws)) AS term FROM words) USING (term) GROUP BY query_id, doc_id QUALIFY rank <= 10),

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from clauseq.functions.tokens import query_terms, tokens
 
 K1, B = 1.2, 0.75
+#: So many distinct terms of queries at most are sent to the tasks as a set; with more of them they are joined.
+TERM_SET = 20_000
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -18,22 +20,35 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def bm25_topk(docs: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, doc_id, score, rank. docs: doc_id, text. asked: query_id, text.
+def _asked_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, dl and each occurrence (term) of a wanted term. Other words are dropped within the array, before it is exploded."""
+    words = docs.select("doc_id", tokens(F.col("text")).alias("ws")).select("doc_id", F.size("ws").alias("dl"), "ws")
+    known = [r["term"] for r in wanted.limit(TERM_SET + 1).collect()]
+    if len(known) <= TERM_SET:
+        return words.select("doc_id", "dl", F.explode(F.filter("ws", lambda w: w.isin(known))).alias("term"))
+    return words.select("doc_id", "dl", F.explode("ws").alias("term")).join(wanted, "term", "left_semi")
+
 
-    Only postings of asked terms are counted and shuffled; a document's terms are folded before.
-    """
+def bm25(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of every document with a term of a query. docs: doc_id, text. asked: query_id, text."""
     terms = asked.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
-    words = docs.select("doc_id", tokens(F.col("text")).alias("ws"))
-    sizes = words.select("doc_id", F.size("ws").alias("dl"), "ws")
-    total = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ws")).alias("avgdl"))
-    wanted = terms.select("term").distinct()
-    tf = sizes.select("doc_id", "dl", F.explode("ws").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    total = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    tf = _asked_words(docs, terms.select("term").distinct()).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # The totals are one row.
     idf = df.join(F.broadcast(total)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = terms.join(idf, "term").join(tf, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored, k)
+    return terms.join(idf, "term").join(tf, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def bm25_topk(docs: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, doc_id, score, rank: the k best of each query."""
+    return top(bm25(docs, asked), k)
+
+
+def bm25_within(docs: DataFrame, asked: DataFrame, allowed: DataFrame, k: int = 10) -> DataFrame:
+    """The k best of the allowed documents (doc_id), scored by the statistics of all; none where the set is empty."""
+    return top(bm25(docs, asked).join(allowed.select("doc_id"), "doc_id", "left_semi"), k)
 
 
 def rrf(rankings: list[DataFrame], k: int = 10, constant: int = 60, weights: list[float] | None = None) -> DataFrame:
@@ -53,7 +68,7 @@ def lanes(rankings: list[DataFrame]) -> DataFrame:
 def overlap_topk(docs: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
     """Ranking by the number of distinct query terms that a document has."""
     terms = asked.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
-    has = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    has = _asked_words(docs, terms.select("term").distinct()).select("doc_id", "term").distinct()
     return top(terms.join(has, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), k)
 
 

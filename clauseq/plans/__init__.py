@@ -1 +1 @@
-
+"""Stored tables: versions of rows by key."""

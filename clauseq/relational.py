@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clauseq.catalogue import query, read
 from clauseq.operators import registry
+from clauseq.plans import versions
 
 
 @query("""SELECT n_name, c_custkey, c_name FROM nation JOIN customer ON c_nationkey = n_nationkey
@@ -356,3 +357,35 @@ def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", "text")
     new = d.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return registry.diff(d.where("doc_id % 3 <> 0"), new, "doc_id", "text")
+
+
+_HALVES = "a AS (SELECT DISTINCT l_orderkey % 500 AS k, l_partkey % 20 AS v FROM lineitem WHERE l_linenumber = 1), b AS (SELECT DISTINCT l_orderkey % 700 AS k, l_partkey % 20 AS v FROM lineitem WHERE l_linenumber = 2), "
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    line = lambda n, m: read(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == n).select((F.col("l_orderkey") % m).alias("k"), (F.col("l_partkey") % 20).alias("v"))
+    return line(1, 500).groupBy("k").agg(F.max("v").alias("v")), line(2, 700)
+
+
+@query(f"WITH {_HALVES} n AS (SELECT k, max(v) AS v FROM b GROUP BY k), o AS (SELECT k, max(v) AS v FROM a GROUP BY k) SELECT * FROM n UNION ALL SELECT * FROM o WHERE k NOT IN (SELECT k FROM n)")
+def sink_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a key that is there take its row's place."""
+    return versions.upsert(*_halves(spark, sf_dir), ["k"])
+
+
+@query(f"WITH {_HALVES} n AS (SELECT k, max(v) AS v FROM b GROUP BY k), o AS (SELECT k, max(v) AS v FROM a GROUP BY k) SELECT * FROM o UNION ALL SELECT * FROM n WHERE k NOT IN (SELECT k FROM o)")
+def sink_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.insert_absent(*_halves(spark, sf_dir), ["k"])
+
+
+@query("""SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS requests FROM events GROUP BY ALL""")
+def sink_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of two batches of events, added up."""
+    counts = read(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day"), (F.col("event_id") % 2).alias("half")).agg(F.count(F.lit(1)).alias("requests"))
+    a, b = (counts.where(F.col("half") == h).drop("half") for h in (0, 1))
+    return versions.increment(a, b, ["event_type", "day"], "requests")
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')")
+def sink_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.delete(read(spark, sf_dir, "labels").select("doc_id", "quality"), read(spark, sf_dir, "documents").where("lang = 'fr'"), ["doc_id"])
