@@ -40,7 +40,7 @@ _OUT = ("query_id", "id", "pos", "anchor")
 
 
 def _moved(df: DataFrame) -> DataFrame:
-    return df.select(*_OUT, "status", "standard_key", "corpus", F.round(stages.points(), 6).alias("points"))
+    return df.select(*_OUT, "status", "standard_key", "corpus", (F.round(stages.points(), 6) + 0.0).alias("points"))  # no negative zero
 
 
 _COLUMNS = "query_id, id, pos, anchor, status, standard_key, corpus"
@@ -84,7 +84,7 @@ def std_ref_nudge(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT *, max(y) OVER (PARTITION BY query_id) AS top, max(y) OVER (PARTITION BY query_id, doc) AS dm, max(y) OVER (PARTITION BY query_id, family) AS fm FROM y),
 g AS (SELECT *, CASE WHEN top > 1990 AND y IS NOT NULL THEN spread * 0.1::DOUBLE * (y - 1990) / (top - 1990) END AS gain, CASE WHEN yr < dm OR (yr < fm AND status IN ('superseded', 'unknown')) THEN spread * 0.4::DOUBLE END AS loss FROM m),
 r AS (SELECT *, CASE WHEN spread > 0 AND (gain IS NOT NULL OR loss IS NOT NULL) THEN score + (coalesce(gain, 0) - coalesce(loss, 0)) END AS rerank FROM g)
-SELECT query_id, id, anchor, status, round(coalesce(rerank, score), 6) AS points FROM r""")
+SELECT query_id, id, anchor, status, round(coalesce(rerank, score), 6) + 0.0::DOUBLE AS points FROM r""")
 def edition_steer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _moved(stages.edition_steer(pool(spark, sf_dir))).select("query_id", "id", "anchor", "status", "points")
 
@@ -93,7 +93,7 @@ def edition_steer(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT * FROM v WHERE n >= 3 AND spread > 0 AND anchor <> 'overview'),
 u AS (SELECT d.query_id, d.id, max(a.v) AS up FROM k d JOIN k a ON a.query_id = d.query_id AND a.doc = d.doc AND starts_with(d.anchor, a.anchor || '.') GROUP BY ALL),
 w AS (SELECT a.query_id, a.id, avg(d.v) AS down FROM k d JOIN k a ON a.query_id = d.query_id AND a.doc = d.doc AND starts_with(d.anchor, a.anchor || '.') GROUP BY ALL)
-SELECT query_id, id, anchor, round(score + CASE WHEN up IS NULL AND down IS NULL THEN 0 ELSE spread * 0.2::DOUBLE * ((v + coalesce(up, v) + coalesce(down, v)) / 3 - v) END, 6) AS points
+SELECT query_id, id, anchor, round(score + CASE WHEN up IS NULL AND down IS NULL THEN 0 ELSE spread * 0.2::DOUBLE * ((v + coalesce(up, v) + coalesce(down, v)) / 3 - v) END, 6) + 0.0::DOUBLE AS points
 FROM v LEFT JOIN u USING (query_id, id) LEFT JOIN w USING (query_id, id)""")
 def structural_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _moved(stages.structural_propagate(pool(spark, sf_dir))).select("query_id", "id", "anchor", "points")
