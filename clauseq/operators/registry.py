@@ -107,3 +107,50 @@ def diff(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:
     a, b = (x.select(key, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias(h)) for x, h in ((old, "_a"), (new, "_b")))
     state = F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "gone").when(F.col("_a") != F.col("_b"), "changed").otherwise("same")
     return a.join(b, key, "full").select(key, state.alias("state"))
+
+
+#: Fixed values of a register search: words that say nothing there, tokens of a question, rows of an answer.
+REGISTER_STOP = """the a an is are was were still currently in on for of and or certificate certificates certified certification register status valid suspended
+revoked recommendation per under by with what which who does do load cell model manufacturer holder company r how to list show
+many issued issue latest newest recent total number""".split()
+REGISTER_TOKENS, REGISTER_ROWS = 12, 6
+
+
+def register_tokens(question: Column) -> Column:
+    """The first distinct words and numbers of two signs or more that are no stop words; years behind a document's number go."""
+    bare = F.regexp_replace(question, r"(?i)\b([RDMB]\s?-?\d{2,3}(?:-\d+)?)\s?:\s?\d{4}\b", "$1")
+    words = F.filter(F.split(bare, "[^A-Za-z0-9&-]+"), lambda w: (F.char_length(w) >= 2) & ~F.lower(w).isin(REGISTER_STOP))
+    return F.slice(F.array_distinct(words), 1, REGISTER_TOKENS)
+
+
+def register_search(asked: DataFrame, register: DataFrame) -> DataFrame:
+    """asked (query_id, text) and register (num, holder, model, year): query_id, place, num, score of the best six rows.
+
+    A number must stand alone in a row's model, or be its model or num; a word may stand
+    anywhere in holder, model or num. Rows are ordered by their matches (a number in the
+    model 3, a word in it 2, else the holder 1), then by year and num. Tokens meet rows by
+    equal numbers, or by the token's first three signs (two, if it has no more), which a
+    row that has the token must have: no pair is made that shares nothing.
+    """
+    spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), "[-,.]", " "), F.lit(" "))
+    alone = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), F.lit(" "))
+    q = asked.select("query_id", F.transform(register_tokens(F.col("text")), lambda t: F.lower(t)).alias("tokens"))
+    t = q.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    t = t.withColumn("number", F.col("token").rlike("^[0-9]+$")).withColumn("key", F.when(F.col("number"), F.col("token")).otherwise(F.substring("token", 1, 3)))
+    r = register.select("num", "year", *(F.coalesce(c, F.lit("")).alias(c) for c in ("holder", "model"))).withColumn("_num", F.coalesce(F.col("num").cast("string"), F.lit("")))
+    fields = F.transform(F.array("holder", "model", "_num"), lambda c: F.lower(c))
+    starts = lambda n: F.flatten(F.transform(fields, lambda f: F.when(F.char_length(f) >= n, F.transform(F.sequence(F.lit(1), F.char_length(f) - (n - 1)), lambda i: F.substring(f, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))))
+    words = F.array_union(F.filter(F.split(spaced("model"), " "), lambda w: w.rlike("^[0-9]+$")), F.array(F.lower("model"), F.lower("_num")))
+    keyed = lambda keys, number: r.select("num", "year", "holder", "model", "_num", F.explode(F.array_distinct(keys)).alias("key"), F.lit(number).alias("number"))
+    index = keyed(words, True).unionByName(keyed(F.concat(starts(3), starts(2)), False))
+    has = F.col("number") | F.contains(F.lower("holder"), F.col("token")) | F.contains(F.lower("model"), F.col("token")) | F.contains(F.lower("_num"), F.col("token"))
+    pairs = t.join(index, ["key", "number"]).where(has).select("query_id", "num", "year", "holder", "model").distinct().join(q, "query_id")
+
+    def worth(token: Column) -> Column:
+        number = token.rlike("^[0-9]+$")
+        inside = F.when(number, F.contains(alone("model"), F.concat(F.lit(" "), token, F.lit(" ")))).otherwise(F.contains(F.lower("model"), token))
+        return F.when(inside, F.when(number, 3).otherwise(2)).when(F.contains(F.lower("holder"), token), 1).otherwise(0)
+
+    score = F.aggregate(F.transform("tokens", worth), F.lit(0), lambda a, b: a + b)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("year"), "num")
+    return pairs.withColumn("score", score).withColumn("place", F.row_number().over(w)).where(F.col("place") <= REGISTER_ROWS).select("query_id", "place", "num", "score")

@@ -21,7 +21,10 @@ WINDOW_FLOOR, KEEP, RRF_K, FIRST_YEAR = 0.25, 10, 60, 1990
 CITES_STANDARD = r"\b(?:ISO|IEC|ASTM|EN)[ /]?\d{3,6}(?:[-–]\d+)?\b"
 ASKS_STANDARD = r"(?i)\b(iso|iec|astm|en\s?\d{2,5})\b"
 METADATA = "doc family anchor edition lang status doctype corpus standard_key unit_id title text".split()
-
+#: Fixed values of pins, probes and descents: factors of a score, an added hit's score, and limits.
+PARENT, CHILD, PROBE_SCORE, PROBES, GATE, CHILDREN, DESCENDED = 0.7, 0.8, 10.0, 8, 3, 25, 2
+BIBLIOGRAPHY = r"(?i)bibliograph|normative reference"
+ASKS_BLOCK = {"figure": r"\bfig(ure)?s?\b", "table": r"\btables?\b", "formula": r"\b(formulas?|equations?)\b"}
 
 
 def per_query() -> WindowSpec:
@@ -42,7 +45,7 @@ def as_pool(rows: DataFrame) -> DataFrame:
 
 
 def placed(pool: DataFrame, *by: Column) -> DataFrame:
-    """The pool in a new order, ties by the old one."""
+    """The pool in a new order, ties by the old one; without an order only gaps go."""
     return pool.withColumn("pos", F.row_number().over(per_query().orderBy(*by, F.col("pos"))))
 
 
@@ -252,6 +255,59 @@ def cover(pool: DataFrame, lane: DataFrame, covered: Column, keep: int = 1) -> D
     return unseen(pool, lane.join(bare, "query_id", "left_semi"), keep)
 
 
+def citation_probe(pool: DataFrame, lane: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The asked document's passages of references, the first of the lane, behind the pool with a fixed score; licences hold for them too."""
+    near = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.substring(F.coalesce("text", F.lit("")), 1, 300))
+    first = lane.withColumn("_i", F.row_number().over(per_query().orderBy("pos"))).where(F.col("_i") <= PROBES).drop("_i")
+    return unseen(pool, license_scope(first.where(near.rlike(BIBLIOGRAPHY)), keys).withColumn("score", F.lit(PROBE_SCORE)), PROBES)
+
+
+def typed_pin(pool: DataFrame, hits: DataFrame, clauses: DataFrame, families: list[str], hard: bool = True, keep: int = KEEP) -> DataFrame:
+    """The typed unit of the asked families that answers best takes the pool's last seat; then comes its clause.
+
+    `hits` are all hits, with block (figure, table, formula) and asked, the question. A
+    unit counts the question's words that it has, a bonus where its block is asked for
+    or it stands in the clause of the first hit in prose, and the share of filled cells.
+    Without a hard scope a unit that is no table needs three of the words. `clauses` is
+    the lane of clause passages.
+    """
+    low, bare = F.lower("asked"), F.coalesce("unit_id", F.lit("")) == ""
+    terms = F.filter(F.split(F.regexp_replace(low, r"[^\p{L}\p{N}\s]", " "), r"\s+"), lambda t: F.char_length(t) > 2)
+    hay = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
+    cells = F.split(F.coalesce("text", F.lit("")), r"\|")
+    filled = F.size(F.filter(cells, lambda c: F.trim(c) != "")) / F.size(cells)
+    asks = reduce(lambda a, b: a | b, ((F.col("block") == name) & low.rlike(pattern) for name, pattern in ASKS_BLOCK.items()))
+    prose = F.min(F.when(bare, F.struct("pos", F.coalesce("anchor", F.lit("")).alias("anchor")))).over(per_query())["anchor"]
+    h = hits.withColumns({"_n": F.size(terms), "_o": F.size(F.filter(terms, lambda t: F.contains(hay, t))), "_near": (F.col("anchor") == prose) & (prose != "")})
+    bonus = F.when(F.coalesce(asks, F.lit(False)), 2 * F.col("_n")).when(F.coalesce("_near", F.lit(False)), F.col("_n")).otherwise(0)
+    h = h.where(~bare & F.col("block").isNotNull() & F.col("family").isin(families)).withColumn("_s", F.col("_o") + bonus + 2 * filled)
+    best = h.withColumn("_i", F.row_number().over(per_query().orderBy(F.desc("_s"), "pos"))).where("_i = 1")
+    best = best.where(F.lit(hard) | (F.col("_o") >= GATE) | (F.col("block") == "table")).select(*pool.columns)
+    best = best.join(pool.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    kept = pool.join(best.select("query_id", F.lit(keep - 1).alias("_most")), "query_id", "left").where(F.col("_most").isNull() | (F.col("pos") <= F.col("_most"))).drop("_most")
+    own = kept.where(bare).select("query_id", "doc", "anchor")
+    place = best.where("anchor <> ''").select("query_id", "doc", "anchor").join(own, ["query_id", "doc", "anchor"], "left_anti")
+    parent = clauses.where(bare).join(place, ["query_id", "doc", "anchor"], "left_semi")
+    return unseen(unseen(kept, best, 1), parent, 1, PARENT)
+
+
+def section_descent(pool: DataFrame, clauses: DataFrame) -> DataFrame:
+    """The first hit that summarises a section gives way to the first two of its clauses that the pool has not, behind the pool.
+
+    Pools have section_summary ('1') and child_anchors (separated by commas); the first
+    25 anchors count, and the first three clauses of the lane that stand at one. A
+    summary without such a clause stays.
+    """
+    anchors = F.slice(F.filter(F.transform(F.split("child_anchors", ","), lambda a: F.trim(a)), lambda a: a != ""), 1, CHILDREN)
+    heads = pool.where((F.col("section_summary") == "1") & (F.col("child_anchors") != "") & (F.col("score") > 0))
+    heads = heads.withColumn("_i", F.row_number().over(per_query().orderBy("pos"))).where("_i = 1").select("query_id", "doc", F.col("id").alias("_head"), anchors.alias("_anchors"))
+    kids = heads.select("query_id", "doc", F.explode(F.array_distinct("_anchors")).alias("anchor"))
+    got = clauses.join(kids, ["query_id", "doc", "anchor"], "left_semi").withColumn("_i", F.row_number().over(per_query().orderBy("pos"))).where(F.col("_i") <= DESCENDED + 1)
+    got = got.where(F.coalesce("section_summary", F.lit("")) == "").drop("_i").join(pool.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    gone = heads.join(got, "query_id", "left_semi").select("query_id", F.col("_head").alias("id"))
+    return placed(unseen(pool, got, DESCENDED, CHILD).join(gone, ["query_id", "id"], "left_anti")).select(*pool.columns)
+
+
 #: In the order in which they run, whatever the order they are asked for in.
 STAGES: dict[str, Callable[..., DataFrame]] = {
     "hyde": lambda pool, lane: unseen(pool, lane, 10, 0.7),
@@ -261,10 +317,10 @@ STAGES: dict[str, Callable[..., DataFrame]] = {
     "federate": lambda pool, lane: unseen(pool, lane, 1000, 0.95),
     "user-lane": lambda pool, lane, owner: unseen(pool, lane.where(F.col("owner") == owner).drop("owner"), 3),
     "seal": seal, "license-scope": license_scope, "overview-demote": overview_demote, "family-boost": family_boost, "rerank": rerank,
-    "lexical-rrf": lambda pool, lane: fuse([pool, lane], 50),
+    "lexical-rrf": lambda pool, lane: fuse([pool, lane], 50), "citation-probe": citation_probe,
     "corpus-scope": corpus_scope, "edition-cover": cover, "std-ref-nudge": std_ref_nudge, "term-nudge": term_nudge, "concept-steer": concept_steer,
     "edition-steer": edition_steer, "structural-propagate": structural_propagate, "diversity": diversity, "licensed-cover": cover,
-    "dedup": chain_dedup, "figure-seat": figure_seat, "window-floor": window_floor,
+    "typed-pin": typed_pin, "section-descent": section_descent, "dedup": chain_dedup, "figure-seat": figure_seat, "window-floor": window_floor,
 }
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from clauseq.catalogue import query, read
 from clauseq.operators import registry
 from clauseq.plans import versions
+from clauseq.sources import html
 
 
 @query("""SELECT n_name, c_custkey, c_name FROM nation JOIN customer ON c_nationkey = n_nationkey
@@ -389,3 +390,60 @@ def sink_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')")
 def sink_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.delete(read(spark, sf_dir, "labels").select("doc_id", "quality"), read(spark, sf_dir, "documents").where("lang = 'fr'"), ["doc_id"])
+
+
+_REGISTER_STOP = ", ".join(f"'{w}'" for w in registry.REGISTER_STOP)
+
+
+@query(f"""WITH q AS (SELECT n_nationkey AS query_id, 'What is the status of ' || ['red', 'SMALL', 'blue', 'steel'][n_nationkey % 4 + 1] || ' bolt model ' || CAST(n_nationkey * 7 AS VARCHAR) || ' of Brand#' || CAST(n_nationkey AS VARCHAR) || '?' AS text FROM nation),
+t AS (SELECT query_id, list_filter(string_split_regex(text, '[^A-Za-z0-9&-]+'), lambda w: length(w) >= 2 AND lower(w) NOT IN ({_REGISTER_STOP})) AS ts FROM q),
+d AS (SELECT query_id, list_transform(list_filter(ts, lambda x, i: list_position(ts, x) = i)[1:12], lambda x: lower(x)) AS ts FROM t),
+r AS (SELECT p_partkey AS num, CAST(p_partkey AS VARCHAR) AS n, lower(p_brand) AS holder, lower(p_name) || '-' || p_partkey % 100 || ' ' || lower(p_type) AS model, p_size AS year FROM part),
+m AS (SELECT query_id, num, year, len(list_filter(ts, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN model = x OR n = x OR contains(' ' || regexp_replace(model, '[-,.]', ' ', 'g') || ' ', ' ' || x || ' ') ELSE contains(holder, x) OR contains(model, x) OR contains(n, x) END)) AS hits,
+  list_sum(list_transform(ts, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') AND contains(' ' || regexp_replace(model, '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || x || ' ') THEN 3 WHEN NOT regexp_full_match(x, '[0-9]+') AND contains(model, x) THEN 2 WHEN contains(holder, x) THEN 1 ELSE 0 END)) AS score FROM d, r)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, year DESC, num) AS INTEGER) AS place, num, CAST(score AS INTEGER) AS score FROM m WHERE hits > 0 QUALIFY place <= 6""")
+def register_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question of each nation over all parts."""
+    key = F.col("n_nationkey")
+    word = F.get(F.array(*map(F.lit, ("red", "SMALL", "blue", "steel"))), key % 4)
+    text = F.concat(F.lit("What is the status of "), word, F.lit(" bolt model "), key * 7, F.lit(" of Brand#"), key, F.lit("?"))
+    model = F.concat("p_name", F.lit("-"), F.col("p_partkey") % 100, F.lit(" "), "p_type")
+    register = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("num"), F.col("p_brand").alias("holder"), model.alias("model"), F.col("p_size").alias("year"))
+    return registry.register_search(read(spark, sf_dir, "nation").select(key.alias("query_id"), text.alias("text")), register)
+
+
+@query("""WITH r AS (SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS q, l_linestatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+t AS (SELECT o_orderkey, list({'a': l_linenumber, 'p': l_partkey, 's': l_suppkey, 'q': q, 'l': l_linestatus} ORDER BY l_linenumber, l_partkey, l_suppkey, q, l_linestatus) AS rs FROM r GROUP BY o_orderkey),
+e AS (SELECT o_orderkey, rs, o_orderkey % 3 AS kind FROM t)
+SELECT o_orderkey, CAST(o_orderkey % 9 + 1 AS VARCHAR) AS anchor, CASE kind WHEN 2 THEN '' ELSE 'Lines & more' END AS caption, CASE kind WHEN 2 THEN 'Column 1;Column 2' ELSE 'Line;Parts' END AS columns, CAST(len(rs) AS INTEGER) AS n_rows, kind = 2 AS guessed,
+ CASE kind WHEN 2 THEN 'Table. ' ELSE 'Lines & more. ' END || 'Source: O' || o_orderkey || '. Columns: ' || CASE kind WHEN 2 THEN 'Column 1; Column 2' ELSE 'Line; Parts' END || '.' ||
+ array_to_string(list_transform(rs, lambda x: chr(10) || 'Row: ' || CASE kind WHEN 2 THEN 'Column 1' ELSE 'Line' END || ' = ' || x.a || '; ' || CASE kind WHEN 2 THEN 'Column 2' ELSE 'Parts' END || ' = ' || x.q || ' < ' || x.p || '.'), '') AS embedded FROM e""")
+def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a page with a table, with a thead, a first row of th or no header, read back."""
+    line = read(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("bigint")).withColumnRenamed("l_orderkey", "o_orderkey")
+    cell = lambda *c: F.concat(F.lit("<td class=x> "), *c, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), cell(F.col("l_linenumber")), cell(F.col("q"), F.lit(" &lt; <b>"), F.col("l_partkey"), F.lit("</b>")), F.lit("<td></td></tr>\n"))
+    by = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "q", "l_linestatus", row.alias("row"))))
+    kind = F.col("o_orderkey") % 3
+    head = F.lit("<tr><th>Line</th><th>Parts</th></tr>")
+    head = F.when(kind == 0, F.concat(F.lit("<THEAD >"), head, F.lit("</THEAD>"))).when(kind == 1, head).otherwise("")
+    title = F.concat(F.lit("<script>var t='<table >';</script><h2 id=a>"), F.col("o_orderkey") % 9 + 1, F.lit(" Order</h2><p>Text<table>"))
+    page = F.concat(title, F.when(kind == 2, "").otherwise("<caption>Lines &amp;  more</caption>"), head, F.array_join("x.row", ""), F.lit("</table>"))
+    pages = line.groupBy("o_orderkey").agg(by.alias("x")).select("o_orderkey", page.alias("html"))
+    t = html.tables(pages, "o_orderkey", "html")
+    embedded = html.embed_text(F.col("caption"), F.concat(F.lit("O"), "o_orderkey"), F.col("columns"), F.col("rows"))
+    t = t.withColumn("embedded", embedded)
+    return t.select("o_orderkey", "anchor", "caption", F.array_join("columns", ";").alias("columns"), F.size("rows").alias("n_rows"), "guessed", "embedded")
+
+
+_UNESCAPED = "x"
+for _name, _sign in html.ENTITIES.items():
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(f"""WITH b AS (SELECT page_id, regexp_extract_all(regexp_replace(coalesce(html, ''), '{html.HIDDEN}', ' ', 'g'), '{html.BLOCK}') AS bs FROM pages),
+c AS (SELECT page_id, list_filter(list_transform(list_transform(bs, lambda b: {{'b': b, 'x': regexp_replace(b, '<[^>]*>', ' ', 'g')}}), lambda s: CASE WHEN regexp_matches(s.b, '(?i)^<li') THEN '- ' ELSE '' END || trim(regexp_replace({_UNESCAPED.replace('(x', '(s.x')}, '[ \\t\\r\\n]+', ' ', 'g'))), lambda x: x NOT IN ('', '- ')) AS xs FROM b)
+SELECT page_id, 0 AS pos, '' AS title, array_to_string(xs, chr(10)) AS body FROM c WHERE len(xs) > 0""")
+def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' text by paragraphs and items; the given pages have no heading of level 2 to 5 and no table."""
+    return html.sections(read(spark, sf_dir, "pages"), "page_id", "html").select("page_id", "pos", "title", "body")

@@ -194,3 +194,52 @@ def keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn", "text")
     hits = c.select("conv_id", "turn", "text", F.row_number().over(w).alias("pos")).join(first, "conv_id")
     return hits.withColumn("score", F.round(lexical.keyword_score(F.col("asked"), "text"), 6)).where("score > 0").select("conv_id", "turn", "pos", "score")
+
+
+_TYPED = "typed AS (SELECT *, CASE WHEN corpus IN ('c1', 'c2') THEN id END AS unit_id, CASE corpus WHEN 'c1' THEN 'table' WHEN 'c2' THEN 'figure' END AS block, title || ' | ' || coalesce(standard_key, '') AS text, 'Which figure shows the red ring?' AS asked FROM pool)"
+
+
+@query(rf"""WITH {POOL}, {_TYPED}, w AS (SELECT list_filter(string_split_regex('which figure shows the red ring ', '\s+'), lambda t: length(t) > 2) AS ts),
+s AS (SELECT *, len(list_filter(ts, lambda t: contains(lower(title || ' ' || text), t))) AS o, arg_min(coalesce(anchor, ''), pos) FILTER (unit_id IS NULL) OVER (PARTITION BY query_id) AS prose FROM typed, w),
+b AS (SELECT * FROM (SELECT *, o + CASE WHEN block = 'figure' THEN 2 * len(ts) WHEN anchor = prose THEN len(ts) ELSE 0 END + CASE WHEN standard_key IS NULL THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS sc FROM s WHERE unit_id IS NOT NULL AND family IN ('0', '1'))
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, pos) = 1),
+g AS (SELECT * FROM b WHERE pos > 3 AND (o >= 3 OR block = 'table')),
+k AS (SELECT query_id, id, pos, doc, anchor, unit_id, score FROM typed WHERE pos <= CASE WHEN query_id IN (SELECT query_id FROM g) THEN 2 ELSE 3 END),
+p AS (SELECT c.* FROM typed c JOIN g ON g.query_id = c.query_id AND g.doc = c.doc AND g.anchor = c.anchor WHERE c.unit_id IS NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.query_id = g.query_id AND k.doc = g.doc AND k.anchor = g.anchor AND k.unit_id IS NULL)
+  QUALIFY row_number() OVER (PARTITION BY c.query_id ORDER BY c.pos) = 1)
+SELECT query_id, id, pos, round(score, 6) AS points FROM k UNION ALL SELECT query_id, id, 3, round(score, 6) FROM g UNION ALL SELECT query_id, id, 4, round(score * 0.7::DOUBLE, 6) FROM p""")
+def typed_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools of three hits; figures and tables among all hits are the typed units."""
+    typed = F.col("corpus").isin("c1", "c2")
+    h = pool(spark, sf_dir).withColumns({
+        "unit_id": F.when(typed, F.col("id")), "text": F.concat(F.col("title"), F.lit(" | "), F.coalesce("standard_key", F.lit(""))),
+        "block": F.when(F.col("corpus") == "c1", "table").when(F.col("corpus") == "c2", "figure"), "asked": F.lit("Which figure shows the red ring?"),
+    })
+    few = h.where("pos <= 3").drop("block", "asked")
+    got = stages.run_stages(few, {"typed-pin": {"hits": h, "clauses": h.drop("block", "asked"), "families": ["0", "1"], "hard": False, "keep": 3}})
+    return got.select("query_id", "id", "pos", F.round("score", 6).alias("points"))
+
+
+@query(f"""WITH {POOL}, s AS (SELECT *, CASE WHEN anchor IN ('1', '2') AND pos <= 3 THEN '1' END AS summary, CASE WHEN anchor IN ('1', '2') THEN anchor || '.1, ' || anchor || '.3,' END AS kids FROM pool),
+h AS (SELECT * FROM s WHERE summary = '1' AND score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) = 1),
+c AS (SELECT s.* FROM s JOIN h ON h.query_id = s.query_id AND h.doc = s.doc AND s.anchor IN (h.anchor || '.1', h.anchor || '.3') QUALIFY row_number() OVER (PARTITION BY s.query_id ORDER BY s.pos) <= 3),
+n AS (SELECT * FROM c WHERE pos > 3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 2),
+u AS (SELECT query_id, id, pos, score FROM s WHERE pos <= 3 AND NOT EXISTS (SELECT 1 FROM h JOIN n USING (query_id) WHERE h.query_id = s.query_id AND h.id = s.id) UNION ALL SELECT query_id, id, pos, score * 0.8::DOUBLE FROM n)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS pos, round(score, 6) AS points FROM u""")
+def section_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools of three hits; whole clauses summarise their parts."""
+    whole = F.col("anchor").isin("1", "2")
+    s = pool(spark, sf_dir).withColumns({"section_summary": F.when(whole & (F.col("pos") <= 3), "1"), "child_anchors": F.when(whole, F.concat(F.col("anchor"), F.lit(".1, "), F.col("anchor"), F.lit(".3,")))})
+    got = stages.run_stages(s.where("pos <= 3"), {"section-descent": {"clauses": s}})
+    return got.select("query_id", "id", "pos", F.round("score", 6).alias("points"))
+
+
+@query(f"""WITH {POOL}, l AS (SELECT *, CASE doc WHEN '1' THEN 'Bibliography' WHEN '2' THEN '3 Normative references' ELSE title END AS t FROM pool),
+f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) <= 8),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) AS i FROM f WHERE doc IN ('1', '2') AND pos > 2 AND (standard_key IS NULL OR standard_key IN ('k1', 'k2')))
+SELECT query_id, id, pos, round(score, 6) AS points FROM pool WHERE pos <= 2 UNION ALL SELECT query_id, id, 2 + i, 10.0::DOUBLE FROM n""")
+def citation_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pool(spark, sf_dir)
+    lane = p.withColumns({"title": F.when(F.col("doc") == "1", "Bibliography").when(F.col("doc") == "2", "3 Normative references").otherwise(F.col("title")), "pos": -F.col("pos")})
+    got = stages.run_stages(p.where("pos <= 2"), {"citation-probe": {"lane": lane, "keys": ["k1", "k2"]}})
+    return got.select("query_id", "id", "pos", F.round("score", 6).alias("points"))

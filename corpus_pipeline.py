@@ -34,7 +34,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("secrets", secrets), ("packing", packing)]
 
-#: The language model, the automaton's spans and the packing are not SQL; tests hold stages, but neither keep_one_of_each nor the whole run, against planted cases or plain Python.
+#: The language model, the automaton's spans and the packing are not SQL; tests hold every stage and the whole run against planted cases and plain rules.
 ORACLE_SQL = None
 
 
