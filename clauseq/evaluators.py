@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clauseq.catalogue import query, read
-from clauseq.operators import chunking, evaluate
+from clauseq.catalogue import _MASS, query, read
+from clauseq.operators import chunking, evaluate, graph
 
 _SETS = {"mild": {"q": (10.0, 6.0), "d": (0.02, 0.02)}, "warm": {"q": (25.0, 10.0), "d": (0.05, 0.03)}, "hot": {"q": (45.0, 4.0), "d": (0.09, 0.01)}}
 _FAR = {n: " + ".join(f"abs({c} - {si}::DOUBLE) / {max(t, 1.0)}::DOUBLE" for c, (si, t) in zip(("l_quantity", "l_discount"), e.values(), strict=True)) for n, e in _SETS.items()}
@@ -110,3 +110,72 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     e = read(spark, sf_dir, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("i"), F.sum("value").over(w).alias("used"))
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.when((F.col("i") <= 2) | (F.col("used") <= 500), F.col("i"))).alias("kept"))
+
+
+@query(f"""WITH e AS (SELECT 'n' || s_nationkey AS a, 's' || s_suppkey AS b FROM supplier UNION ALL SELECT 'family:' || n_regionkey, 'n' || n_nationkey FROM nation),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), o AS (SELECT a, b, count(*) OVER (PARTITION BY a) AS degree FROM d),
+seeds AS (SELECT 'n' || n_nationkey AS node FROM nation WHERE n_name IN ('NATION_3', 'NATION_24') UNION ALL SELECT 'family:1'),
+m0 AS (SELECT node, 1.0::DOUBLE / count(*) OVER () AS mass FROM seeds), {_MASS}
+SELECT node, round(mass, 9) AS mass FROM m{graph.ITERATIONS} WHERE node[1] = 's' ORDER BY 2 DESC, 1 LIMIT 6""")
+def ppr_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by the mass that two nations and a region give them."""
+    n, s = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier")
+    name = lambda p, c: F.concat(F.lit(p), F.col(c))
+    edges = s.select(name("n", "s_nationkey").alias("a"), name("s", "s_suppkey").alias("b")).unionByName(n.select(name("family:", "n_regionkey").alias("a"), name("n", "n_nationkey").alias("b")))
+    nodes = n.select(name("n", "n_nationkey").alias("id"), F.lit("concept").alias("kind"), F.col("n_name").alias("label"))
+    nodes = nodes.unionByName(s.select(name("s", "s_suppkey").alias("id"), F.lit("doc").alias("kind"), F.col("s_name").alias("label")))
+    nodes = nodes.unionByName(read(spark, sf_dir, "region").select(name("family:", "r_regionkey").alias("id"), F.lit("family").alias("kind"), F.col("r_name").alias("label")))
+    return graph.documents_by_mass(graph.personalized_pagerank(edges, graph.seed_nodes(nodes, ["nation_3", "nation_24", "no"], "1")), nodes)
+
+
+@query("""WITH q AS (SELECT r_regionkey AS query_id, [['red', 'blue', 'small', 'steel', 'green'][r_regionkey % 5 + 1], 'No', 'Bolt', 'Brand#' || r_regionkey, 'ing'] AS ts FROM region),
+t AS (SELECT query_id, unnest(list_filter(ts, lambda x: length(x) >= 3)) AS term, generate_subscripts(list_filter(ts, lambda x: length(x) >= 3), 1) AS k FROM q),
+d AS (SELECT DISTINCT query_id, k, 's' || l_suppkey AS doc FROM t JOIN part ON k <= 4 AND contains(lower(p_name || ' ' || p_brand), lower(term)) JOIN lineitem ON l_partkey = p_partkey),
+f AS (SELECT query_id, doc, min(k) AS k FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id, k ORDER BY doc) <= 12) GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY k, doc) AS INTEGER) AS place, doc FROM f QUALIFY place <= 6""")
+def defining_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of the parts whose name or brand has a region's terms."""
+    r = F.col("r_regionkey")
+    first = F.get(F.array(*map(F.lit, ("red", "blue", "small", "steel", "green"))), r % 5)
+    asked = read(spark, sf_dir, "region").select(r.alias("query_id"), F.array(first, F.lit("No"), F.lit("Bolt"), F.concat(F.lit("Brand#"), r), F.lit("ing")).alias("terms"))
+    nodes = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit("concept").alias("kind"), F.concat_ws(" ", "p_name", "p_brand").alias("label"))
+    edges = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), F.lit("defines").alias("kind"))
+    return graph.defining_documents(asked, edges, nodes)
+
+
+@query("""WITH s AS (SELECT o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS dst FROM orders),
+f AS (SELECT o_custkey, s.src, s.dst FROM s JOIN orders ON o_orderkey = s.src WHERE s.dst IS NOT NULL UNION SELECT o_custkey, s.src, s.dst FROM s JOIN orders ON o_orderkey = s.dst)
+SELECT 'f' || o_custkey AS family, 'o' || src AS src, 'o' || dst AS dst FROM f QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY 'o' || src, 'o' || dst) <= 40""")
+def family_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders are a family; an order's successor is the next of its priority."""
+    o = read(spark, sf_dir, "orders")
+    order, edge = F.concat(F.lit("o"), "o_orderkey"), lambda kind, rows: rows.select("src", "dst", F.lit(kind).alias("kind"))
+    w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
+    after = edge("successor", o.select(order.alias("src"), F.lead(order).over(w).alias("dst")).where("dst IS NOT NULL"))
+    return graph.family_changes(after.unionByName(edge("part_of", o.select(order.alias("src"), F.concat(F.lit("f"), "o_custkey").alias("dst")))))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS t FROM orders),
+a AS (SELECT o_custkey, list_distinct([CAST(max(t) AS VARCHAR), CAST(min(t) AS VARCHAR)]) AS ns FROM o GROUP BY o_custkey),
+h AS (SELECT a.o_custkey, 'u' || o.o_orderkey AS unit_id, len(list_filter(ns, lambda n: n = CAST(t AS VARCHAR))) AS shared FROM a JOIN o USING (o_custkey))
+SELECT o_custkey AS query_id, min(unit_id) AS unit_id, arg_min(shared, unit_id) AS shared FROM h WHERE shared > 0 GROUP BY o_custkey""")
+def table_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's answer names two of its orders' totals, one with its thousands apart; each order is a table."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("t"))
+    low = F.regexp_replace(F.min("t").cast("string"), r"^(\d+)(\d{3})$", "$1 $2")
+    answers = o.groupBy(F.col("o_custkey").alias("query_id")).agg(F.concat(F.lit("From "), low, F.lit(" up to "), F.max("t"), F.lit(".")).alias("text")).withColumn("doc", F.col("query_id"))
+    tables = o.select(F.col("o_custkey").alias("doc"), F.concat(F.lit("u"), "o_orderkey").alias("unit_id"), F.concat(F.lit("Total | "), "t", F.lit(" | no")).alias("text"))
+    return evaluate.complete_tables(answers, tables)
+
+
+@query("""WITH q AS (SELECT n_nationkey AS query_id, list_distinct(string_split_regex(lower('Is a ' || ['red', 'BLUE', 'small', 'steel'][n_nationkey % 4 + 1] || ' bolt2 or ring valid, by ' || n_name || ' economy?'), '[^a-z_]+')) AS ws FROM nation),
+c AS (SELECT p_partkey AS node_id, list_filter(list_distinct([lower(string_split(p_name, ' ')[1]), lower(string_split(p_name, ' ')[2]), lower(p_type)]), lambda x: regexp_matches(x, '^[a-z_]{2,}$')) AS ls FROM part),
+m AS (SELECT query_id, node_id, len(list_filter(ls, lambda x: list_contains(ws, x))) AS named FROM q, c)
+SELECT query_id, node_id, CAST(named AS BIGINT) AS named FROM m WHERE named >= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY named DESC, node_id) = 1""")
+def symbol_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part whose name and type a nation's question names most; a part's words stand for the symbols of a constraint."""
+    word = F.get(F.array(*map(F.lit, ("red", "BLUE", "small", "steel"))), F.col("n_nationkey") % 4)
+    asked = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("Is a "), word, F.lit(" bolt2 or ring valid, by "), "n_name", F.lit(" economy?")).alias("text"))
+    words = F.split("p_name", " ")
+    symbols = F.array(F.concat(F.lit("part.size."), F.get(words, F.lit(0))), F.get(words, F.lit(1)), F.concat(F.lit("t."), "p_type"))
+    return evaluate.bind_by_symbols(asked, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), symbols.alias("symbols")))

@@ -86,3 +86,29 @@ def best_topic(rows: DataFrame, words: str, topics: dict[str, list[str]]) -> Dat
     scored = F.array(*(F.struct(F.size(F.array_intersect(words, F.array(*map(F.lit, ws)))).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, ws) in enumerate(topics.items())))
     top = F.array_max(scored)
     return rows.withColumn("topic", F.when(top["n"] >= 2, top["name"]))
+
+
+def printed_numbers(text: Column) -> Column:
+    """The distinct numbers of three signs or more in a text, without what groups their digits."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("[0-9][0-9 ,.]{1,8}[0-9]"), F.lit(0)), lambda n: F.regexp_replace(n, "[ ,.]", "")))
+
+
+def complete_tables(answers: DataFrame, tables: DataFrame) -> DataFrame:
+    """answers (query_id, doc, text) with the first table (doc, unit_id, text) of their document that has one of their numbers: query_id, unit_id, shared."""
+    a = answers.select("query_id", "doc", F.explode(printed_numbers(F.col("text"))).alias("number"))
+    t = tables.select("doc", "unit_id", F.explode(printed_numbers(F.col("text"))).alias("number"))
+    hits = a.join(t, ["doc", "number"]).groupBy("query_id", "unit_id").agg(F.count_distinct("number").alias("shared"))
+    return hits.groupBy("query_id").agg(F.min(F.struct("unit_id", "shared")).alias("x")).select("query_id", "x.unit_id", "x.shared")
+
+
+def bind_by_symbols(asked: DataFrame, constraints: DataFrame) -> DataFrame:
+    """asked (query_id, text) with the constraint (node_id, symbols) most of whose symbols it names: query_id, node_id, named.
+
+    A dotted symbol counts by its last part, of letters and `_`, two signs at least. Two
+    symbols must be named; ties go to the first node_id.
+    """
+    leaf = F.lower(F.regexp_extract(F.col("symbol"), r"([A-Za-z_]{2,})$", 1))
+    s = constraints.select("node_id", F.explode("symbols").alias("symbol")).select("node_id", leaf.alias("leaf")).where("leaf <> ''").distinct()
+    q = asked.select("query_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z_]+"))).alias("leaf"))
+    named = q.join(s, "leaf").groupBy("query_id", "node_id").agg(F.count(F.lit(1)).alias("named")).where("named >= 2")
+    return named.groupBy("query_id").agg(F.min(F.struct((-F.col("named")).alias("m"), "node_id")).alias("x")).select("query_id", "x.node_id", (-F.col("x.m")).alias("named"))

@@ -123,6 +123,11 @@ def register_tokens(question: Column) -> Column:
     return F.slice(F.array_distinct(words), 1, REGISTER_TOKENS)
 
 
+def starts_of(text: Column, n: int) -> Column:
+    """Every n signs of a text: one of them begins whatever of n signs or more it contains."""
+    return F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def register_search(asked: DataFrame, register: DataFrame) -> DataFrame:
     """asked (query_id, text) and register (num, holder, model, year): query_id, place, num, score of the best six rows.
 
@@ -139,7 +144,7 @@ def register_search(asked: DataFrame, register: DataFrame) -> DataFrame:
     t = t.withColumn("number", F.col("token").rlike("^[0-9]+$")).withColumn("key", F.when(F.col("number"), F.col("token")).otherwise(F.substring("token", 1, 3)))
     r = register.select("num", "year", *(F.coalesce(c, F.lit("")).alias(c) for c in ("holder", "model"))).withColumn("_num", F.coalesce(F.col("num").cast("string"), F.lit("")))
     fields = F.transform(F.array("holder", "model", "_num"), lambda c: F.lower(c))
-    starts = lambda n: F.flatten(F.transform(fields, lambda f: F.when(F.char_length(f) >= n, F.transform(F.sequence(F.lit(1), F.char_length(f) - (n - 1)), lambda i: F.substring(f, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))))
+    starts = lambda n: F.flatten(F.transform(fields, lambda f: starts_of(f, n)))
     words = F.array_union(F.filter(F.split(spaced("model"), " "), lambda w: w.rlike("^[0-9]+$")), F.array(F.lower("model"), F.lower("_num")))
     keyed = lambda keys, number: r.select("num", "year", "holder", "model", "_num", F.explode(F.array_distinct(keys)).alias("key"), F.lit(number).alias("number"))
     index = keyed(words, True).unionByName(keyed(F.concat(starts(3), starts(2)), False))

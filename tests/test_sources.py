@@ -1,7 +1,8 @@
-"""Sections and tables of HTML, held against what a reader sees."""
+"""Sections and tables of HTML, and look-ups whose inputs are odd or empty."""
 
 from pyspark.sql import functions as F
 
+from clauseq.operators import evaluate, graph, registry
 from clauseq.sources import html
 
 PAGE = """<html><nav><p>no</p></nav><!-- <p>nor this</p> --><p>Intro &amp; more</p><h2 id=x>1.2 Scope <b>of</b> it</h2><p>It covers.<p>two</p><p>two alone</p><ul><li>a &lt;b</li><li></li></ul>
@@ -29,3 +30,28 @@ def test_tables_as_text(spark):
     assert one["g"] == "Table — Cap\n| A   | B   |\n|-----|-----|\n| 1   | 2   |\n| 3   |"
     assert (two["columns"], two["guessed"], two["s"]) == (["Column 1", "Column 2"], True, [["u", "v"]])
     assert (three["columns"], three["rows"], three["nth"]) == (["k"], [["h"]], 2)
+
+
+def test_graph_and_register_edges(spark):
+    nodes = spark.createDataFrame([("a", "concept", "Creep test"), ("b", "concept", None), ("c", "doc", "creep"), ("family:R", "family", "R")], "id string, kind string, label string")
+    assert [r["node"] for r in graph.seed_nodes(nodes, ["CREEP", "no"], "R").collect()] == ["a", "family:R"]
+    assert graph.seed_nodes(nodes, []).count() == 0
+    edges = spark.createDataFrame([("c", "a", "defines"), ("c", "a", "defines"), ("d", "b", "defines"), ("c", "d", "successor"), ("c", "f", "part_of")], "src string, dst string, kind string")
+    asked = spark.createDataFrame([(1, ["eep T", "xy"]), (2, None), (3, [])], "query_id long, terms array<string>")
+    assert [tuple(r) for r in graph.defining_documents(asked, edges, nodes).collect()] == [(1, 1, "c")]
+    assert [tuple(r) for r in graph.family_changes(edges).collect()] == [("f", "c", "d")]
+    rows = [("R60-1", "Acme & Co", "XK3190", "2020"), ("R60-2", "190 Ltd", "ZM-190", "2019"), ("R60-3", "Acme", None, None)]
+    register = spark.createDataFrame(rows, "num string, holder string, model string, year string")
+    questions = spark.createDataFrame([(1, "What is the status of model 190 under R 60:2020?"), (2, "acme certificates"), (3, None)], "query_id long, text string")
+    got = [tuple(r) for r in registry.register_search(questions, register).orderBy("query_id", "place").collect()]
+    assert got == [(1, 1, "R60-2", 3), (2, 1, "R60-1", 1), (2, 2, "R60-3", 1)]
+    assert registry.register_search(questions.limit(0), register).count() == 0 == registry.register_search(questions, register.limit(0)).count()
+
+
+def test_completion_and_binding_edges(spark):
+    answers = spark.createDataFrame([(1, "x", "It is 1 234, then 12."), (2, "x", None), (3, None, "1234")], "query_id long, doc string, text string")
+    tables = spark.createDataFrame([("x", "u2", "1,234 | 5"), ("x", "u1", "12 | 34"), ("y", "u0", "1234")], "doc string, unit_id string, text string")
+    assert [tuple(r) for r in evaluate.complete_tables(answers, tables).collect()] == [(1, "u2", 1)]
+    asked = spark.createDataFrame([(1, "is n_max within e_min?"), (2, "n_max"), (3, None)], "query_id long, text string")
+    constraints = spark.createDataFrame([(5, ["a.n_max", "E_min", "q"]), (4, ["n_max", "x.n_max"]), (3, None)], "node_id long, symbols array<string>")
+    assert [tuple(r) for r in evaluate.bind_by_symbols(asked, constraints).collect()] == [(1, 5, 2)]
