@@ -80,9 +80,9 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HITS = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(s) for s in stop)}))) AS h_{lang}" for lang, stop in language.STOPWORDS.items())
 
 
-@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 30000)), '[a-zà-öø-ÿ]+') AS w FROM documents),
-h AS (SELECT doc_id, len(w) AS n, {_HITS} FROM d), r AS (SELECT *, list_reverse_sort([h_en, h_fr, h_es, h_de]) AS s FROM h)
-SELECT doc_id, CASE WHEN n >= 150 AND s[1] >= 10 AND s[1] >= 2 * s[2] THEN
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(substr(text, 1, 30000)), '[a-zà-öø-ÿ]+') AS w, len(regexp_extract_all(substr(text, 1, 30000), '{language.OTHER_SCRIPTS}')) AS o FROM documents),
+h AS (SELECT doc_id, len(w) AS n, o, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS latin, {_HITS} FROM d), r AS (SELECT *, list_reverse_sort([h_en, h_fr, h_es, h_de]) AS s FROM h)
+SELECT doc_id, CASE WHEN latin + o > 200 AND o > 0.3 * (latin + o) THEN 'non-latin' WHEN n >= 150 AND s[1] >= 10 AND s[1] >= 2 * s[2] THEN
   CASE s[1] WHEN h_en THEN 'en' WHEN h_fr THEN 'fr' WHEN h_es THEN 'es' ELSE 'de' END END AS detected FROM r""")
 def langid_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", language.stopword_language(F.col("text")).alias("detected"))
@@ -123,10 +123,11 @@ def edition_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.active_editions(read(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
 
 
-@query("""SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS valid, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest
+@query("""SELECT o_custkey, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS valid, count(*) FILTER (o_orderstatus = 'P') AS suspended, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest
 FROM orders GROUP BY o_custkey""")
 def register_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.latest_of(read(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", F.col("o_orderstatus") == "F")
+    status = F.col("o_orderstatus")
+    return tables.latest_of(read(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderkey", valid=status == "F", suspended=status == "P")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 10 THEN 'small' WHEN l_quantity > 10 AND l_quantity <= 30 THEN 'medium'

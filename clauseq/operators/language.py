@@ -13,6 +13,9 @@ STOPWORDS = {
     "de": ["der", "die", "das", "und", "ist", "von", "mit", "für", "den", "dem"],
 }
 SAMPLE_CHARS, MIN_WORDS, MIN_HITS, DOMINANCE = 30_000, 150, 10, 2.0
+# Other scripts (Hebrew, Arabic, Cyrillic, CJK, kana, Hangul), and from which letters and share on they decide.
+OTHER_SCRIPTS = r"[\x{0590}-\x{05ff}\x{0600}-\x{06ff}\x{0750}-\x{077f}\x{08a0}-\x{08ff}\x{0400}-\x{04ff}\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]"
+MIN_LETTERS, OTHER_SHARE = 200, 0.3
 
 
 def _hits(words: Column, stop: list[str]) -> Column:
@@ -20,10 +23,14 @@ def _hits(words: Column, stop: list[str]) -> Column:
 
 
 def stopword_language(text: Column) -> Column:
-    """en, fr, es or de if its stop words lead clearly, else null. The sample's length is part of the operator; the share of other scripts is not judged."""
-    words = F.regexp_extract_all(F.lower(F.substring(text, 1, SAMPLE_CHARS)), F.lit("[a-zà-öø-ÿ]+"), F.lit(0))
+    """non-latin if other scripts have a fair share of the letters, else en, fr, es or de if its stop words lead clearly, else null. The sample's length is part of the operator."""
+    sample = F.substring(F.coalesce(text, F.lit("")), 1, SAMPLE_CHARS)
+    words = F.regexp_extract_all(F.lower(sample), F.lit("[a-zà-öø-ÿ]+"), F.lit(0))
     hits = {lang: _hits(words, stop) for lang, stop in STOPWORDS.items()}
     ranked = F.array_sort(F.array(*hits.values()), lambda a, b: b - a)
     best, second = ranked[0], ranked[1]
     sure = (F.size(words) >= MIN_WORDS) & (best >= MIN_HITS) & (best >= DOMINANCE * second)
-    return F.when(sure, F.coalesce(*(F.when(h == best, lang) for lang, h in hits.items())))
+    latin = F.aggregate(words, F.lit(0), lambda n, w: n + F.char_length(w))
+    other = F.regexp_count(sample, F.lit(OTHER_SCRIPTS))
+    foreign = (latin + other > MIN_LETTERS) & (other > OTHER_SHARE * (latin + other))
+    return F.when(foreign, "non-latin").when(sure, F.coalesce(*(F.when(h == best, lang) for lang, h in hits.items())))

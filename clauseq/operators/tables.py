@@ -68,9 +68,9 @@ def active_editions(docs: DataFrame, family: str, edition: str, key: str) -> Dat
     return docs.select(family, edition, key, F.lead(key).over(w).alias("superseded_by")).withColumn("active", F.col("superseded_by").isNull())
 
 
-def latest_of(rows: DataFrame, by: str, order: list[str], value: str, valid: Column) -> DataFrame:
-    """Register totals: rows, valid rows and the latest one's value for each group; map-side partial."""
-    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if(valid).alias("valid"), F.max_by(value, F.struct(*order)).alias("latest"))
+def latest_of(rows: DataFrame, by: str, order: list[str], value: str, **states: Column) -> DataFrame:
+    """Register totals: rows, those in each state and the latest one's value for each group; map-side partial."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("total"), *(F.count_if(c).alias(s) for s, c in states.items()), F.max_by(value, F.struct(*order)).alias("latest"))
 
 
 def verdicts(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:

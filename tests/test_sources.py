@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from clauseq.operators import evaluate, graph, registry
+from clauseq.operators import evaluate, graph, language, registry
 from clauseq.sources import html
 
 PAGE = """<html><nav><p>no</p></nav><!-- <p>nor this</p> --><p>Intro &amp; more</p><h2 id=x>1.2 Scope <b>of</b> it</h2><p>It covers.<p>two</p><p>two alone</p><ul><li>a &lt;b</li><li></li></ul>
@@ -55,3 +55,10 @@ def test_completion_and_binding_edges(spark):
     asked = spark.createDataFrame([(1, "is n_max within e_min?"), (2, "n_max"), (3, None)], "query_id long, text string")
     constraints = spark.createDataFrame([(5, ["a.n_max", "E_min", "q"]), (4, ["n_max", "x.n_max"]), (3, None)], "node_id long, symbols array<string>")
     assert [tuple(r) for r in evaluate.bind_by_symbols(asked, constraints).collect()] == [(1, 5, 2)]
+
+
+def test_other_scripts_are_named(spark):
+    texts = ["Быстрая лиса " * 30, "the fox and " * 60 + "лиса " * 20, "лиса " * 30, None, "", "the fox and " * 60 + "лиса " * 80]
+    d = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = [r["x"] for r in d.orderBy("k").select(language.stopword_language(F.col("t")).alias("x")).collect()]
+    assert got == ["non-latin", "en", None, None, None, "non-latin"]
