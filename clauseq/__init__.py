@@ -1 +1 @@
-"""clauseq: a Spark-native retrieval and analytics engine for clause-structured corpora."""
+"""clauseq: search, citation graphs, rules and registers over long numbered documents, as Spark jobs."""
