@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clauseq.llm import (
     bpe_chunks,
+    byte_bpe,
     chat_format,
     exact_dedup,
     fingerprints,
     language_id,
     ngram_join,
     packing,
+    periodic_runs,
     repeats,
     secret_scan,
+    turn_repair,
     url_filter,
 )
 
@@ -32,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_digest_index": exact_dedup.op8_digest_index,
         "op9_one_permutation": fingerprints.op9_one_permutation,
         "op10_perspective_rotation": chat_format.op10_perspective_rotation,
+        "op11_overlapping_chunks": byte_bpe.op11_overlapping_chunks,
+        "op12_checkpointed_repair": turn_repair.op12_checkpointed_repair,
+        "op13_frequency_splitting": periodic_runs.op13_frequency_splitting,
     }
 
 
