@@ -81,8 +81,8 @@ def move(code: int, after: Costs, state: int) -> tuple[str, int]:
         return said + tight[0][0], tight[0][1]
 
 
-def walk(codes: bytes, end: Costs, state: int) -> tuple[str, str, int]:
-    """(edits of all rows, edits without those of rows that must go, state at the end).
+def walk(codes: bytes, end: Costs, state: int) -> tuple[str, int]:
+    """(edits, state at the end).
 
     Going back, only the vector at every sqrt(n)-th row is stored; going forward,
     the vectors of one block at a time are computed again from the next checkpoint.
@@ -95,7 +95,7 @@ def walk(codes: bytes, end: Costs, state: int) -> tuple[str, str, int]:
         costs = level(before_row(codes[i], costs))[0]
         if i % size == 0:
             marks[i] = costs
-    said, script = [], []
+    said = []
     for lo in range(0, n, size):
         hi = min(lo + size, n)
         block = [marks[hi]]
@@ -104,8 +104,7 @@ def walk(codes: bytes, end: Costs, state: int) -> tuple[str, str, int]:
         for i in range(lo, hi):
             edit, state = move(codes[i], block[hi - 1 - i], state)
             said.append(edit)
-            script.append(edit[:-1] if codes[i] & GONE else edit)
-    return "".join(said), "".join(script), state
+    return "".join(said), state
 
 
 def ending(state: int) -> tuple[str, int]:
@@ -252,7 +251,7 @@ def chained(edge: DataFrame) -> DataFrame:
     return per.mapInArrow(run, "conv_id long, part int, ends array<long>, first boolean, last boolean")
 
 
-_WALKED = "conv_id long, part int, cost long, audits array<string>, scripts array<string>, exits array<int>"
+_WALKED = "conv_id long, part int, cost long, audits array<string>, exits array<int>"
 
 
 def walked(planned: DataFrame) -> DataFrame:
@@ -260,19 +259,18 @@ def walked(planned: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _WALKED.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())]
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for r in batch.to_pylist():
-                ends, audits, scripts, exits = tuple(r["ends"]), [], [], []
+                ends, audits, exits = tuple(r["ends"]), [], []
                 for state in range(1 if r["first"] else 4):
-                    audit, script, state = walk(r["codes"], ends, state)
+                    audit, state = walk(r["codes"], ends, state)
                     more, state = ending(state) if r["last"] else ("", state)
                     audits.append(audit + more)
-                    scripts.append(script + more)
                     exits.append(state)
                 costs, total = backward(r["codes"], ends) if r["first"] else ((0,), 0)
-                for column, value in zip(out, (r["conv_id"], r["part"], costs[0] + total, audits, scripts, exits), strict=True):
+                for column, value in zip(out, (r["conv_id"], r["part"], costs[0] + total, audits, exits), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
@@ -294,7 +292,7 @@ def entered(ways: DataFrame) -> DataFrame:
 
 
 def edits(turns: DataFrame, parts: int) -> DataFrame:
-    """One row per conversation and range: its statistics, audit and script, staged."""
+    """One row per conversation and range: its statistics and edits."""
     s = staged(stretches(coded(marked(turns)), parts))
     edge = s.where("edge")
     plan = chained(edge).alias("p")
@@ -306,7 +304,7 @@ def edits(turns: DataFrame, parts: int) -> DataFrame:
     at = F.coalesce("entry", F.lit(0))
     return (
         s.drop("codes", "passage", "edge").alias("s").join(ways.alias("w"), of("s", "w")).join(entry.alias("n"), of("s", "n"), "left")
-        .select("s.*", "cost", F.get("audits", at).alias("audit"), F.get("scripts", at).alias("script"))
+        .select("s.*", "cost", F.get("audits", at).alias("audit"))
     )
 
 
@@ -316,13 +314,14 @@ _COUNTS = ("blank", "duplicate", "truncated", "illegal")
 
 
 class Conversation:
-    """What is known of the conversation that streams by: its edits first, then the turns that may stay, in order."""
+    """What is known of the conversation that streams by: its edits first, then its turns in order."""
 
     def __init__(self, conv_id: int | None) -> None:
-        self.conv_id, self.cost, self.audit, self.script = conv_id, 0, [], []
+        self.conv_id, self.cost, self.audit = conv_id, 0, []
         self.sums, self.turns, self.least, self.most = dict.fromkeys(_COUNTS, 0), 0, None, None
         self.last: dict | None = None
-        self.plan, self.at, self.state, self.position = "", 0, 0, 0
+        self.plan: str | None = None
+        self.at = self.state = self.position = 0
         self.sha = hashlib.sha256()
 
     def stretch(self, r: dict) -> None:
@@ -337,7 +336,6 @@ class Conversation:
         self.last = r
         self.cost += r["cost"]
         self.audit.append(r["audit"])
-        self.script.append(r["script"])
 
     def say(self, role: str, text: str, edit: str) -> tuple:
         self.sha.update(f"{chr(10) if self.position else ''}{role}:{text}".encode())
@@ -346,8 +344,8 @@ class Conversation:
 
     def inserts(self) -> Iterator[tuple]:
         """The turns put in before the next turn, or at the end."""
-        if self.script:
-            self.plan, self.script = "".join(self.script), []
+        if self.plan is None:
+            self.plan = "".join(self.audit)
         while self.at < len(self.plan) and self.plan[self.at] == "I":
             self.at, self.state = self.at + 1, TURN[self.state]
             yield self.say(NAME[self.state], "", "I")
@@ -368,10 +366,8 @@ class Conversation:
 
 
 def played(turns: DataFrame, every: DataFrame, parts: int, as_turns: bool) -> DataFrame:
-    """The edits put on the texts: a conversation's edits and the first of its equal turns, in order, stream through one task, as its SHA-256 needs."""
-    rows = marked(turns).where("sign <> ''")
-    texts = rows.groupBy("conv_id", "role", "mark").agg(F.min(F.struct("turn")).alias("first"), F.first("text").alias("text"))
-    texts = texts.select("conv_id", F.lit(2).alias("step"), F.lit(0).alias("part"), F.col("first.turn").alias("turn"), "role", "mark", "text")
+    """The edits put on the texts: a conversation's edits and then its turns in order stream through one task, as its SHA-256 needs. Texts are shuffled once."""
+    texts = marked(turns).select("conv_id", F.lit(2).alias("step"), F.lit(0).alias("part"), "turn", "role", "mark", "text")
     plan = edits(turns, parts).withColumn("step", F.lit(1))
     known = every.select("conv_id", F.lit(0).alias("step")).distinct()
     order = ["conv_id", "step", "part", "turn", "role", "mark"]
