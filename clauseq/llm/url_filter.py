@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
-import uuid
+from collections import defaultdict
+from math import sqrt
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseq.llm.staging import shared_folder
+from clauseq.llm.staging import staged, unstage
 
 #: Fixed by the contract: verdict, rule (host/path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -16,6 +17,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 FANOUT, SPREAD = 8, 0.3
 #: Weight of the smoothing prior in labelled urls, standard errors that set a branch apart, share that rejects a template.
 PRIOR, APART, REJECT = 4.0, 2.0, 0.6
+#: A node with at most so many distinct paths is finished in one task, to its last segment.
+SMALL = 4096
 
 
 def host_of(url: Column) -> Column:
@@ -56,8 +59,7 @@ def deeper(tree: DataFrame) -> DataFrame:
     share, others = F.col("bad") / F.greatest(told, F.lit(1)), (F.col("all_bad") - F.col("bad")) / F.greatest(rest, F.lit(1))
     pooled = F.col("all_bad") / F.greatest(told + rest, F.lit(1))
     error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(told, F.lit(1)) + 1 / F.greatest(rest, F.lit(1))) + 1e-9)
-    # Without labels on either side nothing sets the branch apart.
-    alike = (F.col("kids") > 1) & ((told == 0) | (rest == 0) | (F.abs(share - others) <= APART * error))
+    alike = (told > 0) & (rest > 0) & (F.abs(share - others) <= APART * error)
     variable = (F.col("kids") >= FANOUT) & (F.col("kids") >= SPREAD * F.col("all_n"))
     named = child.join(node, ["host", "template"]).select("host", "template", "seg", "only", F.when(variable | alike, "*").otherwise(F.col("seg")).alias("name"))
     tree = tree.join(named, ["host", "template", "seg"])
@@ -68,36 +70,86 @@ def deeper(tree: DataFrame) -> DataFrame:
     )
 
 
-def templates(paths: DataFrame) -> DataFrame:
+def finished(rests: list[tuple[str, ...]], counts: list[tuple[int, int, int]]) -> list[str]:
+    """The names, joined, that each path under one node gets; counts are (n, bad, good) of each. What deeper() does, level by level, in memory."""
+    said = ["" for _ in rests]
+    nodes = [(0, list(range(len(rests))))]
+    while nodes:
+        level, rows = nodes.pop()
+        rows = [r for r in rows if len(rests[r]) > level]
+        kids = defaultdict(list)
+        for r in rows:
+            kids[rests[r][level]].append(r)
+        if len(kids) == 1 and all(rests[r] == rests[rows[0]] for r in rows[1:]):
+            for r in rows:
+                said[r] += "/" + "/".join(rests[r][level:])
+            continue
+        sums = {seg: [sum(counts[r][i] for r in of) for i in range(3)] for seg, of in kids.items()}
+        n, bad, good = (sum(s[i] for s in sums.values()) for i in range(3))
+        variable = len(kids) >= FANOUT and len(kids) >= SPREAD * n
+        named = defaultdict(list)
+        for seg, of in kids.items():
+            told, rest, alike = sum(sums[seg][1:]), bad + good - sum(sums[seg][1:]), False
+            if told and rest:
+                pooled = bad / (bad + good)
+                error = sqrt(pooled * (1 - pooled) * (1 / told + 1 / rest) + 1e-9)
+                alike = abs(sums[seg][1] / told - (bad - sums[seg][1]) / rest) <= APART * error
+            named["*" if variable or alike else seg] += of
+        for name, of in named.items():
+            for r in of:
+                said[r] += "/" + name
+            nodes.append((level + 1, of))
+    return said
+
+
+def _finish(node: pd.DataFrame) -> pd.DataFrame:
+    below = finished([tuple(r) for r in node["rest"]], list(zip(node["n"], node["bad"], node["good"], strict=True)))
+    return node.assign(template=node["template"] + below)[["host", "shape", "bad", "good", "template"]]
+
+
+def templates(paths: DataFrame, small: int = SMALL) -> DataFrame:
     """(host, shape) -> template and rejected.
 
     paths: host, shape (array of segments), n urls, bad and good (urls that a rule
     blocks or allows). Level by level, down to the last segment of the longest path,
     a node's children become one wildcard where they are variable; of the others,
-    those whose share of blocked urls is within APART standard errors of all their
-    siblings' together are merged. A leaf is rejected if its share of blocked urls,
-    smoothed towards the share over all hosts, reaches REJECT. Shares are of the urls
-    with a rule; a url without one has no label, and takes that of the template it
-    falls into. Each level is written to the folder of spark.checkpoint.dir. The
-    table has one row for each distinct shape of a host.
+    one whose share of blocked urls is within APART standard errors of its siblings'
+    together is merged with its like. That takes labels on both sides: a branch
+    without any is like nothing. A leaf is rejected if it has labels and its share of
+    blocked urls, smoothed towards the share over all hosts, reaches REJECT. Shares
+    are of the urls with a rule; a url without one takes the label of its leaf.
+
+    Nodes of up to `small` distinct paths, so most hosts, are finished in one task each, so a
+    path of any depth costs no further job; each level of larger ones is a job and a
+    step in the folder of spark.checkpoint.dir, which the next replaces. The result is the same.
     """
-    spark = paths.sparkSession
-    folder = f"{shared_folder(spark)}/templates-{uuid.uuid4().hex}"
-    tree = paths.select("host", "shape", "n", "bad", "good", F.lit("").alias("template"), F.col("shape").alias("rest"))
-    schema = tree.schema
-    for level in itertools.count():
-        tree.write.parquet(f"{folder}/level={level}")
-        tree = spark.read.schema(schema).parquet(f"{folder}/level={level}").where(F.size("rest") > 0)
-        if tree.isEmpty():
+    tree = staged(paths.select("host", "shape", "n", "bad", "good", F.lit("").alias("template"), F.col("shape").alias("rest")))
+    done = []
+    while True:
+        ended = tree.where(F.size("rest") == 0).select("host", "shape", "bad", "good", "template")
+        sizes = tree.where(F.size("rest") > 0).groupBy("host", "template").agg((F.count(F.lit(1)) <= small).alias("fits"))
+        open_ = staged(tree.where(F.size("rest") > 0).join(sizes, ["host", "template"]))
+        fit = open_.where("fits").groupBy("host", "template").applyInPandas(_finish, "host string, shape array<string>, bad long, good long, template string")
+        done.append(staged(ended.unionByName(fit)))
+        unstage(tree)
+        large = open_.where("NOT fits").drop("fits")
+        if large.isEmpty():
+            unstage(open_)
             break
-        tree = deeper(tree)
-    tree = spark.read.schema(schema).parquet(folder).where(F.size("rest") == 0)
+        tree = staged(deeper(large))
+        unstage(open_)
+    tree = done[0]
+    for more in done[1:]:
+        tree = tree.unionByName(more)
     told = F.sum("bad") + F.sum("good")
     prior = tree.agg(F.coalesce(F.sum("bad") / F.greatest(told, F.lit(1)), F.lit(0.0)).alias("prior"))
     leaf = tree.groupBy("host", "template").agg(F.sum("bad").alias("bad"), told.alias("told"))
     # The prior is one row.
-    leaf = leaf.join(F.broadcast(prior)).select("host", "template", ((F.col("bad") + PRIOR * F.col("prior")) / (F.col("told") + PRIOR) >= REJECT).alias("rejected"))
-    return tree.select("host", "shape", "template").join(leaf, ["host", "template"])
+    smoothed = (F.col("bad") + PRIOR * F.col("prior")) / (F.col("told") + PRIOR)
+    leaf = leaf.join(F.broadcast(prior)).select("host", "template", ((F.col("told") > 0) & (smoothed >= REJECT)).alias("rejected"))
+    out = staged(tree.select("host", "shape", "template").join(leaf, ["host", "template"]))
+    unstage(*done)
+    return out
 
 
 def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:

@@ -1,6 +1,7 @@
 """Cases that the operators once left out."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -40,7 +41,7 @@ def tree_of(shapes):
             n, bad, good = (sum(c[i] for c in counts.values()) for i in range(3))
             for seg, keys in kids.items():
                 told, rest = sum(counts[seg][1:]), bad + good - sum(counts[seg][1:])
-                alike = len(kids) > 1
+                alike = bool(told and rest)
                 if told and rest:
                     share, others, pooled = counts[seg][1] / told, (bad - counts[seg][1]) / rest, bad / (bad + good)
                     alike &= abs(share - others) <= 2 * (pooled * (1 - pooled) * (1 / told + 1 / rest) + 1e-9) ** 0.5
@@ -52,7 +53,7 @@ def tree_of(shapes):
     for (h, s), (_, bad, good) in shapes.items():
         leaf = leaves.setdefault((h, name[h, s]), [0, 0])
         leaf[0], leaf[1] = leaf[0] + bad, leaf[1] + bad + good
-    return {k: (t, (leaves[k[0], t][0] + 4 * prior) / (leaves[k[0], t][1] + 4) >= 0.6) for k, t in name.items()}
+    return {k: (t, leaves[k[0], t][1] > 0 and (leaves[k[0], t][0] + 4 * prior) / (leaves[k[0], t][1] + 4) >= 0.6) for k, t in name.items()}
 
 
 def test_templates_reach_the_last_segment(spark):
@@ -67,19 +68,39 @@ def test_templates_reach_the_last_segment(spark):
             count[i] += v
     shapes["x", tuple("abcabcabcabc")] = [3, 0, 0]
     paths = spark.createDataFrame([(h, list(s), *c) for (h, s), c in shapes.items()], "host string, shape array<string>, n long, bad long, good long")
-    got = {(r["host"], tuple(r["shape"])): (r["template"], r["rejected"]) for r in url_filter.templates(paths).collect()}
-    assert got == tree_of(shapes)
-    assert len({r for _, r in got.values()}) == 2
+    for small in (4096, 20, 1):
+        got = {(r["host"], tuple(r["shape"])): (r["template"], r["rejected"]) for r in url_filter.templates(paths, small).collect()}
+        assert got == tree_of(shapes)
+        assert len({r for _, r in got.values()}) == 2
 
 
-def test_urls_without_rule_take_the_label_of_their_template(spark):
-    rules = (("block", "bad.com/de/"), ("allow", "good.org/fr/"), ("block", "deep.net/a/b/c/d/e/x"), ("allow", "deep.net/a/b/c/d/f/x"))
+def test_urls_take_the_label_of_their_template_and_pass_without_evidence(spark):
+    rules = (("block", "bad.com/de/"), ("allow", "good.org/fr/"), ("block", "deep.net/a/b/c/d/e/x"), ("allow", "deep.net/a/b/c/d/f/x"), ("block", "var.org/m3/"), ("block", "var.org/m4/"))
     starts = ["bad.com/de/", "bad.com/en/", "good.org/fr/", "good.org/en/"] + [f"deep.net/a/b/c/d/{s}" for s in ("e/x", "e/y", "f/x", "f/y")]
-    urls = [f"http://{s}{i}" for s in starts for i in range(20)]
+    urls = [f"http://{s}{i}" for s in starts for i in range(20)] + [f"http://var.org/m{i}/page" for i in range(20)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r["page_id"]: r for r in url_filter.judge_urls(pages, rules).collect()}
-    assert [got[20 * k]["verdict"] for k in range(8)] == ["block", "block", "allow", "allow", "block", "block", "allow", "allow"]
-    assert got[20]["rule"] is None and got[100]["template"] == "/a/b/c/d/e/*" and got[140]["template"] == "/a/b/c/d/f/*"
+    # Branches without labels pass; a number is one variable segment, so all its pages share the label of two of them.
+    assert [got[20 * k]["verdict"] for k in range(8)] == ["block", "allow", "allow", "allow", "block", "allow", "allow", "allow"]
+    assert {got[i]["verdict"] for i in range(160, 180)} == {"block"} and got[179]["rule"] is None and got[179]["template"] == "/m*/page"
+    assert got[100]["template"] == "/a/b/c/d/e/y*" and got[140]["template"] == "/a/b/c/d/f/y*"
+
+
+def test_a_blocked_branch_does_not_take_its_siblings_along(spark):
+    names = random.Random(1).sample([a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnrst"], 60)
+    urls = [f"http://example.com/de/{x}" for x in names[:3]] + [f"http://example.com/{s}/{x}" for s in ("en", "fr", "shop", "blog") for x in names[:50]]
+    pages = spark.createDataFrame([(i, u, "h", "p", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, path string, n int")
+    got = url_filter.judge_urls(pages).collect()
+    assert len(got) == 203 and sorted(r["page_id"] for r in got if r["verdict"] == "block") == [0, 1, 2]
+
+
+def test_a_path_of_a_thousand_segments(spark):
+    urls = [f"http://trap.com/{'a/b/' * 500}{x}" for x in ("y", "z")] + [f"http://comb.com/{'a/b/' * k}end" for k in range(500)] * 2
+    pages = spark.createDataFrame([(i % 900, u) for i, u in enumerate(urls)], "page_id long, url string")
+    start = time.time()
+    got = url_filter.judge_urls(pages).collect()
+    assert len(got) == len(urls) and time.time() - start < 20
+    assert max(len(r["template"].split("/")) for r in got) == 1002
 
 
 def test_private_keys_go_to_their_end_line(spark):
