@@ -23,7 +23,7 @@ TRAIN_ROWS, LEAST_ROWS, LANDMARKS, RIDGE = 3000, 20, 192, 1e-4
 #: A text is read in blocks of this many bytes; each gives a presence vector, and their kernels are averaged.
 BLOCK = 2048
 #: Parts in which a language's ids are first chosen, so that no task orders all of one; tasks that sum up the sample.
-SALTS, FIT_TASKS = 64, 16
+FIT_TASKS = 16
 #: The pipeline rejects documents whose evidence is not above this share of what all labelled rows but a hundredth reach.
 EVIDENCE, LOWEST = 0.5, 0.01
 
@@ -117,16 +117,22 @@ def _sums(sent, langs: list[str], weights: dict[str, float]):
     return run
 
 
-def training_ids(labelled: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, lang) of the training rows, and how many at most: for each language an even share of TRAIN_ROWS, those of least hash of doc_id."""
+def training_ids(labelled: DataFrame) -> DataFrame:
+    """(doc_id, lang) of the training rows: for each language an even share of TRAIN_ROWS, the ids of least hash.
+
+    Hashes are even, so the ids under a bound that the language's number of ids sets
+    hold the share; only those few are ranked. The bound leaves six standard
+    deviations, and a smaller sample is no fault.
+    """
     ids = labelled.select("doc_id", "lang").distinct()
-    known = max(1, labelled.select("lang").distinct().count())
-    share = max(LEAST_ROWS, TRAIN_ROWS // known)
-    by = (F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = ids.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)))
-    ids = ids.withColumn("turn", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*by))).where(F.col("turn") <= share)
-    ids = ids.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("turn") <= share)
-    return ids.select("doc_id", "lang"), share * known
+    counts = staged(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("of")))
+    share = max(LEAST_ROWS, TRAIN_ROWS // max(1, counts.count()))
+    hashed = F.xxhash64("doc_id")
+    room = share + 6 * share**0.5 + 20
+    # One row for each language.
+    few = ids.join(F.broadcast(counts), "lang").where(hashed / 2.0**64 + 0.5 <= room / F.col("of"))
+    few = few.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id"))).where(F.col("turn") <= share)
+    return few.select("doc_id", "lang")
 
 
 def fit(docs: DataFrame) -> Model:
@@ -142,8 +148,10 @@ def fit(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("text", "lang", F.col("doc_id").cast("long").alias("doc_id"))
     # Ids are chosen before texts are read, so only the sample's texts are shuffled; so many ids at most are broadcast.
-    chosen, most = training_ids(labelled)
-    sample = staged(labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").limit(most).repartition(FIT_TASKS, "doc_id"))
+    chosen = training_ids(labelled)
+    # Of rows that share id and language, the one of least text hash trains; copies meet in the map-side part.
+    rows = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = staged(rows.select("text", "lang", "doc_id").repartition(FIT_TASKS, "doc_id"))
     rows = sample.mapInArrow(_one_block, "doc_id long, lang string, bits binary").collect()
     # In the order of a hash: by the bits themselves the landmarks would be the shortest texts.
     rows = sorted((r["lang"], zlib.crc32(r["bits"]), bytes(r["bits"]), r["doc_id"]) for r in rows)
