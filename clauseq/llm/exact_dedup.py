@@ -15,6 +15,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 BATCHES = 4
 #: A text with more than this share of the rows is joined apart; there are fewer than 1 / HOT of them.
 HOT = 1e-3
+#: Rows that share doc_id and text are given back in blocks of so many, each in a task of its own.
+COPIES = 1 << 16
 
 
 def digest(text: Column) -> Column:
@@ -94,7 +96,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     named = rows.join(F.broadcast(hot), "sha", "left")
     light = named.where("group_size IS NULL").select("sha", "doc_id", "rows").join(groups, "sha")
     every = named.where("group_size IS NOT NULL").unionByName(light)
-    of = every.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    few = every.where(F.col("rows") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {COPIES}")))
+    many = every.where(F.col("rows") > COPIES).withColumn("block", blocks).repartition("sha", "doc_id", "block")
+    copies = F.sequence(F.col("block") * COPIES + 1, F.least(F.col("rows"), (F.col("block") + 1) * COPIES))
+    of = few.unionByName(many.withColumn("copy", F.explode(copies)).drop("block"))
     return of.select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
