@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from clauseq.llm import bpe_chunks, exact_dedup, fingerprints, language_id, ngram_join, packing, repeats, secret_scan, url_filter
 
@@ -166,6 +168,13 @@ def test_exact_dedup_of_repeated_rows_and_clashing_columns(spark):
     assert sorted((r["doc_id"] or 0, " ".join((r["text"] or "").split())) for r in kept.collect()) == [(0, ""), (1, "a b"), (7, "y"), (7, "z"), (100, "hot")]
 
 
+def test_copies_of_one_row_come_back_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "COPIES", 7)
+    t = spark.createDataFrame([(None, None)] * 50 + [(1, "x")] * 14 + [(2, "x")], "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(t).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, 50, True)] + [(None, 50, False)] * 49 + [(1, 15, True)] + [(1, 15, False)] * 13 + [(2, 15, False)]))
+
+
 def test_fingerprints(docs):
     rows = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs).collect()}
     ids = sorted((k for k in TEXTS if k is not None), reverse=True) + [None]
@@ -180,6 +189,57 @@ def test_fingerprints(docs):
     assert rows[10]["fingerprint"] == rows[11]["fingerprint"]
 
 
+def plain_fingerprint(text):
+    """One-permutation MinHash in plain Python: the same hashes, one pass, then each empty bin's own series."""
+
+    def h64(seed, *values):
+        for v in values:
+            raw = v.encode() if isinstance(v, str) else v
+            seed = xxhash.xxh64(raw, seed=seed & (2**64 - 1)).intdigest()
+        return seed - 2**64 if seed >= 2**63 else seed
+
+    long, int_ = (lambda v: struct.pack("<q", v)), (lambda v: struct.pack("<i", v))
+    words = [h64(42, w) for w in re.split(r"[\x20\x09-\x0D]+", text.lower().strip(" \t\n\x0b\x0c\r")) if w]
+    if not words:
+        return ""
+    least = {}
+    for i in range(max(1, len(words) - 4)):
+        h = h64(42, *map(long, words[i : i + 5]))
+        b = (h >> 57) + 64
+        least[b] = min(h, least.get(b, h))
+    out = []
+    for b in range(128):
+        tries = [least.get(b)] + [least.get(h64(42, int_(b), int_(k)) % 128) for k in range(16)]
+        found = next((h for h in tries if h is not None), None)
+        if found is None:
+            found = min((h64(42, int_(b), int_(x)), h) for x, h in least.items())[1]
+        out.append(f"{found & 255:02X}")
+    return "".join(out)
+
+
+def plain_likeness(a, b):
+    if a == b or "" in (a, b):
+        return float(a == b)
+    same = sum(a[i : i + 2] == b[i : i + 2] for i in range(0, 256, 2)) / 128
+    return max(0.0, (same - 2**-8) / (1 - 2**-8))
+
+
+def test_fingerprints_bin_by_bin(spark):
+    texts = [*TEXTS.values(), "w " * 50_000, "same text twice", "same text twice"]
+    rows = [(i // 2 * 2 if i % 9 == 0 else i, t, "clash", 5, "n") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, range int, key string").repartition(3)
+    order = sorted(rows, key=lambda r: (r[0], r[1].encode()), reverse=True)
+    want = []
+    for k, (doc_id, text, *_) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own, new = plain_fingerprint(text), plain_fingerprint(edited)
+        want.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, new, round(plain_likeness(own, new), 9), round(plain_likeness(own, plain_fingerprint(after)), 9)))
+    got = [(*tuple(r)[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.fingerprint_documents(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_language_held_out(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language_id.identify(rows).join(rows.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -200,6 +260,21 @@ def test_url_rules(spark):
     assert {got[i]["verdict"] for i in (4, 5)} == {"block"} and got[2]["verdict"] == got[7]["verdict"] == "allow"
 
 
+def test_repeated_labelled_rows_train_once(spark):
+    rows = [(i % 7, "the house and the garden " * (i % 3 + 1), "en") for i in range(60)] + [(100 + i, "ja talo joka on siellä", "fi") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = [language_id.fit(docs.repartition(n)) for n in (1, 5)]
+    assert len(models[0].landmarks) == 12 and np.array_equal(models[0].landmarks, models[1].landmarks) and np.allclose(models[0].weights, models[1].weights)
+
+
+def test_more_empty_tables(spark, empty):
+    import public_tokenizers as P
+
+    assert bpe_chunks.encode_decode(empty, P.path("word_bpe_49k.json")).count() == 0
+    assert secret_scan.find_secrets(empty).count() == 0 and secret_scan.redact_secrets(empty).count() == 0
+    assert exact_dedup.keep_first_copies(empty).count() == 0 and ngram_join.keep_one_of_each(empty).count() == 0
+
+
 def test_empty_tables(spark, empty):
     assert ngram_join.link_components(empty).count() == 0
     assert repeats.remove_repeats(empty).count() == 0
