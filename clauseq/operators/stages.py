@@ -167,10 +167,11 @@ def rerank(pool: DataFrame, scored: Column, number: str | None = None) -> DataFr
     return placed(p, F.desc("_pin"), F.col("rerank").desc_nulls_last()).drop("_pin")
 
 
-def unseen(pool: DataFrame, lane: DataFrame, keep: int, share: float = 1.0) -> DataFrame:
+def unseen(pool: DataFrame, lane: DataFrame, keep: int | None, share: float = 1.0) -> DataFrame:
     """The pool and, after it, the first hits of a lane that it has not, with a share of their score: hyde, federation, sub-queries, owners' files, full-text hits."""
     new = lane.join(pool.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    new = new.withColumn("_i", F.row_number().over(per_query().orderBy("pos"))).where(F.col("_i") <= keep)
+    new = new.withColumn("_i", F.row_number().over(per_query().orderBy("pos")))
+    new = new if keep is None else new.where(F.col("_i") <= keep)
     last = pool.groupBy("query_id").agg(F.max("pos").alias("_last"))
     new = new.join(last, "query_id", "left").withColumn("pos", F.coalesce("_last", F.lit(0)) + F.col("_i")).withColumn("score", F.col("score") * share)
     return pool.unionByName(new.select(*pool.columns))
@@ -314,7 +315,7 @@ STAGES: dict[str, Callable[..., DataFrame]] = {
     "multi-query": lambda pool, lanes: fuse([pool, *lanes], 50),
     "sub-query": lambda pool, lane: unseen(pool, lane, 8, 0.8),
     "lexical-union": lambda pool, lane: unseen(pool, lane, 40),
-    "federate": lambda pool, lane: unseen(pool, lane, 1000, 0.95),
+    "federate": lambda pool, lane: unseen(pool, lane, None, 0.95),
     "user-lane": lambda pool, lane, owner: unseen(pool, lane.where(F.col("owner") == owner).drop("owner"), 3),
     "seal": seal, "license-scope": license_scope, "overview-demote": overview_demote, "family-boost": family_boost, "rerank": rerank,
     "lexical-rrf": lambda pool, lane: fuse([pool, lane], 50), "citation-probe": citation_probe,
@@ -325,10 +326,13 @@ STAGES: dict[str, Callable[..., DataFrame]] = {
 
 
 def run_stages(pool: DataFrame, asked: dict[str, dict]) -> DataFrame:
-    """The asked stages (name to options) in the order of STAGES; an unknown name is an error."""
-    if unknown := sorted(set(asked) - set(STAGES)):
-        raise ValueError(f"unknown stages: {', '.join(unknown)}; known: {', '.join(STAGES)}")
-    for name, stage in STAGES.items():
+    """The asked stages (name to options), the lanes that fill the pool first, in the order of the registry; an unknown name is an error."""
+    from clauseq.operators.lanes import LANES
+
+    every = {"dense": LANES["dense"], "hyde": STAGES["hyde"]} | LANES | STAGES
+    if unknown := sorted(set(asked) - set(every)):
+        raise ValueError(f"unknown stages: {', '.join(unknown)}; known: {', '.join(every)}")
+    for name, stage in every.items():
         if name in asked:
             pool = stage(pool, **asked[name])
     return pool
