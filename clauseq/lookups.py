@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseq.catalogue import query, read
-from clauseq.operators import ranges
+from clauseq.operators import checks, ranges, tableqa
 
 _TIERS = """tiers AS (SELECT o_orderkey + CASE WHEN o_orderkey % 977 = 976 OR o_orderkey % 983 = 982 THEN 1000000 ELSE 0 END AS row_index,
   CASE WHEN o_orderkey % 977 = 976 THEN NULL ELSE floor(o_totalprice / 5) END AS low, CASE WHEN o_orderkey % 983 = 982 THEN NULL ELSE floor(o_totalprice / 5) + 5 * (o_orderkey % 40) END AS high, o_orderkey % 2 = 0 AS open_low, o_orderpriority AS tier FROM orders)"""
@@ -65,3 +65,91 @@ def condition_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = o.groupBy((F.col("o_orderkey") % 500).alias("set_id"), F.col("o_orderpriority").alias("kind")).agg(F.avg("o_totalprice").alias("centre")).withColumn("tolerance", F.lit(60000.0))
     stated = o.groupBy(F.col("o_custkey").alias("question"), F.col("o_orderpriority").alias("kind")).agg(F.max("o_totalprice").alias("value"))
     return ranges.admitted_sets(stated, entries)
+
+
+#: An order states a load and a step, some with a tolerance, some in another dimension, some without the step.
+_STATED = """s AS (SELECT o_orderkey, o_custkey % 25 AS node_id, o_custkey % 1000 * 10 + 5 AS a, o_orderkey % 50 + 0.5::DOUBLE AS b, o_orderkey % 9 = 0 AS mixed, o_orderkey % 13 = 0 AS lacks,
+  CASE o_orderkey % 4 WHEN 1 THEN 60.0::DOUBLE WHEN 2 THEN (o_custkey % 1000 * 10 + 5) * 10 / 100.0::DOUBLE WHEN 3 THEN 0.2::DOUBLE END AS tol FROM orders)"""
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, node_id, text: what an order states in words."""
+    key, load = F.col("o_orderkey"), F.col("o_custkey") % 1000 * 10 + 5
+    tol = F.when(key % 4 == 1, " kg ± 60").when(key % 4 == 2, " ± 10 %").when(key % 4 == 3, " kg pm 0.2 kg").otherwise(" kg")
+    step = F.when(key % 13 == 0, "").otherwise(F.concat(F.lit(" and a step_min of "), (key % 50 + 0.5).cast("string"), F.when(key % 9 == 0, " m").otherwise(" kg")))
+    return read(spark, sf_dir, "orders").select(key.alias("query_id"), (F.col("o_custkey") % 25).alias("node_id"), F.concat(F.lit("Is it right with LOAD_max = "), load.cast("string"), tol, step, F.lit("?")).alias("text"))
+
+
+def check_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two checks for each nation: load less (5 + key) steps within 100 * key, and the load above 50. A tenth of the nodes say what a violation means."""
+    n, key = read(spark, sf_dir, "nation"), F.col("n_nationkey").cast("long")
+    term = lambda factor, *symbols: F.struct(factor.cast("double").alias("factor"), F.array(*map(F.lit, symbols)).alias("symbols"))
+    one = n.select(key.alias("node_id"), F.lit(1).alias("check_no"), F.array(term(F.lit(1), "cell.load_max"), term(-(key + 5), "step_min")).alias("terms"), F.lit("<=").alias("op"), (100.0 * key).alias("limit"))
+    two = n.select(key.alias("node_id"), F.lit(2).alias("check_no"), F.array(term(F.lit(1), "cell.load_max")).alias("terms"), F.lit(">").alias("op"), F.lit(50.0).alias("limit"))
+    nodes = n.select(key.alias("node_id"), F.when(key % 10 == 3, "reject").alias("on_violation"), F.when(key % 10 == 3, F.col("n_name")).alias("violation_meaning"))
+    units = spark.createDataFrame([("kg", "mass"), ("m", "length")], "unit string, dimension string")
+    return one.unionByName(two), nodes, units
+
+
+_JUDGED = f"""{_STATED}, m AS (SELECT *, a - (node_id + 5) * b - 100.0::DOUBLE * node_id AS m1, a - 50.0::DOUBLE AS m2, CASE WHEN o_orderkey % 4 = 2 THEN false ELSE mixed END AS mix FROM s),
+r AS (SELECT *, NOT lacks AND NOT mix AS ok1, NOT lacks AS ok2, m1 <= 0 AS r1, m2 > 0 AS r2 FROM m),
+v AS (SELECT *, ok1 AND tol IS NOT NULL AND ((m1 + tol <= 0) <> r1 OR (m1 - tol <= 0) <> r1) AS x1, ok2 AND tol IS NOT NULL AND ((m2 + tol > 0) <> r2 OR (m2 - tol > 0) <> r2) AS x2 FROM r)"""
+
+
+@query(f"""WITH {_JUDGED} SELECT o_orderkey AS query_id, node_id, CASE WHEN lacks OR mix OR x1 OR x2 THEN 'void' WHEN NOT r1 OR NOT r2 THEN 'fail' ELSE 'pass' END AS verdict,
+  CASE WHEN lacks THEN 'step_min' ELSE '' END AS missing, CASE WHEN NOT lacks AND mix THEN 'mixed dimensions' WHEN x1 OR x2 THEN 'tolerance of load_max' END AS void_reason,
+  CASE WHEN NOT (lacks OR mix OR x1 OR x2) AND (NOT r1 OR NOT r2) THEN CASE WHEN node_id % 10 = 3 THEN 'reject' ELSE 'invalid' END END AS on_violation,
+  CASE WHEN NOT (lacks OR mix OR x1 OR x2) AND (NOT r1 OR NOT r2) AND node_id % 10 = 3 THEN n_name END AS violation_meaning FROM v JOIN nation ON n_nationkey = node_id""")
+def table_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of each order's words on its node's checks, which are rows of a table."""
+    rules, nodes, units = check_tables(spark, sf_dir)
+    got = checks.judge_nodes(checks.judge_checks(statements(spark, sf_dir), rules, units), nodes)
+    return got.withColumn("missing", F.array_join("missing", ","))
+
+
+@query(f"""WITH {_JUDGED}, c AS (SELECT o_orderkey AS query_id, 1 AS check_no, tol, abs(m1) / tol AS flip, ok1 AND NOT x1 AS robust, r1 AS strict FROM v WHERE tol > 0 UNION ALL SELECT o_orderkey, 2, tol, abs(m2) / tol, ok2 AND NOT x2, NOT r2 FROM v WHERE tol > 0)
+SELECT query_id, check_no, flip < 20 AS bounded, round(CASE WHEN flip < 20 THEN 1 + 19 * CASE WHEN strict THEN floor((flip - 1) * 4096 / 19) + 1 ELSE ceil((flip - 1) * 4096 / 19) END / 4096 ELSE 20 END / 2, 6) AS safety FROM c WHERE robust AND abs(flip - 20) > 1e-6""")
+def check_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many times its stated tolerance a value may move before a check flips, over twice the tolerance."""
+    rules, _, units = check_tables(spark, sf_dir)
+    got = checks.judge_checks(statements(spark, sf_dir), rules, units).where("safety IS NOT NULL")
+    return got.select("query_id", "check_no", "bounded", F.round("safety", 6).alias("safety"))
+
+
+def typed_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A table of limits for each brand: a class, a range of loads and a limit of error for each of its parts."""
+    part, nr = read(spark, sf_dir, "part"), F.regexp_extract("p_brand", "([0-9]+)", 1)
+    p = part.select(F.concat(F.lit("/table/limits_brand"), nr).alias("table_id"), F.col("p_partkey").alias("row"), "p_size", "p_retailprice", nr.alias("nr"))
+    tables = p.groupBy("table_id").agg(F.concat(F.lit("Limits of brand "), F.first("nr")).alias("title"))
+    names = [(0, "accuracy_class", "string", None), (1, "load_gt", "number", "kg"), (2, "load_max", "number", "kg"), (3, "mpe", "number", "v")]
+    columns = tables.select("table_id", F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.lit(n).alias("name"), F.lit(t).alias("type"), F.lit(u).cast("string").alias("unit")) for c, n, t, u in names))).alias("x")).select("table_id", "x.*")
+    size = F.col("p_size")
+    raw = [F.get(F.array(F.lit("A"), F.lit("b "), F.lit("C")), size % 3), (size * 10).cast("string"), F.when(size <= 45, (size * 10 + 40).cast("string")), F.regexp_replace(F.col("p_retailprice").cast("decimal(10,1)").cast("string"), r"\.", ",")]
+    cells = p.select("table_id", "row", F.explode(F.array(*(F.struct(F.lit(c).alias("col"), r.alias("raw")) for c, r in enumerate(raw)))).alias("x")).select("table_id", "row", "x.*")
+    return tables, columns, cells
+
+
+@query("""WITH t AS (SELECT DISTINCT regexp_extract(p_brand, '([0-9]+)', 1) AS nr FROM part), p AS (SELECT *, regexp_extract(p_brand, '([0-9]+)', 1) AS nr, ['a', 'b', 'c'][p_size % 3 + 1] AS cls FROM part),
+q AS (SELECT c_custkey, c_custkey % 4 AS op, c_custkey % 27 AS asked, c_custkey % 520 AS load, ['a', 'b', 'c'][c_nationkey % 3 + 1] AS cls, c_custkey % 8 = 3 AS bare FROM customer),
+s AS (SELECT c_custkey, nr, 2 * contains('brand' || asked || ' ', 'brand' || nr)::INT + 2 + 1 + 1 + CASE WHEN op = 3 THEN 3 ELSE 0 END
+  + CASE WHEN op = 3 AND NOT bare AND EXISTS (SELECT 1 FROM p WHERE p.nr = t.nr AND p.cls = q.cls) THEN 2 ELSE 0 END AS points FROM q, t),
+b AS (SELECT c_custkey, nr FROM s QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY points DESC, CAST(nr AS INT)) = 1),
+r AS (SELECT c_custkey, min(p_partkey) AS row FROM q JOIN b USING (c_custkey) JOIN p USING (nr) WHERE op = 3 AND (bare OR p.cls = q.cls) AND load > p_size * 10 AND (p_size > 45 OR load <= p_size * 10 + 40) GROUP BY 1)
+SELECT c_custkey AS query_id, '/table/limits_brand' || nr AS table_id, CASE op WHEN 0 THEN 'count' WHEN 1 THEN 'min' WHEN 2 THEN 'count' ELSE 'lookup' END AS operation, CASE op WHEN 1 THEN 'mpe' WHEN 2 THEN 'accuracy_class' WHEN 3 THEN 'mpe' END AS column,
+  CASE op WHEN 0 THEN (SELECT count(*) FROM p WHERE p.nr = b.nr) WHEN 1 THEN (SELECT min(p_retailprice) FROM p WHERE p.nr = b.nr) WHEN 2 THEN (SELECT count(DISTINCT cls) FROM p WHERE p.nr = b.nr) ELSE (SELECT p_retailprice FROM p WHERE p_partkey = row) END AS value,
+  CASE WHEN op IN (1, 3) THEN 'v' END AS unit, CAST(row AS INTEGER) AS row FROM q JOIN b USING (c_custkey) LEFT JOIN r USING (c_custkey) WHERE op <> 3 OR row IS NOT NULL""")
+def table_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, least values and look-ups that customers ask of the brands' tables."""
+    tables, columns, cells = typed_tables(spark, sf_dir)
+    c, key = read(spark, sf_dir, "customer"), F.col("c_custkey")
+    brand, cls = F.concat(F.lit(" brand"), key % 27), F.get(F.array(F.lit("A"), F.lit("b"), F.lit("C")), F.col("c_nationkey") % 3)
+    by_class = F.when(key % 8 != 3, F.concat(F.lit(" of class "), cls)).otherwise("")
+    text = (
+        F.when(key % 4 == 0, F.concat(F.lit("How many rows are in the limits of"), brand, F.lit(" ?"))).when(key % 4 == 1, F.concat(F.lit("What is the smallest mpe in the limits of"), brand, F.lit(" ?")))
+        .when(key % 4 == 2, F.concat(F.lit("How many accuracy classes are in the limits of"), brand, F.lit(" ?"))).otherwise(F.concat(F.lit("Which mpe has "), key % 520, F.lit(" kg"), by_class, F.lit(" in the limits of"), brand, F.lit(" ?")))
+    )
+    asked = c.select(key.alias("query_id"), text.alias("text"))
+    # A question's candidates are the tables that its document has; here all brands', 25 at most.
+    numbered = tables.select("table_id", F.regexp_extract("table_id", "([0-9]+)$", 1).cast("int").alias("place"))
+    got = tableqa.answer(asked, asked.select("query_id").join(F.broadcast(numbered)), tables, columns, cells)
+    return got.withColumn("value", F.col("value").cast("double"))
