@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clauseq.catalogue import query, read
 from clauseq.functions.codecs import codec
+from clauseq.operators import graphbuild
 
 STD = codec("series", "STD")
 _NAME = "(['R', 'D', 'B', 'G', 'V', 'X'])[p_partkey % 6 + 1]"
@@ -77,3 +78,63 @@ def classified_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = s(F.get(F.array(*map(F.lit, ("r", "d", "q", "x-"))), (key % 4).cast("int")), cust % 900, "-", F.year("o_orderdate"))
     attrs = F.map_filter(F.create_map(F.lit("docidentifier"), header, F.lit("doctype"), F.when(key % 3 == 0, "a guide")), lambda _, v: v.isNotNull())
     return read(spark, sf_dir, "orders").select("o_orderkey", STD.classify(title, attrs, name)["identifier"].alias("identifier"))
+
+
+#: A record of a publication for each order: one in ten is none; some name a successor, amend another, or relate otherwise.
+_RECORDS = """rec AS (SELECT o_orderkey AS place, o_orderkey % 10 = 0 AS junk, CASE WHEN o_custkey % 2 = 0 THEN 'R' ELSE 'D' END AS letter, o_custkey % 40 + 1 AS num, CASE o_orderkey % 3 WHEN 1 THEN '1' WHEN 2 THEN '2' END AS part,
+  1990 + o_orderkey % 12 AS ed, CASE o_orderstatus WHEN 'F' THEN 'in-force' WHEN 'P' THEN 'withdrawn' ELSE 'unknown' END AS status, o_orderpriority AS title FROM orders),
+pub AS (SELECT *, letter || '-' || num AS family, 'STD-' || letter || '-' || num || coalesce('-' || part, '') || '-' AS stem, 'doc:STD-' || letter || '-' || num || coalesce('-' || part, '') || '-' || ed AS node FROM rec WHERE NOT junk),
+rel AS (SELECT node AS src, 'doc:' || stem || (ed + 2) AS dst, 'successor' AS kind FROM pub WHERE place % 5 = 1 UNION SELECT node, 'doc:STD-' || letter || '-' || (num + 1) || '-' || ed, 'amends' FROM pub WHERE place % 7 = 2 UNION SELECT node, 'family:' || family, 'part_of' FROM pub),
+doc AS (SELECT node, min(place) AS place, arg_min(family, place) AS family, arg_min(part, place) AS part, CAST(arg_min(ed, place) AS VARCHAR) AS edition, arg_min(status, place) AS status FROM pub GROUP BY node),
+succ AS (SELECT src AS node, max(dst) AS superseded_by FROM rel WHERE kind = 'successor' GROUP BY 1),
+act AS (SELECT node FROM doc LEFT JOIN succ USING (node) WHERE superseded_by IS NULL AND status NOT IN ('superseded', 'withdrawn') QUALIFY row_number() OVER (PARTITION BY family, part ORDER BY edition DESC, place) = 1),
+reg AS (SELECT doc.*, superseded_by, CASE WHEN superseded_by IS NOT NULL THEN 'superseded' ELSE status END AS derived_status, node IN (SELECT node FROM act) AS active FROM doc LEFT JOIN succ USING (node))"""
+
+
+def publication_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders").withColumns({
+        "letter": F.when(F.col("o_custkey") % 2 == 0, "R").otherwise("D"), "num": F.col("o_custkey") % 40 + 1, "ed": 1990 + key % 12, "tail": F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("-"), key % 3)),
+    })
+    name = F.when(key % 10 == 0, "A circular").otherwise(F.concat(F.lit("STD "), "letter", F.lit(" "), "num", "tail", F.lit(":"), "ed"))
+    other = lambda kind, *x: F.struct(F.lit(kind).alias("type"), F.array(F.concat(F.lit("STD "), "letter", F.lit(" "), *x)).alias("identifiers"))
+    relations = F.array_compact(F.array(
+        F.when(key % 5 == 1, other("hasSuccessor", "num", "tail", F.lit(":"), F.col("ed") + 2)), F.when(key % 7 == 2, other("updates", F.col("num") + 1, F.lit(":"), "ed")), F.when(key % 2 == 0, other("cites", "num", F.lit(":1900"))),
+    ))
+    status = F.when(F.col("o_orderstatus") == "F", "in-force").when(F.col("o_orderstatus") == "P", "withdrawn")
+    names = F.array(F.struct(F.lit("an alias").alias("content"), F.lit(False).alias("primary")), F.struct(name.alias("content"), F.lit(True).alias("primary")))
+    titles = F.array(F.struct(F.lit("fra").alias("language"), F.lit("titre").alias("content")), F.struct(F.lit("eng").alias("language"), F.col("o_orderpriority").alias("content")))
+    return o.select(key.alias("place"), name.alias("name"), F.col("ed").cast("string").alias("ed"), names.alias("identifiers"), titles.alias("titles"), status.alias("status"), relations.alias("relations"))
+
+
+@query(f"WITH {_RECORDS} SELECT node, family, part, edition, status, derived_status, superseded_by, active FROM reg")
+def publication_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry of editions: derived status, successor, and the active edition of each family and part."""
+    found = graphbuild.publications(publication_records(spark, sf_dir), STD)
+    docs = graphbuild.registry(found, graphbuild.record_edges(found, STD))
+    return docs.select("node", "family", "part", "edition", "status", "derived_status", "superseded_by", "active")
+
+
+@query(f"""WITH {_RECORDS}, l AS (SELECT l_orderkey, string_agg({_FORM}, '; see ' ORDER BY l_linenumber, p_partkey, l_suppkey) AS text FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+b AS (SELECT family, part, CASE WHEN place % 3 = 1 THEN '1899' ELSE CAST(ed AS VARCHAR) END AS edition, text FROM pub JOIN l ON l_orderkey = place WHERE place % 4 = 0 OR place % 4 = 3),
+s AS (SELECT b.family, b.part, text, coalesce(x.node, m.node) AS src FROM b JOIN (SELECT family, part, node FROM reg QUALIFY row_number() OVER (PARTITION BY family, part ORDER BY active DESC, edition DESC, place) = 1) m
+  ON m.family = b.family AND m.part IS NOT DISTINCT FROM b.part LEFT JOIN doc x ON x.family = b.family AND x.part IS NOT DISTINCT FROM b.part AND x.edition = b.edition),
+u AS (SELECT family, part, src, unnest(list_concat(list_concat(regexp_extract_all(text, '{_OWN}'), regexp_extract_all(text, '{_ISO}')), regexp_extract_all(text, '{_IEC}'))) AS raw FROM s),
+c AS (SELECT DISTINCT src, 'cite:' || trim(regexp_replace(raw, '[^A-Za-z0-9]+', '-', 'g'), '-') AS dst FROM u WHERE NOT (regexp_matches(raw, '^STD [RDBGEVS]\\s*\\d')
+  AND regexp_extract(raw, '^STD ([RDBGEVS])', 1) || '-' || regexp_extract(raw, '^STD [RDBGEVS]\\s*(\\d+)', 1) = family AND nullif(regexp_extract(raw, '^STD [A-Z]+\\s+\\d+-([A-Za-z0-9]+)', 1), '') IS NOT DISTINCT FROM part)),
+e AS (SELECT src, dst, kind FROM rel UNION SELECT src, dst, 'cites' FROM c UNION SELECT 'doc:STD-R-' || (s_suppkey % 45) || '-2001', 'concept:' || s_suppkey, 'defines' FROM supplier),
+n AS (SELECT node AS id FROM pub UNION SELECT 'family:' || family FROM pub UNION SELECT dst FROM c UNION SELECT 'concept:' || s_suppkey FROM supplier)
+SELECT src, dst, kind FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)""")
+def publication_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the whole graph: parts, successors, amendments, citations without those of oneself, and definitions."""
+    records = publication_records(spark, sf_dir)
+    lines = read(spark, sf_dir, "lineitem").join(form(spark, sf_dir), F.col("p_partkey") == F.col("l_partkey"))
+    one = F.struct("l_linenumber", "p_partkey", "l_suppkey", "ref")
+    texts = lines.groupBy(F.col("l_orderkey").alias("place")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["ref"]), "; see ").alias("text"))
+    edition = F.when(F.col("place") % 3 == 1, "1899").otherwise(F.col("ed"))
+    title = F.when(F.col("place") % 4 == 0, "Annex: BIBLIOGRAPHY").when(F.col("place") % 4 == 3, "Normative  reference")
+    passages = records.join(texts, "place").select(F.col("name").alias("identifier"), edition.alias("edition"), title.alias("title"), "text")
+    key = F.col("s_suppkey")
+    source = F.concat(F.lit("STD R "), key % 45, F.lit(":2001"))
+    concepts = read(spark, sf_dir, "supplier").select(key.cast("string").alias("concept_id"), F.col("s_name").alias("term"), F.array(F.lit("a book"), source).alias("sources"))
+    return graphbuild.build(records, passages, concepts, STD)[2]
