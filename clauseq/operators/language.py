@@ -34,3 +34,16 @@ def stopword_language(text: Column) -> Column:
     other = F.regexp_count(sample, F.lit(OTHER_SCRIPTS))
     foreign = (latin + other > MIN_LETTERS) & (other > OTHER_SHARE * (latin + other))
     return F.when(foreign, "non-latin").when(sure, F.coalesce(*(F.when(h == best, lang) for lang, h in hits.items())))
+
+
+#: Fixed values of a unit's verdict: characters of the sample, words, hits, and how many times the next language's hits they must exceed.
+UNIT_CHARS, UNIT_WORDS, UNIT_HITS, UNIT_LEAD = 1600, 20, 3, 1.5
+
+
+def unit_language(text: Column) -> Column:
+    """A unit's language by the same stop words, en, fr, es or de; null where it is too short or no language leads. It tags, and drops nothing. The sample's length is part of the operator."""
+    words = F.regexp_extract_all(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, UNIT_CHARS)), F.lit("[a-zà-öø-ÿ]+"), F.lit(0))
+    hits = {lang: _hits(words, stop) for lang, stop in STOPWORDS.items()}
+    ranked = F.array_sort(F.array(*hits.values()), lambda a, b: b - a)
+    sure = (F.size(words) >= UNIT_WORDS) & (ranked[0] >= UNIT_HITS) & (ranked[0] > UNIT_LEAD * ranked[1])
+    return F.when(sure, F.coalesce(*(F.when(h == ranked[0], lang) for lang, h in hits.items())))
