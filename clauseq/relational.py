@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clauseq.catalogue import query, read
+from clauseq.catalogue import SQL, query, read
 from clauseq.operators import registry
 from clauseq.plans import versions
-from clauseq.sources import html
+from clauseq.sources import html, htmltree
 
 
 @query("""SELECT n_name, c_custkey, c_name FROM nation JOIN customer ON c_nationkey = n_nationkey
@@ -412,14 +412,8 @@ def register_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.register_search(read(spark, sf_dir, "nation").select(key.alias("query_id"), text.alias("text")), register)
 
 
-@query("""WITH r AS (SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS q, l_linestatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
-t AS (SELECT o_orderkey, list({'a': l_linenumber, 'p': l_partkey, 's': l_suppkey, 'q': q, 'l': l_linestatus} ORDER BY l_linenumber, l_partkey, l_suppkey, q, l_linestatus) AS rs FROM r GROUP BY o_orderkey),
-e AS (SELECT o_orderkey, rs, o_orderkey % 3 AS kind FROM t)
-SELECT o_orderkey, CAST(o_orderkey % 9 + 1 AS VARCHAR) AS anchor, CASE kind WHEN 2 THEN '' ELSE 'Lines & more' END AS caption, CASE kind WHEN 2 THEN 'Column 1;Column 2' ELSE 'Line;Parts' END AS columns, CAST(len(rs) AS INTEGER) AS n_rows, kind = 2 AS guessed,
- CASE kind WHEN 2 THEN 'Table. ' ELSE 'Lines & more. ' END || 'Source: O' || o_orderkey || '. Columns: ' || CASE kind WHEN 2 THEN 'Column 1; Column 2' ELSE 'Line; Parts' END || '.' ||
- array_to_string(list_transform(rs, lambda x: chr(10) || 'Row: ' || CASE kind WHEN 2 THEN 'Column 1' ELSE 'Line' END || ' = ' || x.a || '; ' || CASE kind WHEN 2 THEN 'Column 2' ELSE 'Parts' END || ' = ' || x.q || ' < ' || x.p || '.'), '') AS embedded FROM e""")
-def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order as a page with a table, with a thead, a first row of th or no header, read back."""
+def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a page with a table, with a thead, a first row of th or no header."""
     line = read(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("bigint")).withColumnRenamed("l_orderkey", "o_orderkey")
     cell = lambda *c: F.concat(F.lit("<td class=x> "), *c, F.lit("</td>"))
     row = F.concat(F.lit("<tr>"), cell(F.col("l_linenumber")), cell(F.col("q"), F.lit(" &lt; <b>"), F.col("l_partkey"), F.lit("</b>")), F.lit("<td></td></tr>\n"))
@@ -429,13 +423,31 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(kind == 0, F.concat(F.lit("<THEAD >"), head, F.lit("</THEAD>"))).when(kind == 1, head).otherwise("")
     title = F.concat(F.lit("<script>var t='<table >';</script><h2 id=a>"), F.col("o_orderkey") % 9 + 1, F.lit(" Order</h2><p>Text<table>"))
     page = F.concat(title, F.when(kind == 2, "").otherwise("<caption>Lines &amp;  more</caption>"), head, F.array_join("x.row", ""), F.lit("</table>"))
-    pages = line.groupBy("o_orderkey").agg(by.alias("x")).select("o_orderkey", page.alias("html"))
-    t = html.tables(pages, "o_orderkey", "html")
-    embedded = html.embed_text(F.col("caption"), F.concat(F.lit("O"), "o_orderkey"), F.col("columns"), F.col("rows"))
-    t = t.withColumn("embedded", embedded)
+    return line.groupBy("o_orderkey").agg(by.alias("x")).select("o_orderkey", page.alias("html"))
+
+
+def _embedded(t: DataFrame) -> DataFrame:
+    t = t.withColumn("embedded", html.embed_text(F.col("caption"), F.concat(F.lit("O"), "o_orderkey"), F.col("columns"), F.col("rows")))
     return t.select("o_orderkey", "anchor", "caption", F.array_join("columns", ";").alias("columns"), F.size("rows").alias("n_rows"), "guessed", "embedded")
 
 
+@query("""WITH r AS (SELECT o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS q, l_linestatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+t AS (SELECT o_orderkey, list({'a': l_linenumber, 'p': l_partkey, 's': l_suppkey, 'q': q, 'l': l_linestatus} ORDER BY l_linenumber, l_partkey, l_suppkey, q, l_linestatus) AS rs FROM r GROUP BY o_orderkey),
+e AS (SELECT o_orderkey, rs, o_orderkey % 3 AS kind FROM t)
+SELECT o_orderkey, CAST(o_orderkey % 9 + 1 AS VARCHAR) AS anchor, CASE kind WHEN 2 THEN '' ELSE 'Lines & more' END AS caption, CASE kind WHEN 2 THEN 'Column 1;Column 2' ELSE 'Line;Parts' END AS columns, CAST(len(rs) AS INTEGER) AS n_rows, kind = 2 AS guessed,
+ CASE kind WHEN 2 THEN 'Table. ' ELSE 'Lines & more. ' END || 'Source: O' || o_orderkey || '. Columns: ' || CASE kind WHEN 2 THEN 'Column 1; Column 2' ELSE 'Line; Parts' END || '.' ||
+ array_to_string(list_transform(rs, lambda x: chr(10) || 'Row: ' || CASE kind WHEN 2 THEN 'Column 1' ELSE 'Line' END || ' = ' || x.a || '; ' || CASE kind WHEN 2 THEN 'Column 2' ELSE 'Parts' END || ' = ' || x.q || ' < ' || x.p || '.'), '') AS embedded FROM e""")
+def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' tables, read back by patterns."""
+    return _embedded(html.tables(order_pages(spark, sf_dir), "o_orderkey", "html"))
+
+
+@query(SQL["html_tables"])
+def html_tree_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, read back by the parser with a stack."""
+    return _embedded(htmltree.tables(order_pages(spark, sf_dir), "o_orderkey", "html"))
+
+
 _UNESCAPED = "x"
 for _name, _sign in html.ENTITIES.items():
     _UNESCAPED = f"replace({_UNESCAPED}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
