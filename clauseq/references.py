@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clauseq.catalogue import query, read
 from clauseq.functions.codecs import codec
-from clauseq.operators import graphbuild
+from clauseq.operators import families, graphbuild
 
 STD = codec("series", "STD")
 _NAME = "(['R', 'D', 'B', 'G', 'V', 'X'])[p_partkey % 6 + 1]"
@@ -138,3 +138,46 @@ def publication_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.concat(F.lit("STD R "), key % 45, F.lit(":2001"))
     concepts = read(spark, sf_dir, "supplier").select(key.cast("string").alias("concept_id"), F.col("s_name").alias("term"), F.array(F.lit("a book"), source).alias("sources"))
     return graphbuild.build(records, passages, concepts, STD)[2]
+
+
+#: An edition for each order: of a base, a part or an annex of its family, in two corpora and three languages.
+_EDITIONS = """ed AS (SELECT o_orderkey AS place, CASE WHEN o_custkey % 2 = 0 THEN 'R' ELSE 'D' END AS doctype, CAST(o_custkey % 400 + 1 AS VARCHAR) AS number, CASE o_orderkey % 5 WHEN 1 THEN '-1' WHEN 2 THEN '-2' WHEN 3 THEN '-Annex A' WHEN 4 THEN '-12' ELSE '' END AS tail,
+  CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE CAST(1990 + o_orderkey % 12 AS VARCHAR) END AS edition, ['en', 'fr', 'de'][o_orderkey % 3 + 1] AS language, o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ' — ' || o_custkey ELSE '' END AS title, CASE WHEN o_orderkey % 4 = 0 THEN 'clean' ELSE 'dirty' END AS corpus FROM orders),
+id AS (SELECT *, 'STD ' || doctype || ' ' || number AS base, 'STD ' || doctype || ' ' || number || tail AS identity, trim(split_part(title, '—', 1)) AS short FROM ed),
+best AS (SELECT doctype, number, base, identity, min(place) AS first, arg_max(short, (corpus = 'clean', CASE WHEN edition = '' THEN '0000' ELSE edition END, language = 'en', -place)) AS short FROM id GROUP BY ALL),
+fam AS (SELECT doctype, number, base, count(*) AS n, count(*) FILTER (regexp_matches(identity, '-[0-9]')) AS parts, count(*) FILTER (contains(identity, 'Annex')) AS annexes,
+  string_agg('- ' || identity || ' — ' || short, chr(10) ORDER BY first) FILTER (identity <> base) AS lines, string_agg('- ' || identity || ' — ' || short, chr(10) ORDER BY first) AS members FROM best GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    letter, number = F.when(cust % 2 == 0, "R").otherwise("D"), (cust % 400 + 1).cast("string")
+    tail = F.when(key % 5 == 1, "-1").when(key % 5 == 2, "-2").when(key % 5 == 3, "-Annex A").when(key % 5 == 4, "-12").otherwise("")
+    year = F.when(key % 11 == 0, "").otherwise((1990 + key % 12).cast("string"))
+    return read(spark, sf_dir, "orders").select(
+        key.alias("place"), key.alias("doc_id"), letter.alias("doctype"), number.alias("number"), F.concat(F.lit("STD "), letter, F.lit(" "), number, tail, F.when(year != "", F.concat(F.lit(":"), year)).otherwise("")).alias("identifier"),
+        year.alias("edition"), F.get(F.array(F.lit("en"), F.lit("fr"), F.lit("de")), (key % 3).cast("int")).alias("language"),
+        F.concat("o_orderpriority", F.when(key % 2 == 0, F.concat(F.lit(" — "), cust)).otherwise("")).alias("title"), F.when(key % 4 == 0, "clean").otherwise("dirty").alias("corpus"),
+    )
+
+
+_WHAT = "parts || ' part' || CASE WHEN parts <> 1 THEN 's' ELSE '' END || CASE WHEN annexes > 0 THEN ' and ' || annexes || ' annex' || CASE WHEN annexes <> 1 THEN 'es' ELSE '' END ELSE '' END"
+
+
+@query(f"""WITH {_EDITIONS}, t AS (SELECT doctype, number, arg_max(short, (identity = base, identity = base AND corpus = 'clean', -place)) AS title FROM id GROUP BY ALL)
+SELECT doctype, number, base, parts, annexes, title || ' (' || base || ') is a multi-part STD publication. It comprises ' || {_WHAT} || ':' || chr(10) || lines || chr(10) || chr(10) || base || ' has ' || {_WHAT} || ' (' || (parts + annexes) || ' components total).' AS text FROM fam JOIN t USING (doctype, number)""")
+def family_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A passage on each family: its parts and annexes, each by its best edition."""
+    return families.family_notes(editions(spark, sf_dir), "STD")
+
+
+@query(f"""WITH {_EDITIONS}, sec AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS pos, ['Scope', 'Tests', 'Introduction of it', 'Foreword', 'Limits'][l_linenumber % 5 + 1] AS title FROM lineitem),
+q AS (SELECT doc_id, string_agg(title || ': ' || repeat(title || ' ', 200)[1:900], chr(10) || chr(10) ORDER BY pos) AS quoted FROM (SELECT * FROM sec WHERE title IN ('Scope', 'Introduction of it', 'Foreword') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 3) GROUP BY 1)
+SELECT place AS doc_id, md5(concat_ws(chr(10) || chr(10), title || ' — ' || identity || CASE WHEN edition <> '' THEN ':' || edition ELSE '' END || ' (' || language || ').', CASE WHEN doctype = 'R' THEN 'An STD Recommendation.' END, quoted,
+  'Document family — ' || identity || CASE WHEN edition <> '' THEN ':' || edition ELSE '' END || ' comprises:' || chr(10) || members)) AS text FROM id LEFT JOIN q ON q.doc_id = place LEFT JOIN fam USING (doctype, number)""")
+def document_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A passage on each edition, with its opening sections and its family."""
+    title = F.get(F.array(*map(F.lit, ("Scope", "Tests", "Introduction of it", "Foreword", "Limits"))), F.col("l_linenumber") % 5)
+    sections = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), title.alias("title")).distinct()
+    sections = sections.withColumn("text", F.repeat(F.concat("title", F.lit(" ")), F.lit(200)))
+    return families.overviews(editions(spark, sf_dir), sections, "STD", {"R": "Recommendation"}).withColumn("text", F.md5(F.col("text").cast("binary")))
