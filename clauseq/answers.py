@@ -65,4 +65,4 @@ SELECT doc_id, md5(CASE WHEN length(clean) <= 600 THEN clean WHEN m <= 1 THEN tr
 def shortened_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document in 600 characters, for one of the passages as the question."""
     d = read(spark, sf_dir, "documents").where("text IS NOT NULL").join(asked(spark, sf_dir).withColumnRenamed("text", "question"), F.col("doc_id") % 40 == F.col("query_id"))
-    return d.select("doc_id", F.md5(grounding.shortened(F.col("text"), F.col("question"), 600).cast("binary")).alias("short"))
+    return grounding.shortened(d.select("doc_id", "text", "question"), "text", "question", 600, "short").select("doc_id", F.md5(F.col("short").cast("binary")).alias("short"))

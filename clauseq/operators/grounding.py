@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,33 +61,43 @@ def terms_of(text: Column) -> Column:
     return F.filter(found, lambda t: t.rlike("^[0-9]") | ((F.char_length(t) >= 3) & ~t.isin(STOP)))
 
 
-def shortened(text: Column, question: Column, budget: int) -> Column:
-    """A text of at most `budget` characters: its first sentence, and those that answer best while they fit, in reading order.
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def shortened(rows: DataFrame, text: str, question: str, budget: int, out: str) -> DataFrame:
+    """rows with `out`: the text in at most `budget` characters, its first sentence and those that answer best while they fit, in reading order.
 
     A sentence is worth the question's terms that it has over the root of its terms, and
     more with a digit; ties go to the earlier. A text of one sentence is cut at its
     last blank within the budget. Texts within the budget stay, with single blanks.
+    What a lambda uses is handed to it, as the optimiser may put a column's expression in its place, to be made again for each element.
     """
-    clean = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    sentences = F.filter(F.transform(F.split(clean, r"(?<=[.!?;])\s+"), lambda s: F.btrim(s)), lambda s: s != "")
-    asked = F.array_distinct(terms_of(question))
-    cut = F.substring(clean, 1, budget)
-    blank = F.char_length(cut) - F.locate(" ", F.reverse(cut))
-    one = F.btrim(F.when((F.locate(" ", cut) > 0) & (blank > SHORTEST_CUT), F.left(cut, blank)).otherwise(cut))
-
-    def worth(s: Column, i: Column) -> Column:
-        terms = terms_of(s)
-        hits = F.size(F.filter(terms, lambda t: F.array_contains(asked, t)))
-        value = F.when(F.size(terms) > 0, hits / F.sqrt(F.size(terms)) + F.when(s.rlike("[0-9]"), DIGIT).otherwise(0.0)).otherwise(0.0)
-        return F.struct((-F.round(value, 9)).alias("v"), i.alias("i"), F.char_length(s).alias("n"))
-
-    ranked = F.array_sort(F.slice(F.transform(sentences, worth), 2, 1_000_000))
-    start = F.struct((F.char_length(F.get(sentences, F.lit(0))) + 1).alias("used"), F.array(F.lit(0)).alias("kept"))
+    clean = F.col("_clean")
+    d = rows.withColumns({"_clean": F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), "_asked": F.array_distinct(terms_of(F.col(question)))})
+    d = d.withColumn("_sentences", F.filter(F.transform(F.split(clean, r"(?<=[.!?;])\s+"), lambda s: F.btrim(s)), lambda s: s != ""))
+    d = d.withColumn("_terms", F.when(F.char_length(clean) > budget, F.transform("_sentences", terms_of)))
+    hits = lambda asked, ts: F.size(F.filter(ts, lambda t: F.array_contains(asked, t)))
+    d = d.withColumn("_hits", _bound(F.col("_asked"), lambda asked: F.transform("_terms", lambda ts: hits(asked, ts))))
+
+    def worth(x: Column, i: Column) -> Column:
+        terms = F.size(x["_terms"])
+        value = F.when(terms > 0, x["_hits"] / F.sqrt(terms) + F.when(x["_sentences"].rlike("[0-9]"), DIGIT).otherwise(0.0)).otherwise(0.0)
+        return F.struct((-F.round(value, 9)).alias("v"), i.alias("i"), F.char_length(x["_sentences"]).alias("n"))
+
+    each = F.transform(F.arrays_zip("_sentences", "_terms", "_hits"), worth)
+    d = d.withColumn("_ranked", F.when(F.col("_terms").isNotNull(), F.array_sort(F.slice(each, 2, 1_000_000))))
+    start = F.struct((F.char_length(F.get("_sentences", F.lit(0))) + 1).alias("used"), F.array(F.lit(0)).alias("kept"))
 
     def take(state: Column, s: Column) -> Column:
         need = state["used"] + s["n"] + 1
         return F.when(need <= budget, F.struct(need.alias("used"), F.array_append(state["kept"], s["i"]).alias("kept"))).otherwise(state)
 
-    kept = F.array_sort(F.aggregate(ranked, start, take)["kept"])
-    several = F.substring(F.btrim(F.array_join(F.transform(kept, lambda i: F.get(sentences, i)), " ")), 1, budget)
-    return F.when(F.char_length(clean) <= budget, clean).when(F.size(sentences) <= 1, one).otherwise(several)
+    d = d.withColumn("_kept", F.array_sort(F.aggregate("_ranked", start, take)["kept"]))
+    cut = F.substring(clean, 1, budget)
+    blank = F.char_length(cut) - F.locate(" ", F.reverse(cut))
+    one = F.btrim(F.when((F.locate(" ", cut) > 0) & (blank > SHORTEST_CUT), F.left(cut, blank)).otherwise(cut))
+    several = F.substring(F.btrim(F.array_join(_bound(F.col("_sentences"), lambda ss: F.transform("_kept", lambda i: F.get(ss, i))), " ")), 1, budget)
+    short = F.when(F.char_length(clean) <= budget, clean).when(F.size("_sentences") <= 1, one).otherwise(several)
+    return d.select(*rows.columns, short.alias(out))
