@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clauseq.functions.tokens import slug
+from clauseq.functions.tokens import bound, slug
 
 #: Shapes of international references, in the order in which a text is searched for them.
 CITED = (
@@ -43,10 +43,11 @@ def scan_cited(text: Column, grammars: tuple[str, ...] = CITED) -> Column:
     """[(node, label)] of what a text cites, grammar by grammar, each from left to right; of the spellings of one node the first stays."""
     t = F.coalesce(text, F.lit(""))
     found = F.concat(*(F.regexp_extract_all(t, F.lit(g), F.lit(0)) for g in grammars))
-    labels = F.transform(found, lambda x: F.regexp_replace(x, r"\s+", " "))
     node = lambda x: F.concat(F.lit("cite:"), F.regexp_replace(F.regexp_replace(x, "[^A-Za-z0-9]+", "-"), "^-|-$", ""))
-    nodes = F.transform(labels, node)
-    return F.transform(F.array_distinct(nodes), lambda n: F.struct(n.alias("node"), F.get(labels, (F.array_position(nodes, n) - 1).cast("int")).alias("label")))
+    label = lambda x: F.regexp_replace(x, r"\s+", " ")
+    pairs = F.transform(found, lambda x: F.struct(node(label(x)).alias("node"), label(x).alias("label")))
+    first = lambda ps, n: F.get(F.filter(ps, lambda p: p["node"] == n), F.lit(0))
+    return bound(pairs, lambda ps: F.transform(F.array_distinct(F.transform(ps, lambda p: p["node"])), lambda n: first(ps, n)))
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,3 +27,8 @@ def query_terms(text: Column, most: int = 12) -> Column:
 
 def slug(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once, however often a lambda within uses it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauseq.functions.tokens import bound
+
 #: Fixed value: words that say nothing about a sentence.
 STOP = (
     "the a an and or of to in on for with by as at is are was were be been from that this these those it its their there which who what when where how why not no than then also such may must "
@@ -32,8 +32,8 @@ def quotations(answer: Column) -> Column:
 
 def unfounded(answer: Column, passages: Column) -> Column:
     """The anchors of quotations that the passages, joined, do not have; one for each such quotation."""
-    hay = folded(passages)
-    return F.transform(F.filter(quotations(answer), lambda x: ~F.contains(hay, folded(x["quote"]))), lambda x: x["anchor"])
+    missing = lambda hay: F.filter(quotations(answer), lambda x: ~F.contains(hay, folded(x["quote"])))
+    return F.transform(bound(folded(passages), missing), lambda x: x["anchor"])
 
 
 def cited_clauses(answer: Column) -> Column:
@@ -61,11 +61,6 @@ def terms_of(text: Column) -> Column:
     return F.filter(found, lambda t: t.rlike("^[0-9]") | ((F.char_length(t) >= 3) & ~t.isin(STOP)))
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value made once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def shortened(rows: DataFrame, text: str, question: str, budget: int, out: str) -> DataFrame:
     """rows with `out`: the text in at most `budget` characters, its first sentence and those that answer best while they fit, in reading order.
 
@@ -79,7 +74,7 @@ def shortened(rows: DataFrame, text: str, question: str, budget: int, out: str)
     d = d.withColumn("_sentences", F.filter(F.transform(F.split(clean, r"(?<=[.!?;])\s+"), lambda s: F.btrim(s)), lambda s: s != ""))
     d = d.withColumn("_terms", F.when(F.char_length(clean) > budget, F.transform("_sentences", terms_of)))
     hits = lambda asked, ts: F.size(F.filter(ts, lambda t: F.array_contains(asked, t)))
-    d = d.withColumn("_hits", _bound(F.col("_asked"), lambda asked: F.transform("_terms", lambda ts: hits(asked, ts))))
+    d = d.withColumn("_hits", bound(F.col("_asked"), lambda asked: F.transform("_terms", lambda ts: hits(asked, ts))))
 
     def worth(x: Column, i: Column) -> Column:
         terms = F.size(x["_terms"])
@@ -98,6 +93,6 @@ def shortened(rows: DataFrame, text: str, question: str, budget: int, out: str)
     cut = F.substring(clean, 1, budget)
     blank = F.char_length(cut) - F.locate(" ", F.reverse(cut))
     one = F.btrim(F.when((F.locate(" ", cut) > 0) & (blank > SHORTEST_CUT), F.left(cut, blank)).otherwise(cut))
-    several = F.substring(F.btrim(F.array_join(_bound(F.col("_sentences"), lambda ss: F.transform("_kept", lambda i: F.get(ss, i))), " ")), 1, budget)
+    several = F.substring(F.btrim(F.array_join(bound(F.col("_sentences"), lambda ss: F.transform("_kept", lambda i: F.get(ss, i))), " ")), 1, budget)
     short = F.when(F.char_length(clean) <= budget, clean).when(F.size("_sentences") <= 1, one).otherwise(several)
     return d.select(*rows.columns, short.alias(out))
