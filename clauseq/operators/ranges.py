@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +26,19 @@ class Axis:
         self.last = 2 * len(self.cuts)
 
     def slot(self, value: Column) -> Column:
+        """The cuts go to the tasks with the function, so that they are no part of a plan."""
         if not self.cuts:
             return F.when(value.isNotNull(), 0)
-        at = F.array(*map(F.lit, self.cuts))
-        steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(self.cuts).bit_length()))))
-        below = F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.get(at, lo + s - 1) < value, lo + s).otherwise(lo))
-        return F.when(value.isNotNull(), 2 * below + F.coalesce(F.get(at, below) == value, F.lit(False)).cast("int"))
+        cuts = np.array(self.cuts)
+
+        @F.arrow_udf("int")
+        def find(v: pa.Array) -> pa.Array:
+            x = v.to_numpy(zero_copy_only=False)
+            below = np.searchsorted(cuts, x)
+            at = cuts[np.minimum(below, len(cuts) - 1)] == x
+            return pa.array((2 * below + at).astype(np.int32), mask=v.is_null().to_numpy(zero_copy_only=False))
+
+        return find(value.cast("double"))
 
 
 def _spans(intervals: DataFrame, axis: Axis) -> DataFrame:
@@ -89,7 +98,8 @@ def all_intervals(rows: DataFrame, value: str, intervals: DataFrame, by: list[st
     ends = ends.where("low IS NULL OR high IS NULL OR low <= high")
     axis = Axis(ends)
     cover = _spans(ends, axis).withColumn("_slot", F.explode(F.sequence("_a", "_z"))).drop("_a", "_z", "_part", "_from", "_upto")
-    pairs = rows.withColumn("_slot", axis.slot(v)).join(cover, [*by, "_slot"])
+    # Spark takes the intervals for as small as their file, however often each is repeated here; they are not sent to every task.
+    pairs = rows.withColumn("_slot", axis.slot(v)).join(cover.hint("merge"), [*by, "_slot"])
     return pairs.where(_holds(v, {c: F.col(c) for c in ("low", "high", "open_low")})).drop("_slot")
 
 

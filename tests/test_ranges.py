@@ -62,3 +62,11 @@ def test_sets_admit_all_that_they_name(spark):
     stated = spark.createDataFrame([(1, "temp", 22.0), (1, "hum", 40.0), (2, "temp", 22.0), (3, "other", 1.0), (4, "temp", 90.0), (5, "temp", None)], "question long, kind string, value double")
     got = sorted(tuple(r) for r in ranges.admitted_sets(stated, entries).collect())
     assert got == [(1, "s", False), (1, "t", True), (2, "s", True), (2, "t", True), (3, "u", True)]
+
+
+def test_repeated_intervals_are_not_sent_to_every_task_and_cuts_stay_out_of_plans(spark):
+    ends = [("a", i, float(i), i + 500.0, False, "x") for i in range(3000)]
+    table, rows = spark.createDataFrame(ends, ENDS), spark.createDataFrame([(1, "a", 700.5)], "id long, kind string, v double")
+    pairs = ranges.all_intervals(rows, "v", table.drop("row_index"), ["kind"])
+    plan = pairs._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and len(plan) < 50_000 and pairs.count() == 500
