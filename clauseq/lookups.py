@@ -107,8 +107,12 @@ def table_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("missing", F.array_join("missing", ","))
 
 
-@query(f"""WITH {_JUDGED}, c AS (SELECT o_orderkey AS query_id, 1 AS check_no, tol, abs(m1) / tol AS flip, ok1 AND NOT x1 AS robust, r1 AS strict FROM v WHERE tol > 0 UNION ALL SELECT o_orderkey, 2, tol, abs(m2) / tol, ok2 AND NOT x2, NOT r2 FROM v WHERE tol > 0)
-SELECT query_id, check_no, flip < 20 AS bounded, round(CASE WHEN flip < 20 THEN 1 + 19 * CASE WHEN strict THEN floor((flip - 1) * 4096 / 19) + 1 ELSE ceil((flip - 1) * 4096 / 19) END / 4096 ELSE 20 END / 2, 6) AS safety FROM c WHERE robust AND abs(flip - 20) > 1e-6""")
+#: The scale where a result flips is a step of 19/4096 above 1. The margin over the tolerance tells it to a step; the moved values themselves, as the query reckons them, tell which.
+@query(f"""WITH {_JUDGED}, c AS (SELECT o_orderkey AS query_id, 1 AS check_no, a, tol, (node_id + 5) * b AS less, 100.0::DOUBLE * node_id AS bound, r1 AS holds, abs(m1) / tol AS flip FROM v WHERE tol > 0 AND ok1 AND NOT x1
+  UNION ALL SELECT o_orderkey, 2, a, tol, 0.0::DOUBLE, 50.0::DOUBLE, NOT r2, abs(m2) / tol FROM v WHERE tol > 0 AND ok2 AND NOT x2),
+near AS (SELECT *, ceil((least(flip, 20) - 1) * 4096 / 19) AS about FROM c), tried AS (SELECT *, unnest([about - 1, about, about + 1, 4096]) AS step FROM near), moved AS (SELECT *, (1 + 19 * step / 4096) * tol AS move FROM tried WHERE step BETWEEN 1 AND 4096),
+f AS (SELECT query_id, check_no, min(step) AS step FROM moved WHERE (a + move - less - bound <= 0) <> holds OR (a - move - less - bound <= 0) <> holds GROUP BY ALL)
+SELECT query_id, check_no, step IS NOT NULL AS bounded, round(coalesce(1 + 19 * step / 4096, 20) / 2, 6) AS safety FROM c LEFT JOIN f USING (query_id, check_no)""")
 def check_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many times its stated tolerance a value may move before a check flips, over twice the tolerance."""
     rules, _, units = check_tables(spark, sf_dir)

@@ -97,3 +97,20 @@ def test_quantities(spark):
     rows = spark.createDataFrame(list(enumerate(cases)), "i int, text string").select("i", checks.quantities(F.col("text")).alias("q"))
     got = {r["i"]: {k: (v["stated"], v["unit"], round(v["si"], 9)) for k, v in r["q"].items()} for r in rows.collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_a_flip_at_the_reach_itself_is_in_the_sql(spark, tmp_path):
+    """Orders whose margin is 20 times their tolerance."""
+    import duckdb
+
+    from clauseq import catalogue, lookups
+
+    db = duckdb.connect()
+    db.execute("CREATE TABLE nation AS SELECT i::INT AS n_nationkey, 'X' AS n_name FROM range(25) r(i)")
+    db.execute("CREATE TABLE orders (o_orderkey BIGINT, o_custkey BIGINT)")
+    db.executemany("INSERT INTO orders VALUES (?, ?)", [[28185, 5205], [39323, 271], [47623, 3271], [58723, 14271], [112231, 2134]])
+    for t in ("nation", "orders"):
+        db.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    want = sorted((q, c, b, round(s, 6)) for q, c, b, s in db.execute(catalogue.SQL["check_safety"]).fetchall())
+    got = sorted(tuple(r) for r in lookups.check_safety(spark, str(tmp_path)).collect())
+    assert {r[0] for r in got if r[3] == 10.0} and [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want, strict=True))
