@@ -11,9 +11,10 @@ from clauseq.functions.tokens import STOP
 from clauseq.operators.textindex import TextIndex
 from clauseq.plans.folders import kept, new_folder
 
-#: The stemmer's measure as patterns over a word's consonants and vowels.
+#: The stemmer's measure as patterns over a word's consonants and vowels; a y is a vowel behind a consonant only, so never at the start.
 _C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
-_SOME, _ONE, _MORE = f"^({_C})?{_V}{_C}", f"^({_C})?{_V}{_C}({_V})?$", f"^({_C})?{_V}{_C}{_V}{_C}"
+_START = f"^({_C}{_V}|[aeiou]+)"
+_SOME, _ONE, _MORE = f"{_START}{_C}", f"{_START}{_C}({_V})?$", f"{_START}{_C}{_V}{_C}"
 _VOWEL, _CVC = "^[aeiou]|^.+[aeiouy]", "^[^aeiou][^aeiouy]*[aeiouy][^aeiouwxy]$"
 
 
@@ -35,7 +36,7 @@ def _stems_sql(words: str) -> str:
       WHEN regexp_matches(c, '(at|bl|iz)$') THEN c || 'e' WHEN length(c) > 1 AND right(c, 1) = left(right(c, 2), 1) AND regexp_matches(c, '[bcdfghjkmnpqrtvwxy]$') THEN left(c, length(c) - 1)
       WHEN regexp_matches(c, '{_ONE}') AND regexp_matches(c, '{_CVC}') THEN c || 'e' ELSE c END"""
     ion = f"regexp_matches({{stem}}, '{_MORE}') AND NOT (ends_with(w, 'ion') AND NOT regexp_matches({{stem}}, '[st]$'))"
-    short = f"regexp_matches({cut(1)}, '{_ONE}') AND NOT regexp_matches({cut(1)}, '(^|[aeiouy]|[^aeiouy])[^aeiou][aeiouy][^aeiouwxy]$')"
+    short = f"regexp_matches({cut(1)}, '{_ONE}') AND NOT regexp_matches({cut(1)}, '{_CVC}')"
     return f"""a0 AS (SELECT DISTINCT word, word AS w FROM {words}),
 a1 AS (SELECT word, CASE WHEN length(w) < 3 THEN w WHEN regexp_matches(w, '.(sses|ies)$') THEN {cut(2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {cut(1)} ELSE w END AS w FROM a0),
 a2 AS (SELECT word, {tail} AS w FROM (SELECT word, w, {ing} AS c FROM a1)),

@@ -115,3 +115,17 @@ def test_only_the_slots_of_asked_terms_are_read(spark, tmp_path):
     index.upsert(spark.createDataFrame([(i, f"word{i} common") for i in range(50)], "doc_id long, text string"))
     plan = index.postings(["common"])._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "slot" in plan.split("PartitionFilters")[1].split("]")[0] and "EqualTo(term,common)" in plan.replace("In(term, [common])", "EqualTo(term,common)")
+
+
+def test_sql_stems_as_the_stemmer_does():
+    """A y behind a consonant is a vowel before a vowel too, a y at the start never."""
+    import duckdb
+
+    from clauseq.fulltext import _stems_sql
+
+    db = duckdb.connect()
+    made = [w for w in words() if w.isascii()] + ["lyone", "thlyating", "lyedes", "ynciiue", "ygaue", "ynieuell", "yyones"]
+    db.execute("CREATE TABLE every (word VARCHAR)")
+    db.executemany("INSERT INTO every VALUES (?)", [[w] for w in made])
+    got = dict(db.execute(f"WITH {_stems_sql('every')} SELECT word, stem FROM stem").fetchall())
+    assert {w: s for w, s in got.items() if s != porter(w)} == {}
