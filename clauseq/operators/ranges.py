@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cuts of the axis at most, which are the only numbers that reach the driver, and intervals' ends for a cut.
 CUTS, ENDS = 4096, 16
+#: Of condition sets: entries that are sent to every task at most, pairs of a question and a set for a task, tasks at most.
+SENT, PAIRS, TASKS = 20_000, 200_000, 10_000
 
 
 class Axis:
@@ -40,6 +42,23 @@ class Axis:
 
         return find(value.cast("double"))
 
+    def nodes(self, a: Column, z: Column) -> Column:
+        """The slots from a to z as the fewest nodes of a binary tree over all slots, twice its depth at most; each slot is below one of them."""
+        leaf, n = self.last + 1, F.lit(1 << (self.last + 1).bit_length())
+        lo, hi = (a + n).cast("long"), (z + n + 1).cast("long")
+        steps = F.array(*map(F.lit, range(leaf.bit_length() + 1)))
+
+        def level(i: Column) -> Column:
+            left, right = F.ceil(lo / F.pow(F.lit(2.0), i)), F.floor(hi / F.pow(F.lit(2.0), i))
+            return F.array(F.when((left < right) & (left % 2 == 1), left), F.when((left < right) & (right % 2 == 1), right - 1))
+
+        return F.array_compact(F.flatten(F.transform(steps, level)))
+
+    def above(self, slot: Column) -> Column:
+        """The nodes over a slot, its own first."""
+        n = (self.last + 1).bit_length()
+        return F.transform(F.array(*map(F.lit, range(n + 1))), lambda i: F.floor((slot + F.lit(1 << n)) / F.pow(F.lit(2.0), i)))
+
 
 def _spans(intervals: DataFrame, axis: Axis) -> DataFrame:
     """intervals with the slots that they end in (part) and those that they cover whole (from, upto)."""
@@ -117,8 +136,24 @@ def admitted_sets(stated: DataFrame, entries: DataFrame) -> DataFrame:
     kind, centre, tolerance. Kinds that only one side has say nothing. Sets without
     any value in its band are not listed: the join finds bands by value, not sets by kind.
     """
-    inside = within_bands(stated, "value", entries, ["kind"]).groupBy("question", "set_id").agg(F.count_distinct("kind").alias("inside"))
-    # How many kinds both name: only for the pairs that have one inside.
-    named = inside.select("question", "set_id").join(entries.select("set_id", "kind").distinct(), "set_id").join(stated.select("question", "kind").distinct(), ["question", "kind"])
-    both = named.groupBy("question", "set_id").agg(F.count(F.lit(1)).alias("named"))
-    return inside.join(both, ["question", "set_id"]).select("question", "set_id", (F.col("inside") == F.col("named")).alias("admitted"))
+    kinds = lambda t, k: t.groupBy(k).agg(F.sort_array(F.collect_set("kind")).alias(f"_{k}_kinds"))
+    t, by_low = F.coalesce("tolerance", F.lit(0.0)), Window.partitionBy("set_id", "kind").orderBy("low", "high")
+    bands = entries.select("set_id", "kind", (F.col("centre") - t).cast("double").alias("low"), (F.col("centre") + t).cast("double").alias("high")).where("set_id IS NOT NULL AND kind IS NOT NULL AND low <= high")
+    # Bands of one kind of a set that overlap become one, so a value lies in one at most and pairs need no second counting.
+    begins = F.coalesce(F.col("low") > F.max("high").over(by_low.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    runs = bands.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(by_low.rowsBetween(Window.unboundedPreceding, 0)))
+    bands = runs.groupBy("set_id", "kind", "_run").agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumn("open_low", F.lit(False))
+    axis = Axis(bands)
+    cover = _spans(bands, axis).select("set_id", "kind", "low", "high", F.explode(axis.nodes(F.col("_a"), F.col("_z"))).alias("_node"))
+    sizes = stated.agg(F.approx_count_distinct("question").alias("questions")).join(entries.agg(F.count(F.lit(1)).alias("entries"), F.approx_count_distinct("set_id").alias("sets"))).first()
+    # The pairs of a question are made and counted where it is; only its values are shuffled. So many tasks that each has PAIRS of them.
+    tasks = max(1, min(TASKS, sizes["questions"] * sizes["sets"] // PAIRS))
+    # Slots first: behind a Python step Spark no longer knows that a question's rows are together.
+    asked = stated.where("question IS NOT NULL").withColumn("value", F.col("value").cast("double")).withColumn("_slot", axis.slot(F.col("value"))).repartition(tasks, "question")
+    asked = asked.withColumn("_question_kinds", F.sort_array(F.collect_set("kind").over(Window.partitionBy("question"))))
+    asked = asked.where("value IS NOT NULL").withColumn("_node", F.explode(axis.above(F.col("_slot"))))
+    sent = F.broadcast if sizes["entries"] <= SENT else lambda t: t.hint("merge")
+    found = asked.join(sent(cover), ["kind", "_node"]).where("value >= low AND value <= high")
+    inside = found.groupBy("question", "_question_kinds", "set_id").agg(F.count(F.lit(1)).alias("inside"))
+    both = F.size(F.array_intersect("_question_kinds", "_set_id_kinds"))
+    return inside.join(sent(kinds(entries, "set_id")), "set_id").select("question", "set_id", (F.col("inside") == both).alias("admitted"))

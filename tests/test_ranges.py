@@ -1,8 +1,10 @@
 """Range joins against plain Python."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from clauseq.operators import ranges
 
@@ -70,3 +72,21 @@ def test_repeated_intervals_are_not_sent_to_every_task_and_cuts_stay_out_of_plan
     pairs = ranges.all_intervals(rows, "v", table.drop("row_index"), ["kind"])
     plan = pairs._jdf.queryExecution().toString()
     assert "Broadcast" not in plan and len(plan) < 50_000 and pairs.count() == 500
+
+
+def test_nodes_cover_each_slot_of_a_span_once(spark):
+    axis = ranges.Axis(spark.createDataFrame([("a", i, float(i), float(i), False, "x") for i in range(200)], ENDS))
+    spans = [(a, z) for a in range(axis.last + 1) for z in range(a, axis.last + 1)]
+    t = spark.createDataFrame(spans, "a int, z int")
+    above = {r[0]: set(r[1]) for r in spark.range(axis.last + 1).select("id", axis.above(F.col("id"))).collect()}
+    for a, z, nodes in t.select("a", "z", axis.nodes(F.col("a"), F.col("z"))).collect():
+        assert [len(above[s] & set(nodes)) for s in above] == [int(a <= s <= z) for s in above] and len(nodes) == len(set(nodes))
+
+
+def test_pairs_of_questions_and_sets_are_not_shuffled(spark):
+    entries = spark.createDataFrame([(i, "temp", 20.0, float(i)) for i in range(50)] + [(7, "temp", 21.0, 9.0), (7, "hum", 1.0, 1.0)], "set_id long, kind string, centre double, tolerance double")
+    stated = spark.createDataFrame([(1, "temp", 25.0), (1, "hum", 9.0), (2, "temp", 25.0), (None, "temp", 25.0)], "question long, kind string, value double")
+    got = ranges.admitted_sets(stated, entries)
+    assert sorted(map(tuple, got.collect())) == sorted([(q, s, (q, s) != (1, 7)) for q in (1, 2) for s in range(50) if s >= 5])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") >= 2 and not [x for x in plan.split("== Initial Plan ==")[0].splitlines() if re.search(r" Exchange hashpartitioning\(question.*set_id", x)]
