@@ -101,7 +101,7 @@ def first_interval(rows: DataFrame, value: str, intervals: DataFrame, payload: l
     part = spans.withColumn("_slot", F.explode("_part")).groupBy(*by, "_slot").agg(F.collect_list(F.struct("row_index", "low", "high", "open_low", *payload)).alias("_parts"))
     table = whole.join(part, [*by, "_slot"], "full")
     fits = F.array_min(F.transform(F.filter("_parts", lambda x: _holds(v, x)), lambda x: F.struct(x["row_index"].alias("row_index"), *(x[p].alias(p) for p in payload))))
-    got = rows.withColumn("_slot", axis.slot(v)).join(table, [*by, "_slot"], "left").withColumn("_found", F.least(fits, F.col("_whole")))
+    got = rows.withColumn("_slot", axis.slot(v)).join(table.hint("merge"), [*by, "_slot"], "left").withColumn("_found", F.least(fits, F.col("_whole")))
     return got.select(*rows.columns, *(F.col(f"_found.{p}").alias(p) for p in payload))
 
 

@@ -28,6 +28,11 @@ def _parts(name: Column) -> Column:
     return F.filter(F.split(F.lower(name), "_"), lambda t: t != "")
 
 
+def unsent(side: DataFrame) -> DataFrame:
+    """A side that grows with the questions or the cells. Spark takes it for as small as the file it came from, and would send all of it to every task."""
+    return side.hint("merge")
+
+
 def questions(asked: DataFrame) -> DataFrame:
     """asked (query_id, text) with low, operation, class (the word behind "class") and units, those that follow a number."""
     text = F.coalesce("text", F.lit(""))
@@ -63,7 +68,7 @@ def pick_tables(q: DataFrame, candidates: DataFrame, tables: DataFrame, columns:
     filled = cells.select("table_id").distinct().withColumn("filled", F.lit(True))
     cc = class_columns(columns).withColumnRenamed("class_col", "col")
     values = cells.join(cc, ["table_id", "col"]).select("table_id", F.lower(F.trim(F.coalesce("raw", F.lit("")))).alias("class")).distinct().withColumn("has_class", F.lit(True))
-    j = candidates.join(q, "query_id").join(tables, "table_id").join(filled, "table_id", "left").join(pair_units, "table_id", "left").join(as_names, "table_id", "left").join(values, ["table_id", "class"], "left")
+    j = candidates.join(unsent(q), "query_id").join(tables, "table_id").join(filled, "table_id", "left").join(pair_units, "table_id", "left").join(as_names, "table_id", "left").join(values, ["table_id", "class"], "left")
     low = F.col("low")
     names = F.filter(_parts(F.replace("table_id", F.lit("/table/"), F.lit(""))), lambda t: (F.char_length(t) >= 3) & F.contains(low, t))
     words = F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), r"[^a-z0-9.]+"), lambda w: (F.char_length(w) >= 4) & F.contains(low, w))
@@ -73,7 +78,7 @@ def pick_tables(q: DataFrame, candidates: DataFrame, tables: DataFrame, columns:
     j = j.withColumn("points", F.when(F.col("filled"), points).otherwise(-1))
     best = j.groupBy("query_id").agg(F.max(F.struct("points", (-F.col("place")).alias("p"), "table_id")).alias("x"), F.count(F.lit(1)).alias("n"))
     kept = best.where((F.col("x.points") > 0) | (F.col("n") == 1)).select("query_id", F.col("x.table_id").alias("table_id"))
-    return q.join(kept, "query_id")
+    return q.join(unsent(kept), "query_id")
 
 
 def answer(asked: DataFrame, candidates: DataFrame, tables: DataFrame, columns: DataFrame, cells: DataFrame) -> DataFrame:
@@ -107,7 +112,7 @@ def answer(asked: DataFrame, candidates: DataFrame, tables: DataFrame, columns:
     of_class = of_class.select("query_id", F.col("x.col").alias("class_as_col"), F.col("x.name").alias("class_as_name"), F.col("x.u").alias("class_as_unit"))
     numeric = columns.where(F.col("type").isin("number", "integer") | F.col("name").rlike(r"^class_[a-z0-9.]+$"))
 
-    ends = q.where("operation IN ('min', 'max')").join(of_class, "query_id", "left")
+    ends = q.where("operation IN ('min', 'max')").join(unsent(of_class), "query_id", "left")
     fit = F.size(F.filter(_parts(F.col("name")), lambda t: ~t.isin(*SILENT) & (F.char_length(t) >= 3) & F.contains(low, t)))
     hint = F.lit(False)
     for unit, words in UNIT_WORDS.items():
@@ -124,10 +129,10 @@ def answer(asked: DataFrame, candidates: DataFrame, tables: DataFrame, columns:
     num = cells.withColumn("v", cell_number(F.col("raw")))
     side = lambda c, to: pairs.select("table_id", "pair", F.col(c).alias("col")).join(num, ["table_id", "col"]).select("table_id", "pair", "row", F.col("v").alias(to))
     all_rows = pairs.join(cells.select("table_id", "row").distinct(), "table_id").select("table_id", "pair", "row", "open_low")
-    spans = all_rows.join(side("low_col", "low"), ["table_id", "pair", "row"], "left").join(side("high_col", "high"), ["table_id", "pair", "row"], "left")
+    spans = all_rows.join(unsent(side("low_col", "low")), ["table_id", "pair", "row"], "left").join(unsent(side("high_col", "high")), ["table_id", "pair", "row"], "left")
     named = cells.join(cc.withColumnRenamed("class_col", "col"), ["table_id", "col"]).select("table_id", "row", F.lower(F.trim(F.coalesce("raw", F.lit("")))).alias("key"))
     # Each row under its own class, and under no class in particular.
-    keyed = spans.join(named, ["table_id", "row"]).unionByName(spans.withColumn("key", F.lit("*")))
+    keyed = spans.join(unsent(named), ["table_id", "row"]).unionByName(spans.withColumn("key", F.lit("*")))
     keyed = keyed.withColumn("row_index", F.col("row")).withColumnRenamed("row", "found")
     looked = q.where("operation = 'lookup'").join(pairs.where("unit <> ''"), "table_id").join(cc, "table_id", "left")
     pattern = F.concat(F.lit(rf"(?i)({NUMBER})\s*\Q"), F.col("unit"), F.lit(r"\E\b"))
@@ -135,14 +140,14 @@ def answer(asked: DataFrame, candidates: DataFrame, tables: DataFrame, columns:
     looked = looked.withColumn("key", F.when(F.col("class").isNotNull() & F.col("class_col").isNotNull(), F.col("class")).otherwise("*"))
     hit = ranges.first_interval(looked.drop("open_low"), "stated", keyed, ["found"], ["table_id", "pair", "key"]).where("found IS NOT NULL")
     first = hit.groupBy("query_id").agg(F.min("pair").alias("pair"))
-    hit = hit.join(first, ["query_id", "pair"]).join(of_class, "query_id", "left")
+    hit = hit.join(unsent(first), ["query_id", "pair"]).join(unsent(of_class), "query_id", "left")
     used = F.when(F.col("key") != "*", F.col("class_col"))
     rest = hit.select("query_id", "table_id", "low_col", "high_col", used.alias("used")).join(numeric, "table_id").where("col <> low_col AND col <> high_col AND NOT (col <=> used)")
     only = rest.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("col", "name", F.col("unit").alias("u"))).alias("x")).where("n = 1").select("query_id", F.col("x.col").alias("one"), F.col("x.name").alias("one_name"), F.col("x.u").alias("one_unit"))
-    hit = hit.join(only, "query_id", "left").withColumns({
+    hit = hit.join(unsent(only), "query_id", "left").withColumns({
         "col": F.coalesce("class_as_col", "one"), "column": F.coalesce("class_as_name", "one_name"), "_unit": F.when(F.col("class_as_col").isNotNull(), F.col("class_as_unit")).otherwise(F.col("one_unit")),
     }).drop("unit")
     cell = cells.select("table_id", F.col("row").alias("found"), "col", "raw")
     value = F.coalesce(cell_number(F.col("raw")).cast("string"), F.trim("raw"))
-    lookup = hit.join(cell, ["table_id", "found", "col"], "left").select("query_id", "operation", "table_id", "column", value.alias("value"), F.nullif("_unit", F.lit("")).alias("unit"), F.col("found").cast("int").alias("row"))
+    lookup = hit.join(unsent(cell), ["table_id", "found", "col"], "left").select("query_id", "operation", "table_id", "column", value.alias("value"), F.nullif("_unit", F.lit("")).alias("unit"), F.col("found").cast("int").alias("row"))
     return count.unionByName(extreme).unionByName(lookup)

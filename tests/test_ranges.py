@@ -90,3 +90,10 @@ def test_pairs_of_questions_and_sets_are_not_shuffled(spark):
     assert sorted(map(tuple, got.collect())) == sorted([(q, s, (q, s) != (1, 7)) for q in (1, 2) for s in range(50) if s >= 5])
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") >= 2 and not [x for x in plan.split("== Initial Plan ==")[0].splitlines() if re.search(r" Exchange hashpartitioning\(question.*set_id", x)]
+
+
+def test_the_table_of_first_intervals_is_not_sent_to_every_task(spark, tmp_path):
+    spark.createDataFrame([("a", i, float(i), i + 9.0, False, "x") for i in range(300)], ENDS).write.parquet(f"{tmp_path}/ends")
+    spark.createDataFrame([(1, "a", 100.5)], "id long, kind string, v double").write.parquet(f"{tmp_path}/rows")
+    got = ranges.first_interval(spark.read.parquet(f"{tmp_path}/rows"), "v", spark.read.parquet(f"{tmp_path}/ends"), ["name"], ["kind"])
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and [r["id"] for r in got.where("name = 'x'").collect()] == [1]
