@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 #: Cuts of the axis at most, which are the only numbers that reach the driver, and intervals' ends for a cut.
 CUTS, ENDS = 4096, 16
@@ -86,10 +91,12 @@ def first_interval(rows: DataFrame, value: str, intervals: DataFrame, payload: l
     nothing. A null value, or a null in `by`, has no interval. Columns of rows keep
     their places; payload names must not clash with them.
 
-    Each slot has one row with the first of the intervals that cover it whole, and
-    an array of those that end in it, so a row meets one row, in a join on `by` and the slot,
-    and the arrays' sizes are bounded by Axis. Whole covers are counted down to
-    the first before the shuffle; work for them is intervals times the slots they span.
+    Two answers are compared: the first of the intervals that cover the value's slot
+    whole, counted down before the shuffle (work for them is intervals times the slots
+    they span), and the first of those that end in the slot. The latter are swept
+    once for each slot, whose ends Axis bounds, into sections with one answer each; a
+    value takes that of the section that begins last before it, in the order
+    of the slot. Values are looked up once each, however many rows have them.
     """
     by, v = list(by), F.col(value).cast("double")
     ends = intervals.select(*by, "row_index", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.coalesce("open_low", F.lit(False)).alias("open_low"), *payload)
@@ -98,13 +105,57 @@ def first_interval(rows: DataFrame, value: str, intervals: DataFrame, payload: l
     spans = _spans(ends, axis)
     said = F.struct("row_index", *payload)
     whole = spans.where("_from <= _upto").withColumn("_slot", F.explode(F.sequence("_from", "_upto"))).groupBy(*by, "_slot").agg(F.min(said).alias("_whole"))
-    part = spans.withColumn("_slot", F.explode("_part")).groupBy(*by, "_slot").agg(F.collect_list(F.struct("row_index", "low", "high", "open_low", *payload)).alias("_parts"))
-    table = whole.join(part, [*by, "_slot"], "full")
-    fits = F.array_min(F.transform(F.filter("_parts", lambda x: _holds(v, x)), lambda x: F.struct(x["row_index"].alias("row_index"), *(x[p].alias(p) for p in payload))))
-    got = rows.withColumn("_slot", axis.slot(v)).join(table.hint("merge"), [*by, "_slot"], "left").withColumn("_found", F.least(fits, F.col("_whole")))
+    part = spans.withColumn("_slot", F.explode("_part"))
+    part = part.withColumns({"low": F.when(F.col("_a") == F.col("_slot"), F.col("low")), "high": F.when(F.col("_z") == F.col("_slot"), F.col("high"))})
+    part = part.groupBy(*by, "_slot", "low", "open_low", "high").agg(F.min(said).alias("_said"))
+    part = part.withColumn("_nth", F.row_number().over(Window.partitionBy(*by, "_slot").orderBy("_said")))
+    keys = F.struct(*by, F.col("_slot").alias("_slot"))
+    sections = part.select(keys.alias("_keys"), "low", "open_low", "high", "_nth", "_said").groupBy("_keys").applyInArrow(_sections, _sections_schema(part.select(keys.alias("_keys"), "_said")))
+    sections = sections.select(*(F.col(f"_keys.{c}").alias(c) for c in [*by, "_slot"]), "_x", "_after", F.struct(F.col("_said").alias("said")).alias("_section"))
+    asked = rows.select(*by, v.alias("_x")).where(F.col("_x").isNotNull()).distinct().withColumn("_slot", axis.slot(F.col("_x")))
+    both = asked.withColumns({"_after": F.lit(0), "_section": F.lit(None).cast(sections.schema["_section"].dataType), "_asked": F.lit(1)}).unionByName(sections.withColumn("_asked", F.lit(0)))
+    # A section that begins at a value holds it, one that begins behind it doesn't.
+    upto = Window.partitionBy(*by, "_slot").orderBy(F.col("_x").asc_nulls_first(), "_after", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    at = both.withColumn("_section", F.last("_section", ignorenulls=True).over(upto)).where("_asked = 1")
+    # Spark takes both sides for as small as their files; they are not sent to every task.
+    first = at.join(whole.hint("merge"), [*by, "_slot"], "left").select(*by, "_x", F.least("_section.said", "_whole").alias("_found"))
+    got = rows.withColumn("_x", v).join(first.hint("merge"), [*by, "_x"], "left")
     return got.select(*rows.columns, *(F.col(f"_found.{p}").alias(p) for p in payload))
 
 
+def _sections_schema(part: DataFrame) -> StructType:
+    return StructType([part.schema["_keys"], StructField("_x", DoubleType()), StructField("_after", IntegerType()), part.schema["_said"]])
+
+
+def _sections(part: pa.Table) -> pa.Table:
+    """Where, in a slot, the first of the intervals over it changes: from _x on or, if _after is 1, just behind it; a null _x is the slot's beginning, a null _said none."""
+    low, high = part["low"].to_pylist(), part["high"].to_pylist()
+    nth, opened = part["_nth"].to_pylist(), part["open_low"].to_pylist()
+    edge = -math.inf
+    # At a place, beginnings and ends are all taken before the first is looked for.
+    turns = sorted([((edge, 0) if x is None else (x, int(o)), i) for i, (x, o) in enumerate(zip(low, opened, strict=True))] + [((x, 1), ~i) for i, x in enumerate(high) if x is not None])
+    over: list[tuple[int, int]] = []
+    done, last, places, found = set(), -1, [], []
+    for place, group in itertools.groupby(turns, key=lambda t: t[0]):
+        for _, i in group:
+            if i < 0:
+                done.add(~i)
+            else:
+                heapq.heappush(over, (nth[i], i))
+        while over and over[0][1] in done:
+            heapq.heappop(over)
+        now = over[0][1] if over else None
+        if now != last:
+            places.append(place)
+            found.append(now)
+            last = now
+    keys = part["_keys"].combine_chunks().take(pa.array([0] * len(places), pa.int64()))
+    return pa.table({
+        "_keys": keys, "_x": pa.array([None if x == edge else x for x, _ in places], pa.float64()), "_after": pa.array([a for _, a in places], pa.int32()),
+        "_said": part["_said"].combine_chunks().take(pa.array(found, pa.int64())),
+    })
+
+
 def all_intervals(rows: DataFrame, value: str, intervals: DataFrame, by: list[str] = ()) -> DataFrame:
     """Each row with every interval that holds its value, one row a pair; rows without one are left out.
 

@@ -97,3 +97,16 @@ def test_the_table_of_first_intervals_is_not_sent_to_every_task(spark, tmp_path)
     spark.createDataFrame([(1, "a", 100.5)], "id long, kind string, v double").write.parquet(f"{tmp_path}/rows")
     got = ranges.first_interval(spark.read.parquet(f"{tmp_path}/rows"), "v", spark.read.parquet(f"{tmp_path}/ends"), ["name"], ["kind"])
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and [r["id"] for r in got.where("name = 'x'").collect()] == [1]
+
+
+def test_first_intervals_are_looked_up_in_sections_not_in_lists(spark):
+    # All ends lie in a few slots, and hundreds of intervals end in each.
+    rng = random.Random(8)
+    ends = [("a", rng.randint(0, 10**6), (x := rng.random() * 50), x + rng.random() * 9, rng.random() < 0.5, f"n{i}") for i in range(900)] + [("a", 5, 1e6, 2e6, False, "far")] * 2
+    values = [(i, "a", rng.choice([e[2] for e in ends] + [e[3] for e in ends]) if i % 2 else rng.random() * 60) for i in range(600)]
+    got = ranges.first_interval(spark.createDataFrame(values, "id long, kind string, v double"), "v", spark.createDataFrame(ends, ENDS), ["name"], ["kind"])
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["id"]: r["name"] for r in got.collect()}
+    for i, _, v in values:
+        fit = min(((e[1], e[5]) for e in ends if holds(v, e[2], e[3], e[4])), default=None)
+        assert found[i] == (fit and fit[1])
