@@ -14,10 +14,30 @@ from pyspark.sql import functions as F
 BLOCK = 20_000
 
 
+#: Queries and vectors that are compared at once in a task, whose scores are all that it holds beside its best; digits of a score, and one step of them.
+TILE, DECIMALS = 512, 6
+STEP = 10.0**-DECIMALS
+
+
+def _merge(score: np.ndarray, near: np.ndarray, row: np.ndarray, new: np.ndarray, vec: np.ndarray) -> None:
+    """Puts the new scores of the rows among their best, in place: by score, then by vector."""
+    k = score.shape[1]
+    touched, local = np.unique(row, return_inverse=True)
+    old_row, old_place = np.nonzero(score[touched] > -np.inf)
+    rows = np.concatenate([old_row, local])
+    scores, vecs = np.concatenate([score[touched][old_row, old_place], new]), np.concatenate([near[touched][old_row, old_place], vec])
+    order = np.lexsort((vecs, -scores, rows))
+    rows, scores, vecs = rows[order], scores[order], vecs[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    rows, scores, vecs, place = (x[place < k] for x in (rows, scores, vecs, place))
+    score[touched[rows], place], near[touched[rows], place] = scores, vecs
+
+
 def cosine_topk(vectors: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
     """query_id, vec_id, score (6 decimals), rank; the query itself is left out. Null and zero vectors are in no result.
 
     Each task keeps the k best of each query, so k rows for each task and query are shuffled.
+    It holds these and one tile of scores, however many vectors it reads.
     """
     spark = vectors.sparkSession
     number = asked.count()
@@ -33,22 +53,27 @@ def cosine_topk(vectors: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best: dict[int, list[tuple[float, int]]] = {}
+            # The best of each query, score and vector: arrays of queries times k, filled from the left.
+            score, near = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
             norm = np.sqrt((q * q).sum(1)) if len(q) else q
             for batch in batches:
-                vec = batch.column("vec_id").to_numpy(zero_copy_only=False)
-                x = np.array(batch.column("embedding").to_pylist(), np.float64)
-                if not len(x) or not len(q):
-                    continue
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    s = np.round((q @ x.T) / (norm[:, None] * np.sqrt((x * x).sum(1))[None, :]), 6)
-                for i in range(len(ids)):
-                    ok = np.flatnonzero((vec != ids[i]) & np.isfinite(s[i]))
-                    near = ok[np.lexsort((vec[ok], -s[i][ok]))[:k]]
-                    best[i] = sorted(best.get(i, []) + [(-float(s[i][j]), int(vec[j])) for j in near])[:k]
-            flat = [(int(ids[i]), v, -s) for i, found in best.items() for s, v in found]
-            cols = list(zip(*flat, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+                for lo in range(0, batch.num_rows if len(q) else 0, TILE):
+                    tile = batch.slice(lo, TILE)
+                    vec = tile.column("vec_id").to_numpy(zero_copy_only=False)
+                    x = np.array(tile.column("embedding").to_pylist(), np.float64)
+                    length = np.sqrt((x * x).sum(1))
+                    for at in range(0, len(ids), TILE):
+                        part = slice(at, at + TILE)
+                        with np.errstate(invalid="ignore", divide="ignore"):
+                            s = (q[part] @ x.T) / (norm[part, None] * length[None, :])
+                        # What is a step of rounding below the k-th best is no candidate.
+                        row, col = np.nonzero((s >= score[part, -1:] - STEP) & (ids[part, None] != vec[None, :]))
+                        sound = np.isfinite(s[row, col])
+                        row, col = row[sound], col[sound]
+                        if len(row):
+                            _merge(score[part], near[part], row, np.round(s[row, col], DECIMALS), vec[col])
+            row, place = np.nonzero(score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(near[row, place]), pa.array(score[row, place])], ["query_id", "vec_id", "score"])
 
         out.append(vectors.where("embedding IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

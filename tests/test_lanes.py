@@ -90,3 +90,24 @@ def test_units_by_id(spark):
     got = lanes.licensed_lane(pool, entitled, units, stored).orderBy("pos").collect()
     assert [r["title"] for r in got] == ["here"] + [f"unit {i}" for i in range(0, 40, 2) if i != 2] and {r["score"] for r in got[1:]} == {0.5}
     assert lanes.by_ids(stored, spark.createDataFrame([("x",), (key("s", "n00"),), (key("s", "n00"),)], "id string")).count() == 1
+
+
+def test_cosine_search_compares_tiles_and_keeps_ties_in_order(spark):
+    import numpy as np
+
+    from clauseq.operators import vectors
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(vectors.TILE + 40, 3)), rng.normal(size=(20, 3)).repeat(9, 0), np.zeros((2, 3))])
+    ids = rng.permutation(len(x))
+    v = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, x, strict=True)] + [(-1, None)], "vec_id long, embedding array<double>").coalesce(1)
+    got = vectors.cosine_topk(v, v.selectExpr("vec_id AS query_id", "embedding"), 4)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    with np.errstate(invalid="ignore"):
+        s = np.round(x @ x.T / np.outer(np.sqrt((x * x).sum(1)), np.sqrt((x * x).sum(1))), 6)
+    assert len(found) == len(x) - 2
+    for i, q in enumerate(ids):
+        want = sorted((-s[i, j], ids[j]) for j in range(len(x)) if j != i and np.isfinite(s[i, j]))[:4]
+        assert [found.get(int(q), {}).get(n + 1) for n in range(len(want))] == [(int(j), -float(p)) for p, j in want]
