@@ -134,3 +134,14 @@ def test_stream_counters_equal_the_batch(spark, tmp_path):
     week = {(r["user_id"], r["until"]): r["n"] for r in counters.rolling_reports(events, "user_id").collect()}
     user, day = min(week)
     assert week[user, day] == sum(n for (u, d), n in want.items() if u == user and day - datetime.timedelta(7) <= d < day)
+
+
+def test_words_of_a_language_sample_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from clauseq.operators import language
+
+    t = spark.createDataFrame([("the cat and the dog in the house of " * 30,), ("der Hund und das Haus ist von " * 40,), (None,)], "text string")
+    got = t.select(language.stopword_language(F.col("text")).alias("d"), language.unit_language(F.col("text")).alias("u"))
+    assert [tuple(r) for r in got.collect()] == [("en", "en"), ("de", "de"), (None, None)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
