@@ -24,13 +24,16 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: c.cast("string")
     part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("title"))
-    rows = read(spark, sf_dir, "lineitem").join(p, "l_partkey").select(
-        F.col("l_orderkey").alias("query_id"), F.concat_ws("-", line, part, supp, F.concat("l_linestatus", "l_returnflag")).alias("id"), text(part % 4).alias("doc"), text(supp % 3).alias("family"),
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", line, part, supp, "l_linestatus", "l_returnflag", "l_quantity").join(p, "l_partkey")
+    # Orders are put together once, as short rows: what follows is per query, and texts are made where it is.
+    lines = lines.repartition("l_orderkey").withColumnRenamed("l_orderkey", "query_id")
+    lines = lines.groupBy(*[c for c in lines.columns if c != "l_quantity"]).agg(F.max("l_quantity").alias("score"))
+    rows = lines.select(
+        "query_id", F.concat_ws("-", line, part, supp, F.concat("l_linestatus", "l_returnflag")).alias("id"), text(part % 4).alias("doc"), text(supp % 3).alias("family"),
         F.when(line % 4 == 0, "overview").when(line % 2 == 0, F.concat_ws(".", text(supp % 2 + 1), text(part % 3 + 1))).otherwise(text(supp % 2 + 1)).alias("anchor"),
         text(1985 + part % 30).alias("edition"), F.when(F.col("l_linestatus") == "O", "superseded").otherwise("in-force").alias("status"),
-        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("k"), supp % 4)).alias("standard_key"), F.concat(F.lit("c"), supp % 5).alias("corpus"), "title", "l_quantity",
+        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("k"), supp % 4)).alias("standard_key"), F.concat(F.lit("c"), supp % 5).alias("corpus"), "title", "score",
     )
-    rows = rows.groupBy(*[c for c in rows.columns if c != "l_quantity"]).agg(F.max("l_quantity").alias("score"))
     rows = stages.as_pool(rows)
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
 

@@ -144,4 +144,11 @@ def test_words_of_a_language_sample_are_made_once(spark):
     t = spark.createDataFrame([("the cat and the dog in the house of " * 30,), ("der Hund und das Haus ist von " * 40,), (None,)], "text string")
     got = t.select(language.stopword_language(F.col("text")).alias("d"), language.unit_language(F.col("text")).alias("u"))
     assert [tuple(r) for r in got.collect()] == [("en", "en"), ("de", "de"), (None, None)]
-    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("[a-zà-öø-ÿ]+") == 2
+
+
+def test_an_order_pool_is_grouped_and_ranked_where_its_order_is(spark):
+    from clauseq import retrieval
+
+    plan = retrieval.pool(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(l_orderkey") == 1
