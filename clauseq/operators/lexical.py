@@ -23,18 +23,24 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 def _asked_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, dl and each occurrence (term) of a wanted term. Other words are dropped within the array, before it is exploded."""
     words = docs.select("doc_id", tokens(F.col("text")).alias("ws")).select("doc_id", F.size("ws").alias("dl"), "ws")
-    known = [r["term"] for r in wanted.limit(TERM_SET + 1).collect()]
+    known = sorted(r["term"] for r in wanted.limit(TERM_SET + 1).collect())
     if len(known) <= TERM_SET:
         return words.select("doc_id", "dl", F.explode(F.filter("ws", lambda w: w.isin(known))).alias("term"))
     return words.select("doc_id", "dl", F.explode("ws").alias("term")).join(wanted, "term", "left_semi")
 
 
+def _frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, doc_id, dl, tf of the terms (term) of queries."""
+    return _asked_words(docs, terms.select("term").distinct()).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def bm25(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """query_id, doc_id, score of every document with a term of a query. docs: doc_id, text. asked: query_id, text."""
     terms = asked.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
     total = docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = _asked_words(docs, terms.select("term").distinct()).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = _frequencies(docs, terms)
+    # By a count that reads tf, as all uses of the frequencies do, so that Spark makes them once.
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     # The totals are one row.
     idf = df.join(F.broadcast(total)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -68,8 +74,9 @@ def lanes(rankings: list[DataFrame]) -> DataFrame:
 def overlap_topk(docs: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
     """Ranking by the number of distinct query terms that a document has."""
     terms = asked.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
-    has = _asked_words(docs, terms.select("term").distinct()).select("doc_id", "term").distinct()
-    return top(terms.join(has, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), k)
+    # The same frequencies as in bm25: where both rankings are asked for, Spark makes them once.
+    had = F.collect_set(F.when(F.col("tf") > 0, F.col("term")))
+    return top(terms.join(_frequencies(docs, terms), "term").groupBy("query_id", "doc_id").agg(F.size(had).cast("double").alias("score")), k)
 
 
 def keyword_score(query: Column, text: str) -> Column:

@@ -152,3 +152,16 @@ def test_an_order_pool_is_grouped_and_ranked_where_its_order_is(spark):
 
     plan = retrieval.pool(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(l_orderkey") == 1
+
+
+def test_two_rankings_make_the_frequencies_of_terms_once(spark):
+    from clauseq.operators import lexical
+
+    docs = spark.createDataFrame([(i, f"red steel w{i % 7} of w{i % 3} red") for i in range(40)] + [(99, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "red w2"), (2, "the steel w1 w6")], "query_id long, text string")
+    got = lexical.rrf([lexical.bm25_topk(docs, asked), lexical.overlap_topk(docs, asked)])
+    assert got.count() == 20
+    df = got.groupBy("query_id").count()
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") + final.count("ReusedQueryStage") >= 1 and final.count("Generate explode(filter(") <= 2, final.count("Generate explode(filter(")
