@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -25,6 +26,15 @@ CLOSES = {
 #: Machine-made ids, which say nothing in a citation.
 GUID = re.compile(r"^_?[0-9a-fA-F]{8}-[0-9a-fA-F-]{27}")
 _NUMBER = re.compile(NUMBER)
+#: Markup that needs no parser to be told apart: scripts, simple comments and doctypes, end tags, start tags with their attributes. Elements that are left to the tree.
+_BLANK = r"[\t\n\r\f ]"
+_VALUE = rf"""(?:"[^"<>]*"|'[^'<>]*'|[^\s<>"'=`/&]+)"""
+_MARKUP = re.compile(
+    rf"""(?ai)<(?:(script|style)(?:{_BLANK}[^<>"'/]*)?>[^<]*(?:<(?!!|/?(?:script|style))[^<]*)*</\1|!doctype[^<>"'-]*|!--(?:(?!--)[^<>])*--|/([a-z][a-z0-9]*){_BLANK}*"""
+    rf"""|([a-z][a-z0-9]*)(?:{_BLANK}+[a-z][a-z0-9_-]*(?:{_BLANK}*={_BLANK}*{_VALUE})?)*{_BLANK}*)>"""
+)
+_TOLD, _PLAIN = frozenset(("body", "table", "caption", "thead", "tr", "td", "th", *HEADINGS)), frozenset("a abbr b code em i q s small span strong sub sup u".split())
+_LEFT = frozenset("script style nav title textarea xmp iframe noembed noframes noscript plaintext svg math".split())
 
 
 class Node:
@@ -160,8 +170,170 @@ def section_rows(html: str, boilerplate: re.Pattern | None = None) -> list[tuple
     return out
 
 
+def _line(texts: list[str]) -> str:
+    return " ".join(" ".join(texts).split())
+
+
+class _Tables:
+    """The tables of plain markup in one pass: names of open elements, and the texts of the heading, caption and cell that are open."""
+
+    def __init__(self) -> None:
+        self.open: list[str] = []
+        self.body = self.heading = self.table = -1
+        self.ended = False
+        self.texts: list[str] | None = None
+        self._afresh()
+
+    def _afresh(self) -> None:
+        self.out: list[tuple] = []
+        self.pos, self.nth, self.anchor, self.title = 0, 0, "", ""
+
+    def read(self, html: str) -> list[tuple] | None:
+        """The rows of table_rows, None where the markup is not plain: tables within tables or headings, hidden parts, tags that the pattern doesn't know."""
+        if "\0" in html:
+            return None
+        parts, stack = _MARKUP.split(html), self.open
+        ends, starts = parts[2::4], parts[3::4]
+        for i, text in enumerate(parts[::4]):
+            if text:
+                if "<" in text:
+                    return None
+                if (self.texts is not None or self.table >= 0 <= self.in_caption) and not text.isspace():
+                    text = unescape(text) if "&" in text else text
+                    if self.texts is not None:
+                        self.texts.append(text)
+                    if self.table >= 0 <= self.in_caption:
+                        self.caption.append(text)
+            if i == len(ends):
+                break
+            if (name := ends[i]) is not None:
+                name = name.lower()
+                if stack and stack[-1] == name:
+                    if name in _TOLD:
+                        self._shrink(len(stack) - 1)
+                    else:
+                        stack.pop()
+                        continue
+                else:
+                    self._end(name)
+            elif (name := starts[i]) is not None:
+                name = name.lower()
+                if name in _PLAIN:
+                    stack.append(name)
+                    continue
+                if not self._start(name):
+                    return None
+            if self.ended:
+                return self.out
+        self._shrink(0)
+        return self.out
+
+    def _end(self, name: str) -> None:
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k] == name:
+                return self._shrink(k)
+            if self.open[k] == "table":
+                return None
+
+    def _close(self, names: tuple, stops: tuple) -> None:
+        found = None
+        for k in range(len(self.open) - 1, -1, -1):
+            name = self.open[k]
+            if name in stops:
+                found = k if found is None and name in names else found
+                break
+            if name in names:
+                found = k
+        if found is not None:
+            self._shrink(found)
+
+    def _start(self, name: str) -> bool:
+        if name in _LEFT:
+            return False
+        if name in ENDS_P and "p" in self.open:
+            self._close(("p",), ("table", "td", "th", "li"))
+        if name in CLOSES and self.open and self.open[-1] not in CLOSES[name][1]:
+            self._close(*CLOSES[name])
+        if name == "body" and self.body < 0:
+            if self.heading >= 0 or self.table >= 0:
+                return False
+            self._afresh()
+            self.body = len(self.open)
+        elif self.table >= 0:
+            at = len(self.open)
+            if name in ("td", "th"):
+                if self.in_row >= 0:
+                    self.in_cell, self.texts, self.th = at, [], self.th or name == "th"
+            elif name == "tr":
+                self.in_row, self.cells, self.th = at, [], False
+            elif name == "thead":
+                self.in_head, self.heads = at, self.heads + 1
+            elif name == "caption" and self.caption is None:
+                self.in_caption, self.caption = at, []
+            elif name == "table":
+                return False
+        elif name in HEADINGS or name == "table":
+            if self.heading >= 0:
+                return False
+            if name == "table":
+                self.table, self.in_row, self.in_cell, self.in_head, self.in_caption = len(self.open), -1, -1, -1, -1
+                self.heads, self.caption, self.rows = 0, None, []
+            else:
+                self.heading, self.texts = len(self.open), []
+        if name not in VOID:
+            self.open.append(name)
+        return True
+
+    def _shrink(self, size: int) -> None:
+        """Only the first `size` open elements stay open."""
+        del self.open[size:]
+        self.ended = 0 <= size <= self.body
+        if self.table >= 0:
+            if self.in_cell >= size:
+                if cell := _line(self.texts):
+                    self.cells.append(cell)
+                self.in_cell, self.texts = -1, None
+            if self.in_row >= size:
+                if self.cells:
+                    self.rows.append((self.cells, self.th, self.heads if self.in_head >= 0 else 0))
+                self.in_row = -1
+            if self.in_head >= size:
+                self.in_head = -1
+            if self.in_caption >= size:
+                self.in_caption = -1
+            if self.table >= size:
+                self._told()
+                self.table = -1
+        elif self.heading >= size:
+            self.pos, self.nth, self.title = self.pos + 1, 0, _line(self.texts)
+            m = _NUMBER.match(self.title + " ")
+            self.anchor, self.heading, self.texts = m.group(1) if m else "", -1, None
+
+    def _told(self) -> None:
+        columns: list[str] = []
+        for cells, _, head in self.rows:
+            columns = cells if head == 1 else columns
+        rows = []
+        for cells, th, head in self.rows:
+            if head:
+                continue
+            if not columns and th:
+                columns = cells
+            else:
+                rows.append(cells)
+        if rows:
+            self.out.append((self.pos, self.nth, self.anchor, self.title, _line(self.caption or []), columns or [f"Column {i + 1}" for i in range(max(map(len, rows)))], rows, not columns))
+            self.nth += 1
+
+
 def table_rows(html: str) -> list[tuple]:
-    """(pos, nth, anchor, title, caption, columns, rows, guessed) of each table with rows that is in no other."""
+    """(pos, nth, anchor, title, caption, columns, rows, guessed) of each table with rows that is in no other; plain markup needs no tree."""
+    found = _Tables().read(html)
+    return tree_rows(html) if found is None else found
+
+
+def tree_rows(html: str) -> list[tuple]:
+    """The same by the tree, for any markup."""
     out, pos, nth, anchor, title = [], 0, 0, "", ""
     for el in parse(html).all(*HEADINGS, "table"):
         if el.inside("table"):
@@ -229,6 +401,7 @@ def tables(docs: DataFrame, key: str, html: str) -> DataFrame:
     """One row per table with rows: key, pos (of its section), nth (in it), anchor, title, caption, columns, rows, guessed.
 
     The header is the last row of a thead that has text, or else the first row with a `th`,
-    or else `Column i` (guessed). Empty cells and rows go. A table within a table is part of it.
+    or else `Column i` (guessed). Empty cells and rows go. A table within a table is part of it. A
+    text of plain markup is read in one pass; only others are made into trees.
     """
     return _each(docs, key, html, table_rows, _TABLES)

@@ -29,3 +29,18 @@ def test_tables_with_headers_and_tables_within(spark):
         ("k", 1, 2, "3.5", ["Column 1", "Column 2"], [["p", "q"]], True), ("k", 2, 0, "", ["Column 1"], [["1"]], True),
     ]
     assert htmltree.tables(rows.limit(0), "key", "html").count() == 0
+
+
+def test_plain_markup_is_read_without_a_tree_and_gives_the_same_rows(monkeypatch):
+    plain = [
+        "<script>var t='<table >';</script><h2 id=a>2 Order</h2><p>Text<table><caption>Lines &amp;  more</caption><thead><tr><th>A<th>B</thead><tr><td class=x> 1<td>x &lt; <b>2</b><td></table>after<table><tr><td>n",
+        "<!DOCTYPE html><html><body><h2>1.1 One</h2><table><tr><th>H</th></tr><tr><td>v</td></tr></table></body><table><tr><td>behind the body</td></tr></table>",
+        "<dl><dt><body><table><tr><td>in</td></tr></table><dt><table><tr><td>a dt ends the body</td></tr></table>",
+        "<table><tr><td>1</td></tr><thead><tr><th></th></tr><tr><th>late</th></tr></thead></table><h3>no number</h3><table><caption>c<tr><td>x</td></caption><tr></table>",
+    ]
+    want = [htmltree.tree_rows(t) for t in plain]
+    monkeypatch.setattr(htmltree, "parse", lambda _: 1 / 0)
+    assert [htmltree.table_rows(t) for t in plain] == want and all(want)
+    monkeypatch.undo()
+    for t in ("<table><tr><td>a<table><tr><td>b</table></table>", "<nav><table><tr><td>no</table></nav><table><tr><td>a < b</table>", "<h2><table><tr><td>t</table></h2>", "<table><tr title='>'><td>q</table>"):
+        assert htmltree._Tables().read(t) is None and htmltree.table_rows(t) == htmltree.tree_rows(t)
