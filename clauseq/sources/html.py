@@ -64,19 +64,20 @@ def tables(docs: DataFrame, key: str, html: str) -> DataFrame:
     or else `Column i` (guessed). Empty cells and rows go. A table within a table ends it.
     """
     t = _parts(docs, key, html).select(key, "pos", "anchor", "title", F.posexplode(_all(F.col("rest"), TABLE)).alias("nth", "t"))
-    head = F.regexp_extract("t", r"(?is)<thead[ >].*?</thead>", 0)
-    full = lambda rows: F.filter(rows, lambda r: F.size(_cells(r)) > 0)
-    t = t.withColumns({
-        "caption": plain(F.regexp_extract("t", r"(?is)<caption[^>]*>(.*?)</caption>", 1)),
-        "_head": F.try_element_at(full(_all(head, ROW)), F.lit(-1)), "_rows": full(_all(F.regexp_replace("t", r"(?is)<thead[ >].*?</thead>", ""), ROW)),
-    })
-    first = F.array_position(F.transform("_rows", lambda r: r.rlike(r"(?i)<th(?:\s|>)")), True).cast("int")
-    t = t.withColumn("_at", F.when(F.col("_head").isNull() & (first > 0), first).otherwise(0))
-    t = t.withColumn("rows", F.transform(F.filter("_rows", lambda r, i: i + 1 != F.col("_at")), _cells)).where(F.size("rows") > 0)
+    # Generated columns are made once for a table; of plain ones each reader, each row of a lambda and a filter moved before them would make their own.
+    once = lambda df, **made: df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in made.items())))))
+    cells = lambda rows: F.filter(F.transform(rows, lambda r: F.struct(_cells(r).alias("cells"), r.rlike(r"(?i)<th(?:\s|>)").alias("th"))), lambda r: F.size(r["cells"]) > 0)
+    thead = r"(?is)<thead[ >].*?</thead>"
+    caption = plain(F.regexp_extract("t", r"(?is)<caption[^>]*>(.*?)</caption>", 1))
+    t = once(t, caption=caption, _heads=cells(_all(F.regexp_extract("t", thead, 0), ROW)), _rows=cells(_all(F.regexp_replace("t", thead, ""), ROW)))
+    first = F.array_position(F.transform("_rows", lambda r: r["th"]), True).cast("int")
+    t = once(t, _at=F.when((F.size("_heads") == 0) & (first > 0), first).otherwise(0))
+    rows = F.transform(F.filter("_rows", lambda r, i: i + 1 != F.col("_at")), lambda r: r["cells"])
+    named = F.coalesce(F.try_element_at("_heads", F.lit(-1))["cells"], F.when(F.col("_at") > 0, F.get("_rows", F.col("_at") - 1)["cells"]))
+    t = once(t, rows=rows, _named=named).where(F.size("rows") > 0)
     wide = F.array_max(F.transform("rows", F.size))
-    named = F.coalesce(_cells(F.col("_head")), F.when(F.col("_at") > 0, _cells(F.get("_rows", F.col("_at") - 1))))
-    columns = F.coalesce(named, F.transform(F.sequence(F.lit(1), wide), lambda i: F.concat(F.lit("Column "), i)))
-    return t.select(key, "pos", "nth", "anchor", "title", "caption", columns.alias("columns"), "rows", named.isNull().alias("guessed"))
+    columns = F.coalesce("_named", F.transform(F.sequence(F.lit(1), wide), lambda i: F.concat(F.lit("Column "), i)))
+    return t.select(key, "pos", "nth", "anchor", "title", "caption", columns.alias("columns"), "rows", F.col("_named").isNull().alias("guessed"))
 
 
 def embed_text(caption: Column, source: Column, columns: Column, rows: Column) -> Column:

@@ -62,3 +62,14 @@ def test_other_scripts_are_named(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
     got = [r["x"] for r in d.orderBy("k").select(language.stopword_language(F.col("t")).alias("x")).collect()]
     assert got == ["non-latin", "en", None, None, None, "non-latin"]
+
+
+def test_cells_of_a_table_are_made_once(spark):
+    rows = "".join(f"<tr><td>{i}</td><td></td></tr>" for i in range(3000))
+    pages = spark.createDataFrame([(1, f"<h2>1 A</h2><table><caption>c</caption><tr><th>H</th></tr>{rows}</table><table><thead><tr><th>T</th></tr></thead><tr><td>x</td></tr></table><table><tr></tr></table>")], "id long, html string")
+    got = html.tables(pages, "id", "html")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<t[hd]") == 2  # of a thead's rows and of the others
+    first, second = got.orderBy("nth").collect()
+    assert (first["columns"], first["rows"], first["guessed"]) == (["H"], [[str(i)] for i in range(3000)], False)
+    assert (second["columns"], second["rows"], second["caption"]) == (["T"], [["x"]], "")
