@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +132,34 @@ def starts_of(text: Column, n: int) -> Column:
     return F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+#: Rows that a task holds before it hands them on.
+HELD = 1 << 16
+
+
+def first_of_each(rows: DataFrame, keep: int) -> DataFrame:
+    """rows (query_id, score, year, num) without those that `keep` others of their task and query precede: by score and year from above, then num. A task holds its best so far, not its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for batch in batches:
+            both = pa.Table.from_batches([batch])
+            both = both if best is None else pa.concat_tables([best, both])
+            table = both.append_column("_some", pc.is_valid(both["num"]))
+            by = [("query_id", "ascending"), ("score", "descending"), ("year", "descending"), ("_some", "ascending"), ("num", "ascending")]
+            order = pc.sort_indices(table, sort_keys=by, null_placement="at_end")
+            codes = pc.dictionary_encode(both["query_id"].combine_chunks(), null_encoding="encode").indices.to_numpy()[order.to_numpy()]
+            heads = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, int)
+            nth = np.arange(len(codes)) - np.repeat(heads, np.diff(np.r_[heads, len(codes)]))
+            best = both.take(order.filter(pa.array(nth < keep)))
+            if best.num_rows > HELD:
+                yield from best.to_batches()
+                best = None
+        if best is not None:
+            yield from best.to_batches()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def register_search(asked: DataFrame, register: DataFrame) -> DataFrame:
     """asked (query_id, text) and register (num, holder, model, year): query_id, place, num, score of the best six rows.
 
@@ -139,17 +171,22 @@ def register_search(asked: DataFrame, register: DataFrame) -> DataFrame:
     """
     spaced = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), "[-,.]", " "), F.lit(" "))
     alone = lambda c: F.concat(F.lit(" "), F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), F.lit(" "))
-    q = asked.select("query_id", F.transform(register_tokens(F.col("text")), lambda t: F.lower(t)).alias("tokens"))
-    t = q.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    q = asked.where("query_id IS NOT NULL").select("query_id", F.transform(register_tokens(F.col("text")), lambda t: F.lower(t)).alias("tokens"))
+    t = q.select("query_id", "tokens", F.explode(F.array_distinct("tokens")).alias("token"))
     t = t.withColumn("number", F.col("token").rlike("^[0-9]+$")).withColumn("key", F.when(F.col("number"), F.col("token")).otherwise(F.substring("token", 1, 3)))
-    r = register.select("num", "year", *(F.coalesce(c, F.lit("")).alias(c) for c in ("holder", "model"))).withColumn("_num", F.coalesce(F.col("num").cast("string"), F.lit("")))
+    r = register.select("num", "year", *(F.coalesce(c, F.lit("")).alias(c) for c in ("holder", "model"))).distinct().withColumn("_num", F.coalesce(F.col("num").cast("string"), F.lit("")))
     fields = F.transform(F.array("holder", "model", "_num"), lambda c: F.lower(c))
     starts = lambda n: F.flatten(F.transform(fields, lambda f: starts_of(f, n)))
-    words = F.array_union(F.filter(F.split(spaced("model"), " "), lambda w: w.rlike("^[0-9]+$")), F.array(F.lower("model"), F.lower("_num")))
-    keyed = lambda keys, number: r.select("num", "year", "holder", "model", "_num", F.explode(F.array_distinct(keys)).alias("key"), F.lit(number).alias("number"))
-    index = keyed(words, True).unionByName(keyed(F.concat(starts(3), starts(2)), False))
-    has = F.col("number") | F.contains(F.lower("holder"), F.col("token")) | F.contains(F.lower("model"), F.col("token")) | F.contains(F.lower("_num"), F.col("token"))
-    pairs = t.join(index, ["key", "number"]).where(has).select("query_id", "num", "year", "holder", "model").distinct().join(q, "query_id")
+    r = r.withColumn("_words", F.array_union(F.filter(F.split(spaced("model"), " "), lambda w: w.rlike("^[0-9]+$")), F.array(F.lower("model"), F.lower("_num"))))
+    entry = lambda keys, number: F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), F.lit(number).alias("number")))
+    index = r.select("*", F.explode(F.concat(entry(F.col("_words"), True), entry(F.concat(starts(3), starts(2)), False))).alias("_k")).select(*r.columns, "_k.*")
+
+    def has(token: Column) -> Column:
+        inside = F.contains(F.lower("holder"), token) | F.contains(F.lower("model"), token) | F.contains(F.lower("_num"), token)
+        return F.when(token.rlike("^[0-9]+$"), F.array_contains("_words", token)).otherwise(inside)
+
+    # A row meets a question once for each token that it has; the first of these counts, so that no pair need be gathered to be known.
+    pairs = t.join(index, ["key", "number"]).where(has(F.col("token"))).where(F.col("token") == F.get(F.filter("tokens", has), F.lit(0)))
 
     def worth(token: Column) -> Column:
         number = token.rlike("^[0-9]+$")
@@ -157,5 +194,6 @@ def register_search(asked: DataFrame, register: DataFrame) -> DataFrame:
         return F.when(inside, F.when(number, 3).otherwise(2)).when(F.contains(F.lower("holder"), token), 1).otherwise(0)
 
     score = F.aggregate(F.transform("tokens", worth), F.lit(0), lambda a, b: a + b)
+    pairs = first_of_each(pairs.select("query_id", score.alias("score"), "year", "num"), REGISTER_ROWS)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("year"), "num")
-    return pairs.withColumn("score", score).withColumn("place", F.row_number().over(w)).where(F.col("place") <= REGISTER_ROWS).select("query_id", "place", "num", "score")
+    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= REGISTER_ROWS).select("query_id", "place", "num", "score")

@@ -73,3 +73,19 @@ def test_cells_of_a_table_are_made_once(spark):
     first, second = got.orderBy("nth").collect()
     assert (first["columns"], first["rows"], first["guessed"]) == (["H"], [[str(i)] for i in range(3000)], False)
     assert (second["columns"], second["rows"], second["caption"]) == (["T"], [["x"]], "")
+
+
+def test_register_rows_are_kept_by_task_and_meet_a_question_once(spark):
+    rows = [(q, s, y, n) for q in (1, None, 2) for s in (3, 5) for y in (None, 2000, 1999) for n in (None, 4, 2)]
+    pairs = spark.createDataFrame(rows * 2, "query_id long, score int, year int, num long").coalesce(1)
+    best = [(5, 2000, None), (5, 2000, None), (5, 2000, 2), (5, 2000, 2), (5, 2000, 4)]
+    want = sorted(((q, *b) for q in (1, None, 2) for b in best), key=str)
+    assert sorted((tuple(r) for r in registry.first_of_each(pairs, 5).collect()), key=str) == want
+    assert registry.first_of_each(pairs.limit(0), 5).count() == 0
+    register = spark.range(200).select(F.col("id").alias("num"), F.lit("Acme").alias("holder"), F.concat(F.lit("pump acme "), F.col("id")).alias("model"), (F.col("id") % 3).cast("int").alias("year"))
+    asked = spark.createDataFrame([(1, "Acme acm pump 17?"), (None, "Acme")], "query_id long, text string")
+    found = registry.register_search(asked, register)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "MapInArrow" in plan  # the register's rows once, and no pair gathered
+    got = [tuple(r) for r in found.orderBy("place").collect()]
+    assert got == [(1, 1, 17, 9), (1, 2, 2, 6), (1, 3, 5, 6), (1, 4, 8, 6), (1, 5, 11, 6), (1, 6, 14, 6)]
