@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,21 +60,25 @@ def family_notes(docs: DataFrame, prefix: str) -> DataFrame:
     return per.join(title, ["doctype", "number"]).select("doctype", "number", "base", "parts", "annexes", text.alias("text"))
 
 
-def overviews(docs: DataFrame, sections: DataFrame, prefix: str, kinds: dict[str, str]) -> DataFrame:
+def overviews(docs: DataFrame, sections: DataFrame, prefix: str, kinds: dict[str, str], text: Callable[[Column], Column] | None = None) -> DataFrame:
     """doc_id, text: a passage for each document (place, doc_id, and the columns of identities) that says what it is.
 
     It has the title and name, the kind of its series (kinds: letter to name), the first three of its sections
-    (doc_id, pos, title, text) that open a document, and its family's members, if it has any.
+    (doc_id, pos, title, text) that open a document, and its family's members, if it has any. Of a text no more is moved than is
+    quoted; one that can be made of a section's title needs no column, but `text`, which makes it of the title where it is quoted.
     """
-    opening = sections.where(F.lower("title").rlike(f"^({'|'.join(OPENING)})"))
+    rest = [F.left("text", F.lit(QUOTE)).alias("text")] if text is None else []
+    opening = sections.where(F.lower("title").rlike(f"^({'|'.join(OPENING)})")).select("doc_id", "pos", "title", *rest)
     opening = opening.withColumn("_i", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).where(F.col("_i") <= QUOTED)
-    quoted = opening.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.concat("title", F.lit(": "), F.left("text", F.lit(QUOTE))).alias("t")))), lambda x: x["t"]).alias("quoted"))
+    quoted = opening.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_i", "title", *(["text"] if text is None else [])))).alias("quoted"))
     member = F.struct("first", F.concat("identity", F.lit(" — "), "title").alias("m"))
     family = identities(docs, prefix).groupBy("doctype", "number").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(member)), lambda x: F.concat(F.lit("- "), x["m"])).alias("members")).where("n >= 2")
-    j = docs.join(quoted, "doc_id", "left").join(family, ["doctype", "number"], "left")
+    # Families first: few, and joined with many documents each, they would have the quotations gathered by family.
+    j = docs.join(family, ["doctype", "number"], "left").join(quoted, "doc_id", "left")
+    said = lambda x: F.concat(x["title"], F.lit(": "), x["text"] if text is None else F.left(text(x["title"]), F.lit(QUOTE)))
     name = F.coalesce(F.nullif("identifier", F.lit("")), F.concat(F.lit(f"{prefix} "), "doctype", F.lit(" "), "number"))
     kind = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))[F.col("doctype")]
     first = F.array(F.concat("title", F.lit(" — "), name, F.lit(" ("), "language", F.lit(").")), F.concat(F.lit(f"An {prefix} "), kind, F.lit(".")))
     tail = F.array(F.concat(F.lit("Document family — "), "identifier", F.lit(" comprises:\n"), F.array_join("members", "\n")))
-    parts = F.array_compact(F.concat(first, F.coalesce("quoted", F.array().cast("array<string>")), tail))
+    parts = F.array_compact(F.concat(first, F.coalesce(F.transform("quoted", said), F.array().cast("array<string>")), tail))
     return j.select("doc_id", F.array_join(parts, "\n\n").alias("text"))

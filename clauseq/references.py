@@ -179,5 +179,5 @@ def document_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A passage on each edition, with its opening sections and its family."""
     title = F.get(F.array(*map(F.lit, ("Scope", "Tests", "Introduction of it", "Foreword", "Limits"))), F.col("l_linenumber") % 5)
     sections = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), title.alias("title")).distinct()
-    sections = sections.withColumn("text", F.repeat(F.concat("title", F.lit(" ")), F.lit(200)))
-    return families.overviews(editions(spark, sf_dir), sections, "STD", {"R": "Recommendation"}).withColumn("text", F.md5(F.col("text").cast("binary")))
+    text = lambda t: F.repeat(F.concat(t, F.lit(" ")), F.lit(200))
+    return families.overviews(editions(spark, sf_dir), sections, "STD", {"R": "Recommendation"}, text).withColumn("text", F.md5(F.col("text").cast("binary")))

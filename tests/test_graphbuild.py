@@ -1,5 +1,7 @@
 """Graphs of publications and sections, and families, on cases written out."""
 
+from pyspark.sql import functions as F
+
 from clauseq.functions.codecs import codec
 from clauseq.operators import families, graphbuild
 
@@ -66,3 +68,18 @@ def test_families_of_nulls_and_single_members(spark):
     sections = spark.createDataFrame([(6, 2, "Foreword", "b"), (6, 1, "SCOPE of it", "a" * 1000), (6, 3, "Tests", "c")], "doc_id int, pos int, title string, text string")
     text = {r["doc_id"]: r["text"] for r in families.overviews(docs, sections, "STD", {"D": "Document"}).collect()}
     assert text[6] == "Alone — STD D 1 (en).\n\nAn STD Document.\n\nSCOPE of it: " + "a" * 900 + "\n\nForeword: b"
+
+
+def test_overviews_move_no_more_of_a_text_than_they_quote(spark):
+    docs = spark.createDataFrame([(k, k, "D", "7", f"STD D 7-{k}", "2001", "en", "T", "clean") for k in (1, 2)], "place int, doc_id int, doctype string, number string, identifier string, edition string, language string, title string, corpus string")
+    bare = spark.createDataFrame([(1, k, f"Scope {k}") for k in range(5)], "doc_id int, pos int, title string")
+    whole = bare.withColumn("text", F.repeat("title", F.lit(500)))
+    given = families.overviews(docs, whole, "STD", {"D": "Document"})
+    made = families.overviews(docs, bare, "STD", {"D": "Document"}, lambda t: F.repeat(t, F.lit(500)))
+    want = {r["doc_id"]: r["text"] for r in given.collect()}
+    assert {r["doc_id"]: r["text"] for r in made.collect()} == want
+    assert "\n\n".join(f"Scope {k}: " + (f"Scope {k}" * 500)[:900] for k in range(3)) in want[1] and "Scope" not in want[2]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("repeat(") == 1 and plan.index("repeat(") < plan.index("Join ")  # made above all joins
+    plan = given._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("left(text") > plan.index("Window ") if "left(text" in plan else plan.index("900") > plan.index("Window ")
