@@ -11,10 +11,6 @@ NUMBER, UNIT, PLUS_MINUS, GAP = r"[0-9]+(?:[0-9 ,.]*[0-9])?", r"%|°?[A-Za-zµΩ
 BANDS, REACH, HALVINGS, COVERAGE = 3, 20.0, 12, 2.0
 
 
-def _group(text: Column, pattern: Column, group: int) -> Column:
-    return F.call_function("regexp_extract", text, pattern, F.lit(group))
-
-
 def leaf(symbol: Column) -> Column:
     """The last part of a dotted symbol, as questions write it."""
     return F.element_at(F.split(symbol, r"\."), -1)
@@ -22,10 +18,63 @@ def leaf(symbol: Column) -> Column:
 
 def number(raw: Column) -> Column:
     """A stated number: blanks and commas group digits, and so does a point before exactly three last digits; null if no number is left."""
-    plain = F.regexp_replace(F.regexp_replace(raw, "[ ,]", ""), r"\.(\d{3})$", "$1")
+    bare = F.translate(raw, " ,", "")
+    plain = F.when(F.contains(bare, F.lit(".")), F.regexp_replace(bare, r"\.(\d{3})$", "$1")).otherwise(bare)
     return F.when(plain.rlike(r"^\d+(\.\d+)?$"), plain.cast("double"))
 
 
+#: Symbols of a row, in their order, whose patterns stay compiled from row to row as long as they are the same; others are compiled for each row.
+_PLACES = 4
+
+
+def _what_follows(number: str, unit: str) -> str:
+    """What follows a symbol: a number, and then a tolerance at once, a unit and a tolerance, or a unit at most."""
+    return rf"{GAP}{number}(?:\s*(?:{PLUS_MINUS})\s*{number}\s*{unit}?|\s*{unit}\s*(?:{PLUS_MINUS})\s*{number}\s*{unit}?|\s*{unit}?)"
+
+
+def _said_at(symbol: Column) -> Column:
+    """The pattern of what a text says behind a symbol, from its end on; it looks ahead only, so each place is found where several overlap."""
+    return F.concat(F.lit(r"(?iu)(?=\b\Q"), leaf(symbol), F.lit(rf"\E\b({_what_follows(f'(?:{NUMBER})', f'(?:{UNIT})')}))"))
+
+
+def _stated(text: Column, symbols: Column) -> Column:
+    """[(symbol, value, unit, tolerance, stated, relative)] of symbols, [(symbol, pattern)] with the pattern of _said_at.
+
+    A text is searched once for each symbol, and what stands there taken apart by one pattern, which is the same for all.
+    """
+    field = lambda s, *names: [s[n].alias(n) for n in names]
+    t, none = F.coalesce(text, F.lit("")), F.lit("")
+    search = lambda s: F.struct(*field(s, "symbol"), F.regexp_extract_all(t, s["pattern"], F.lit(1)).alias("at"))
+    first = F.slice(F.array(*(search(F.get(symbols, F.lit(i))) for i in range(_PLACES))), F.lit(1), F.least(F.size(symbols), F.lit(_PLACES)))
+    found = F.concat(first, F.transform(F.slice(symbols, F.lit(_PLACES + 1), F.greatest(F.size(symbols) - _PLACES, F.lit(0))), search))
+    # The groups: the number; tolerance, its unit; or unit, tolerance, its unit; or unit.
+    apart = lambda p: F.split(F.regexp_replace(p, rf"(?iu)^{_what_follows(f'({NUMBER})', f'({UNIT})')}", "$1\n$2\n$3\n$4\n$5\n$6\n$7"), "\n")
+    split = F.transform(found, lambda s: F.struct(*field(s, "symbol"), F.transform(s["at"], apart).alias("at")))
+    # The first place with a tolerance at once counts, else the first with one behind a unit, else the first.
+    one = lambda s: F.coalesce(F.get(F.filter(s["at"], lambda p: p[1] != ""), F.lit(0)), F.get(F.filter(s["at"], lambda p: p[4] != ""), F.lit(0)), F.get(s["at"], F.lit(0)))
+    taken = F.transform(split, lambda s: F.struct(*field(s, "symbol"), one(s).alias("p")))
+
+    def named(s: Column) -> Column:
+        p = s["p"]
+        case = lambda a, b, c: F.when(p[1] != "", a).when(p[4] != "", b).otherwise(c)
+        some = lambda c: F.nullif(F.trim(c), none)
+        return F.struct(*field(s, "symbol"), number(p[0]).alias("value"), some(case(p[2], p[3], p[6])).alias("unit"), case(p[1], p[4], F.lit(None)).alias("raw"), some(case(p[2], p[5], F.lit(None))).alias("tol_unit"))
+
+    read = F.transform(taken, named)
+    read = F.transform(read, lambda s: F.struct(*field(s, "symbol", "value", "unit", "raw", "tol_unit"), number(s["raw"]).alias("tol")))
+
+    def entry(s: Column) -> Column:
+        bound, percent = s["value"].isNotNull(), F.coalesce(s["tol_unit"] == "%", F.lit(False))
+        told = bound & s["tol"].isNotNull()
+        stated = F.concat(F.lit("± "), s["raw"], F.coalesce(F.concat(F.lit(" "), s["tol_unit"]), none))
+        return F.struct(
+            *field(s, "symbol", "value"), F.when(bound, s["unit"]).alias("unit"), F.when(bound, F.when(percent, F.abs(s["value"]) * s["tol"] / 100).otherwise(s["tol"])).alias("tolerance"),
+            F.when(told, stated).alias("stated"), F.when(told, percent).alias("relative"),
+        )
+
+    return F.transform(read, entry)
+
+
 def stated_values(asked: DataFrame) -> DataFrame:
     """asked (any columns, text, symbol) with value, unit, tolerance, stated and relative.
 
@@ -33,26 +82,9 @@ def stated_values(asked: DataFrame) -> DataFrame:
     follows the number (then its unit is the value's too) or the value's unit; in
     percent it is a share of the value, else absolute. Nulls where nothing is stated.
     """
-    name = F.concat(F.lit(r"(?iu)\b\Q"), leaf(F.col("symbol")), F.lit(r"\E\b"))
-    first = F.concat(name, F.lit(rf"{GAP}({NUMBER})\s*(?:{PLUS_MINUS})\s*({NUMBER})\s*({UNIT})?"))
-    after = F.concat(name, F.lit(rf"{GAP}({NUMBER})\s*({UNIT})\s*(?:{PLUS_MINUS})\s*({NUMBER})\s*({UNIT})?"))
-    plain = F.concat(name, F.lit(rf"{GAP}({NUMBER})\s*({UNIT})?"))
-    t = F.coalesce("text", F.lit(""))
-    said = asked.withColumns({"_a": _group(t, first, 1), "_b": _group(t, after, 1), "_c": _group(t, plain, 1)})
-    case = lambda a, b, c: F.when(F.col("_a") != "", a).when(F.col("_b") != "", b).when(F.col("_c") != "", c)
-    none = F.lit(None).cast("string")
-    own_unit = F.nullif(F.trim(case(_group(t, first, 3), _group(t, after, 2), _group(t, plain, 2))), F.lit(""))
-    tol_unit = F.nullif(F.trim(case(_group(t, first, 3), _group(t, after, 4), none)), F.lit(""))
-    raw = case(_group(t, first, 2), _group(t, after, 3), none)
-    said = said.withColumns({"value": number(case(F.col("_a"), F.col("_b"), F.col("_c"))), "_tol": number(raw), "_raw": raw, "_unit": own_unit, "_tolunit": tol_unit})
-    bound = F.col("value").isNotNull()
-    relative = F.col("_tolunit") == "%"
-    tol = F.when(F.coalesce(relative, F.lit(False)), F.abs("value") * F.col("_tol") / 100).otherwise(F.col("_tol"))
-    stated = F.concat(F.lit("± "), "_raw", F.coalesce(F.concat(F.lit(" "), "_tolunit"), F.lit("")))
-    return said.withColumns({
-        "unit": F.when(bound, F.col("_unit")), "tolerance": F.when(bound, tol), "stated": F.when(bound & F.col("_tol").isNotNull(), stated),
-        "relative": F.when(bound & F.col("_tol").isNotNull(), F.coalesce(relative, F.lit(False))),
-    }).drop("_a", "_b", "_c", "_tol", "_raw", "_unit", "_tolunit")
+    one = F.array(F.struct(F.col("symbol").alias("symbol"), _said_at(F.col("symbol")).alias("pattern")))
+    said = asked.withColumn("_said", F.get(_stated(F.col("text"), one), F.lit(0)))
+    return said.withColumns({c: F.col("_said")[c] for c in ("value", "unit", "tolerance", "stated", "relative")}).drop("_said")
 
 
 def _margin(values: Column) -> Column:
@@ -75,38 +107,38 @@ def judge_checks(pairs: DataFrame, checks: DataFrame, units: DataFrame) -> DataF
 
     A node whose symbols are not all stated has no results, only `missing`. A check
     whose symbols' units have different known dimensions is void. Of its symbols with a tolerance the first
-    three make corners, 2^k rows of values; where one decides otherwise than the
+    three make corners, 2^k tuples of values; where one decides otherwise than the
     stated values, the check is void by the first of them. Where all agree, its
     tolerance is scaled up to 20 times until the result flips, by halving: the margin
     over twice the tolerance is the safety, not bounded if it never flips.
     """
-    used = checks.select("node_id", F.explode(F.array_distinct(F.flatten("terms.symbols"))).alias("symbol")).distinct()
-    read = stated_values(pairs.join(used, "node_id")).select("query_id", "node_id", "symbol", "value", "unit", "tolerance", "stated")
-    known = units.groupBy(F.lower("unit").alias("_u")).agg(F.min("dimension").alias("dimension"))
-    read = read.join(known, F.lower("unit") == F.col("_u"), "left")
-    # A node's symbols are as many as its checks name.
-    entry = F.struct("symbol", "value", "tolerance", "stated", "dimension")
-    per = read.groupBy("query_id", "node_id").agg(F.sort_array(F.collect_list(entry)).alias("all"))
-    bound = F.filter("all", lambda e: e["value"].isNotNull())
-    per = per.select(
-        "query_id", "node_id", F.map_from_entries(F.transform(bound, lambda e: F.struct(e["symbol"], e["value"]))).alias("values"),
-        F.map_from_entries(F.transform(bound, lambda e: F.struct(e["symbol"], F.struct(e["tolerance"].alias("tolerance"), e["stated"].alias("stated"), e["dimension"].alias("dimension"))))).alias("more"),
-        F.transform(F.filter("all", lambda e: e["value"].isNull()), lambda e: e["symbol"]).alias("missing"),
-    )
-    j = per.join(checks, "node_id").withColumn("_names", F.array_distinct(F.flatten("terms.symbols")))
+    # A node's checks, and the symbols that they name, stand in one row, so that a question's values are read where it is and nothing of it is shuffled.
+    per = checks.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("check_no", "terms", "op", "limit"))).alias("_checks"))
+    names = F.sort_array(F.array_distinct(F.flatten(F.flatten(F.transform("_checks", lambda c: c["terms"]["symbols"])))))
+    per = per.withColumn("_symbols", F.transform(names, lambda s: F.struct(s.alias("symbol"), _said_at(s).alias("pattern")))).where(F.size("_symbols") > 0)
+    # The known units are one row.
+    known = units.where("unit IS NOT NULL").groupBy(F.lower("unit").alias("u")).agg(F.min("dimension").alias("d")).agg(F.map_from_entries(F.collect_list(F.struct("u", "d"))).alias("_units"))
+    read = pairs.join(per, "node_id").withColumn("_all", _stated(F.col("text"), F.col("_symbols"))).select("query_id", "node_id", "_all", "_checks").join(F.broadcast(known))
+    bound = F.filter("_all", lambda e: e["value"].isNotNull())
+    more = lambda e: F.named_struct(F.lit("tolerance"), e["tolerance"], F.lit("stated"), e["stated"], F.lit("dimension"), F.col("_units")[F.lower(e["unit"])])
+    j = read.select(
+        "query_id", "node_id", F.map_from_entries(F.transform(bound, lambda e: F.struct(e["symbol"], e["value"]))).alias("values"), F.map_from_entries(F.transform(bound, lambda e: F.struct(e["symbol"], more(e)))).alias("more"),
+        F.transform(F.filter("_all", lambda e: e["value"].isNull()), lambda e: e["symbol"]).alias("missing"), F.explode("_checks").alias("_check"),
+    ).select("query_id", "node_id", "values", "more", "missing", "_check.*").withColumn("_names", F.array_distinct(F.flatten("terms.symbols")))
     own = F.array_compact(F.transform("_names", lambda s: F.col("more")[s]["dimension"]))
     whole, mixed = F.size("missing") == 0, F.size(F.array_distinct(own)) > 1
     j = j.withColumn("result", F.when(whole & ~mixed, _holds(_margin(F.col("values")))))
     bands = F.slice(F.filter("_names", lambda s: F.col("more")[s]["tolerance"].isNotNull()), 1, BANDS)
     j = j.withColumns({"_bands": F.when(F.col("result").isNotNull(), bands).otherwise(F.array().cast("array<string>")), "_mixed": whole & mixed})
-    # The corners of a check are rows; eight at most.
     key = ["query_id", "node_id", "check_no"]
-    rows = j.where(F.size("_bands") > 0).select(*key, "values", "more", "terms", "op", "limit", "_bands", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), 3) - 1)).alias("mask"))
-    rows = rows.where(F.col("mask") < F.expr("shiftleft(1, size(_bands))"))
-    side = lambda s: F.when(F.expr("shiftright(mask, 0)").isNotNull() & (F.pmod(F.floor(F.col("mask") / F.pow(F.lit(2), F.array_position("_bands", s) - 1)), F.lit(2)) == 1), 1.0).otherwise(-1.0)
-    moved = F.transform_values("values", lambda s, v: F.when(F.array_contains("_bands", s), v + side(s) * F.col("more")[s]["tolerance"]).otherwise(v))
-    corners = rows.withColumn("_moved", moved).withColumn("holds", _holds(_margin(F.col("_moved")))).groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("mask", "holds"))), lambda c: c["holds"]).alias("corners"))
-    j = j.join(corners, key, "left")
+
+    def corner(mask: Column) -> Column:
+        side = lambda s: F.when(F.getbit(mask, F.array_position("_bands", s).cast("int") - 1) == 1, 1.0).otherwise(-1.0)
+        moved = F.transform_values("values", lambda s, v: F.when(F.array_contains("_bands", s), v + side(s) * F.col("more")[s]["tolerance"]).otherwise(v))
+        return _holds(_margin(moved))
+
+    # Eight at most.
+    j = j.withColumn("corners", F.when(F.size("_bands") > 0, F.transform(F.sequence(F.lit(0), F.expr("shiftleft(1, size(_bands)) - 1")), corner)))
     first = F.get("_bands", F.lit(0))
     j = j.withColumns({"symbol": first, "_tol": F.col("more")[first]["tolerance"], "stated": F.col("more")[first]["stated"]})
     crossed = F.exists("corners", lambda c: c != F.col("result"))

@@ -114,3 +114,25 @@ def test_a_flip_at_the_reach_itself_is_in_the_sql(spark, tmp_path):
     want = sorted((q, c, b, round(s, 6)) for q, c, b, s in db.execute(catalogue.SQL["check_safety"]).fetchall())
     got = sorted(tuple(r) for r in lookups.check_safety(spark, str(tmp_path)).collect())
     assert {r[0] for r in got if r[3] == 10.0} and [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
+def test_a_question_is_read_once_and_not_moved(spark, tmp_path):
+    """Values, corners and results are made in the question's own row."""
+    spark.createDataFrame([(1, "a is 4 ± 1 kg; b is 3 kg", 1), (2, "a 4; b 9 ± 2 m", 1)], "query_id int, text string, node_id int").write.parquet(f"{tmp_path}/pairs")
+    rules = spark.createDataFrame([(1, 1, [{"factor": 1.0, "symbols": ["a"]}, {"factor": -2.0, "symbols": ["b"]}], "<=", 2.0)], "node_id int, check_no int, terms array<struct<factor: double, symbols: array<string>>>, op string, limit double")
+    units = spark.createDataFrame([("KG", "mass"), ("m", "length")], "unit string, dimension string")
+    judged = checks.judge_checks(spark.read.parquet(f"{tmp_path}/pairs"), rules, units)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "hashpartitioning(query_id" not in plan
+    got = {r["query_id"]: (r["values"], r["result"], r["corners"]) for r in judged.collect()}
+    assert got == {1: ({"a": 4.0, "b": 3.0}, True, [True, True]), 2: ({"a": 4.0, "b": 9.0}, True, [True, True])}
+
+
+def test_stated_values_at_places_that_overlap(spark):
+    cases = [
+        ("a a a 5 ± 1 kg", "a a", (5.0, "kg", 1.0)), ("x2 x2 7 kg", "x2", (27.0, "kg", None)), ("d 5 d 7 ± 2 kg", "d", (7.0, "kg", 2.0)), ("d 5 kg, d 7 m ± 2", "d", (7.0, "m", 2.0)), ("d 5 °pm 3", "d", (5.0, "°", 3.0)),
+        ("d and then a long way off d 1 000,5 pm 0.250 µm", "d", (10005.0, "µm", 250.0)), ("d 5 kilogramme ± 3", "d", (5.0, "kilogr", None)), ("d 5pm 3", "d", (5.0, "pm", None)),
+    ]
+    rows = spark.createDataFrame([(i, t, s) for i, (t, s, _) in enumerate(cases)], "i int, text string, symbol string")
+    got = {r["i"]: (r["value"], r["unit"], r["tolerance"]) for r in checks.stated_values(rows).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
