@@ -43,9 +43,9 @@ def scan_cited(text: Column, grammars: tuple[str, ...] = CITED) -> Column:
     """[(node, label)] of what a text cites, grammar by grammar, each from left to right; of the spellings of one node the first stays."""
     t = F.coalesce(text, F.lit(""))
     found = F.concat(*(F.regexp_extract_all(t, F.lit(g), F.lit(0)) for g in grammars))
-    node = lambda x: F.concat(F.lit("cite:"), F.regexp_replace(F.regexp_replace(x, "[^A-Za-z0-9]+", "-"), "^-|-$", ""))
+    node = lambda x: F.concat(F.lit("cite:"), F.btrim(F.regexp_replace(x, "[^A-Za-z0-9]+", "-"), F.lit("-")))
     label = lambda x: F.regexp_replace(x, r"\s+", " ")
-    pairs = F.transform(found, lambda x: F.struct(node(label(x)).alias("node"), label(x).alias("label")))
+    pairs = F.transform(found, lambda x: F.struct(node(x).alias("node"), label(x).alias("label")))
     first = lambda ps, n: F.get(F.filter(ps, lambda p: p["node"] == n), F.lit(0))
     return bound(pairs, lambda ps: F.transform(F.array_distinct(F.transform(ps, lambda p: p["node"])), lambda n: first(ps, n)))
 
@@ -81,7 +81,7 @@ class Codec:
         """The document's node in the graph, null for what is not of the grammar."""
         s = F.replace(F.regexp_replace(F.trim(raw), r"\s*\([EFSG]\)$", ""), F.lit("+Amendment"), F.lit("-Amd"))
         of = s.rlike(rf"^({self.prefix}\s+)?[{SERIES}]\s*\d{{1,3}}")
-        return F.when(of, F.concat(F.lit("doc:"), F.regexp_replace(F.regexp_replace(s, "[^A-Za-z0-9]+", "-"), "^-|-$", "")))
+        return F.when(of, F.concat(F.lit("doc:"), F.btrim(F.regexp_replace(s, "[^A-Za-z0-9]+", "-"), F.lit("-"))))
 
     def family_node(self, raw: Column) -> Column:
         start = rf"^(?:{self.prefix}\s+)?([{SERIES}])\s*(\d{{1,3}})"

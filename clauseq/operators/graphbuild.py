@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauseq.functions.codecs import Codec
+from clauseq.plans.folders import kept
 
 #: Kinds of edges by the relation that a record names; others are no edge.
 RELATIONS = {
@@ -95,11 +96,13 @@ def citation_edges(passages: DataFrame, docs: DataFrame, codec: Codec) -> DataFr
     best = of.groupBy("family", "part").agg(F.max(F.struct("active", "own", (-F.col("place")).alias("p"), "node")).alias("x")).select("family", "part", F.col("x.node").alias("best"))
     same = lambda a, b: (F.col(f"{a}.family") == F.col(f"{b}.family")) & F.col(f"{a}.part").eqNullSafe(F.col(f"{b}.part"))
     j = rows.alias("r").join(best.alias("b"), same("r", "b")).join(own.alias("o"), same("r", "o") & (F.col("r.edition") == F.col("o.edition")) & (F.col("r.edition") != ""), "left")
-    each = j.select("r.family", "r.part", F.coalesce("o.exact", "b.best").alias("src"), F.explode("cited").alias("c")).select("family", "part", "src", F.col("c.node").alias("dst"), F.col("c.label").alias("label"))
+    # A plain explode would have the citations made again for a filter on their number.
+    each = j.select("r.family", "r.part", F.coalesce("o.exact", "b.best").alias("src"), F.explode_outer("cited").alias("c")).where("c IS NOT NULL").select("family", "part", "src", F.col("c.node").alias("dst"), F.col("c.label").alias("label"))
     label_part, _ = _parts(F.col("label"), codec)
     itself = (F.substring(codec.family_node(F.col("label")), 8, 100) == F.col("family")) & label_part.eqNullSafe(F.col("part"))
-    kept = each.where(~F.coalesce(itself, F.lit(False)))
-    return kept.groupBy("src", "dst").agg(F.min(F.substring("label", 1, LABEL)).alias("label"))
+    # Each spelling is looked at once for all passages that have it.
+    others = each.distinct().where(~F.coalesce(itself, F.lit(False)))
+    return others.groupBy("src", "dst").agg(F.min(F.substring("label", 1, LABEL)).alias("label"))
 
 
 def concept_edges(concepts: DataFrame, codec: Codec) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +115,8 @@ def concept_edges(concepts: DataFrame, codec: Codec) -> tuple[DataFrame, DataFra
 
 def build(records: DataFrame, passages: DataFrame, concepts: DataFrame, codec: Codec) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, nodes, edges). nodes: id, kind, label; of a publication's records the last gives the label. edges: src, dst, kind, only where both ends are nodes."""
-    found = publications(records, codec)
+    # Read for the documents, their relations and labels; the records are parsed once for all.
+    found = kept(publications(records, codec))
     related = record_edges(found, codec)
     docs = registry(found, related)
     cites = citation_edges(passages, docs, codec)
@@ -123,9 +127,13 @@ def build(records: DataFrame, passages: DataFrame, concepts: DataFrame, codec: C
         .unionByName(cites.groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label")).select("id", F.lit("cite").alias("kind"), "label"))
         .unionByName(concept_nodes)
     )
-    edges = related.unionByName(cites.select("src", "dst", F.lit("cites").alias("kind"))).unionByName(defines)
-    known = nodes.select("id")
-    edges = edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "kind")
+    # Families, what is cited and concepts are nodes by themselves, and so is what cites; only the documents that records and concepts name may be none.
+    known = found.select("node").distinct()
+    named = related.where(~F.col("dst").startswith("family:")).join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    edges = (
+        related.where(F.col("dst").startswith("family:")).unionByName(named.select("src", "dst", "kind")).unionByName(cites.select("src", "dst", F.lit("cites").alias("kind")))
+        .unionByName(defines.join(known.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst", "kind"))
+    )
     return docs, nodes, edges
 
 

@@ -83,3 +83,15 @@ def test_overviews_move_no_more_of_a_text_than_they_quote(spark):
     assert plan.count("repeat(") == 1 and plan.index("repeat(") < plan.index("Join ")  # made above all joins
     plan = given._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("left(text") > plan.index("Window ") if "left(text" in plan else plan.index("900") > plan.index("Window ")
+
+
+def test_texts_are_scanned_for_citations_once(spark, tmp_path):
+    rows = [record(1, "STD R 60-1:2000", relations=[("updates", ["STD R 60-1:2017", "STD R 99:1900"])]), record(2, "STD R 60-1:2017")]
+    passages = [("STD R 60-1", "2017", "Bibliography", "STD R 60-1:1999, ISO 9001, -ISO--9001, STD R 60-1"), ("STD R 60-1", "2000", "Bibliography", "nothing"), ("STD R 60-1", "2000", "Bibliography", None)]
+    spark.createDataFrame(passages, "identifier string, edition string, title string, text string").write.parquet(f"{tmp_path}/passages")
+    concepts = spark.createDataFrame([("7", "load", ["STD R 60-1:2000"]), ("8", "x", ["STD R 98:1900"])], "concept_id string, term string, sources array<string>")
+    edges = graphbuild.build(spark.createDataFrame(rows, RECORDS), spark.read.parquet(f"{tmp_path}/passages"), concepts, STD)[2]
+    new, old = "doc:STD-R-60-1-2017", "doc:STD-R-60-1-2000"
+    assert sorted(tuple(r) for r in edges.collect()) == sorted([(old, "family:R-60", "part_of"), (new, "family:R-60", "part_of"), (old, new, "amends"), (new, "cite:ISO-9001", "cites"), (old, "concept:7", "defines")])
+    plan = edges._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("text:string>") == 1
