@@ -9,7 +9,7 @@ from clauseq.catalogue import asked, query, read
 from clauseq.fulltext import _ranked_sql
 from clauseq.operators import lanes, stages, vectors
 from clauseq.operators.textindex import TextIndex
-from clauseq.plans.folders import kept, new_folder
+from clauseq.plans.folders import new_folder
 
 _SCOPES = """CASE query_id // 50 % 7 WHEN 1 THEN CAST(own AS VARCHAR) WHEN 2 THEN '99' WHEN 3 THEN CAST(own AS VARCHAR) WHEN 4 THEN '7' WHEN 5 THEN own || '-1' WHEN 6 THEN CAST((own + 1) % 5 AS VARCHAR) END"""
 _PINS = "CASE query_id // 50 % 7 WHEN 3 THEN '1800' WHEN 5 THEN '1991' WHEN 6 THEN '1992' END"
@@ -88,8 +88,7 @@ def linked_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.col("query_id")
     sets = passages.select("query_id", F.explode(F.array(F.concat(F.lit("src"), item % 7), F.concat(F.lit("src"), item % 11 + 3))).alias("number"))
     flat = lambda h: h.select("query_id", F.col("doc_id").alias("id"), "score", F.col("rank").alias("pos"))
-    near = kept(index.search(passages, 10))
-    within = kept(index.search_sets(passages, docs.select("doc_id", F.col("source").alias("number")), sets))
+    near, within = index.search_both(passages, docs.select("doc_id", F.col("source").alias("number")), sets, 10)
     index.drop()
     got = stages.run_stages(flat(near), {"graph-lane": {"lane": flat(within)}})
     return got.withColumn("score", F.round("score", 6))

@@ -129,3 +129,20 @@ def test_sql_stems_as_the_stemmer_does():
     db.executemany("INSERT INTO every VALUES (?)", [[w] for w in made])
     got = dict(db.execute(f"WITH {_stems_sql('every')} SELECT word, stem FROM stem").fetchall())
     assert {w: s for w, s in got.items() if s != porter(w)} == {}
+
+
+def test_search_and_search_in_sets_from_one_scoring(spark, tmp_path, monkeypatch):
+    docs = corpus(11, 300)
+    index = TextIndex(spark, f"{tmp_path}/both", slots=3)
+    index.upsert(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    asked = spark.createDataFrame(list(enumerate(ASKED)), "query_id long, text string")
+    numbers = spark.createDataFrame([(d, f"n{d % 5}") for d in docs if d % 9], "doc_id long, number string")
+    sets = spark.createDataFrame([(q, f"n{q % 3}") for q in range(6)] + [(0, "n4"), (0, "n4"), (1, "none")], "query_id long, number string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for k, of_sets in ((4, 12), (12, 3)):
+        scored, calls = TextIndex.scored, []
+        monkeypatch.setattr(TextIndex, "scored", lambda self, a: calls.append(1) or scored(self, a))
+        near, within = index.search_both(asked, numbers, sets, k, of_sets)
+        assert len(calls) == 1
+        monkeypatch.undo()
+        assert rows(near) == rows(index.search(asked, k)) and rows(within) == rows(index.search_sets(asked, numbers, sets, of_sets)) and within.count() > of_sets
