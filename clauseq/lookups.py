@@ -116,7 +116,7 @@ SELECT query_id, check_no, step IS NOT NULL AS bounded, round(coalesce(1 + 19 *
 def check_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many times its stated tolerance a value may move before a check flips, over twice the tolerance."""
     rules, _, units = check_tables(spark, sf_dir)
-    got = checks.judge_checks(statements(spark, sf_dir), rules, units).where("safety IS NOT NULL")
+    got = checks.judge_checks(statements(spark, sf_dir), rules, units).where("bounded IS NOT NULL")
     return got.select("query_id", "check_no", "bounded", F.round("safety", 6).alias("safety"))
 
 

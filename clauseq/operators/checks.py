@@ -110,7 +110,8 @@ def judge_checks(pairs: DataFrame, checks: DataFrame, units: DataFrame) -> DataF
     three make corners, 2^k tuples of values; where one decides otherwise than the
     stated values, the check is void by the first of them. Where all agree, its
     tolerance is scaled up to 20 times until the result flips, by halving: the margin
-    over twice the tolerance is the safety, not bounded if it never flips.
+    over twice the tolerance is the safety, not bounded if it never flips. `bounded` is null
+    where safety is, and cheaper to filter by, as a filter makes what it reads on its own.
     """
     # A node's checks, and the symbols that they name, stand in one row, so that a question's values are read where it is and nothing of it is shuffled.
     per = checks.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("check_no", "terms", "op", "limit"))).alias("_checks"))
@@ -143,7 +144,8 @@ def judge_checks(pairs: DataFrame, checks: DataFrame, units: DataFrame) -> DataF
     j = j.withColumns({"symbol": first, "_tol": F.col("more")[first]["tolerance"], "stated": F.col("more")[first]["stated"]})
     crossed = F.exists("corners", lambda c: c != F.col("result"))
     reason = F.when(F.col("_mixed"), "mixed dimensions").when(F.coalesce(crossed, F.lit(False)), F.concat(F.lit("tolerance of "), leaf(F.col("symbol"))))
-    j = j.withColumn("void_reason", reason)
+    # A generated column, which no filter of what follows passes; moved before the columns that it reads, it would make them again for each value and halving.
+    j = j.select("*", F.inline(F.array(F.struct(reason.alias("void_reason")))))
 
     def flips(scale: Column) -> Column:
         at = lambda way: F.transform_values("values", lambda s, v: F.when(s == F.col("symbol"), v + way * scale * F.col("_tol")).otherwise(v))

@@ -136,3 +136,15 @@ def test_stated_values_at_places_that_overlap(spark):
     rows = spark.createDataFrame([(i, t, s) for i, (t, s, _) in enumerate(cases)], "i int, text string, symbol string")
     got = {r["i"]: (r["value"], r["unit"], r["tolerance"]) for r in checks.stated_values(rows).collect()}
     assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
+
+
+def test_a_filter_for_safety_does_not_make_the_corners_again(spark):
+    """The filter stays behind what it reads; moved before it, it would make a check's values and corners again for each halving."""
+    pairs = spark.createDataFrame([(1, "a is 4 ± 1 kg; b is 3 kg", 1), (2, "a 4; b 9 ± 2 m", 1), (3, "a 4; b 9 m", 1)], "query_id int, text string, node_id int")
+    rules = spark.createDataFrame([(1, 1, [{"factor": 1.0, "symbols": ["a"]}, {"factor": -2.0, "symbols": ["b"]}], "<=", 2.0)], "node_id int, check_no int, terms array<struct<factor: double, symbols: array<string>>>, op string, limit double")
+    judged = checks.judge_checks(pairs, rules, spark.createDataFrame([("kg", "mass")], "unit string, dimension string"))
+    for column in ("safety", "bounded"):
+        safe = judged.where(f"{column} IS NOT NULL")
+        filters = [line for line in safe._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter " in line]
+        assert any("transform_values" in f for f in filters) and not any("getbit" in f or "map_from_entries" in f for f in filters)
+        assert sorted(r["query_id"] for r in safe.collect()) == [1, 2]
