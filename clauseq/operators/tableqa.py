@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ SILENT = ("min", "max", "gt", "of")
 NUMBER = r"-?\d+(?:[,\s]?\d{3})*(?:[.,]\d+)?"
 #: Points of a table for a part of its name, a word of its title, the question's unit, its class.
 NAME, TITLE, UNIT, CLASS = 2, 1, 3, 2
+#: Tables, columns or classes that are sent to every task at most.
+SENT = 20_000
 
 
 def cell_number(raw: Column) -> Column:
@@ -33,6 +37,11 @@ def unsent(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
+def sent_if_few(*counted: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How sides that grow with the counted tables only are joined: sent to every task if these have SENT rows at most, so that never the other side is."""
+    return F.broadcast if all(c.limit(SENT + 1).count() <= SENT for c in counted) else unsent
+
+
 def questions(asked: DataFrame) -> DataFrame:
     """asked (query_id, text) with low, operation, class (the word behind "class") and units, those that follow a number."""
     text = F.coalesce("text", F.lit(""))
@@ -58,17 +67,19 @@ def class_columns(columns: DataFrame) -> DataFrame:
     return of.groupBy("table_id").agg(F.min(F.struct("col", "name")).alias("x")).select("table_id", F.col("x.col").alias("class_col"), F.col("x.name").alias("class_name"))
 
 
-def pick_tables(q: DataFrame, candidates: DataFrame, tables: DataFrame, columns: DataFrame, cells: DataFrame) -> DataFrame:
+def pick_tables(q: DataFrame, candidates: DataFrame, tables: DataFrame, columns: DataFrame, cells: DataFrame, filled: DataFrame) -> DataFrame:
     """q with the table_id of each question's best candidate; questions whose candidates have no points are refused, but for a single candidate.
 
-    candidates: query_id, table_id, place (of equal points the first place wins).
+    candidates: query_id, table_id, place (of equal points the first place wins). filled: table_id of tables with cells.
     """
+    sent = sent_if_few(tables, columns)
     pair_units = intervals_of(columns).where("unit <> ''").groupBy("table_id").agg(F.collect_set("unit").alias("pair_units"))
     as_names = columns.where(F.col("name").rlike(r"^class_[a-z0-9.]+$")).groupBy("table_id").agg(F.collect_set(F.substring("name", 7, 200)).alias("class_names"))
-    filled = cells.select("table_id").distinct().withColumn("filled", F.lit(True))
+    filled = filled.select("table_id", F.lit(True).alias("filled"))
     cc = class_columns(columns).withColumnRenamed("class_col", "col")
-    values = cells.join(cc, ["table_id", "col"]).select("table_id", F.lower(F.trim(F.coalesce("raw", F.lit("")))).alias("class")).distinct().withColumn("has_class", F.lit(True))
-    j = candidates.join(unsent(q), "query_id").join(tables, "table_id").join(filled, "table_id", "left").join(pair_units, "table_id", "left").join(as_names, "table_id", "left").join(values, ["table_id", "class"], "left")
+    values = kept(cells.join(sent(cc), ["table_id", "col"]).select("table_id", F.lower(F.trim(F.coalesce("raw", F.lit("")))).alias("class")).distinct())
+    known = sent_if_few(values)(values.withColumn("has_class", F.lit(True)))
+    j = candidates.join(unsent(q), "query_id").join(sent(tables), "table_id").join(sent(filled), "table_id", "left").join(sent(pair_units), "table_id", "left").join(sent(as_names), "table_id", "left").join(known, ["table_id", "class"], "left")
     low = F.col("low")
     names = F.filter(_parts(F.replace("table_id", F.lit("/table/"), F.lit(""))), lambda t: (F.char_length(t) >= 3) & F.contains(low, t))
     words = F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), r"[^a-z0-9.]+"), lambda w: (F.char_length(w) >= 4) & F.contains(low, w))
@@ -77,8 +88,8 @@ def pick_tables(q: DataFrame, candidates: DataFrame, tables: DataFrame, columns:
     points = NAME * F.size(names) + TITLE * F.size(words) + UNIT * unit.cast("int") + CLASS * (F.col("class").isNotNull() & classed).cast("int")
     j = j.withColumn("points", F.when(F.col("filled"), points).otherwise(-1))
     best = j.groupBy("query_id").agg(F.max(F.struct("points", (-F.col("place")).alias("p"), "table_id")).alias("x"), F.count(F.lit(1)).alias("n"))
-    kept = best.where((F.col("x.points") > 0) | (F.col("n") == 1)).select("query_id", F.col("x.table_id").alias("table_id"))
-    return q.join(unsent(kept), "query_id")
+    picked = best.where((F.col("x.points") > 0) | (F.col("n") == 1)).select("query_id", F.col("x.table_id").alias("table_id"))
+    return q.join(unsent(picked), "query_id")
 
 
 def answer(asked: DataFrame, candidates: DataFrame, tables: DataFrame, columns: DataFrame, cells: DataFrame) -> DataFrame:
@@ -94,20 +105,22 @@ def answer(asked: DataFrame, candidates: DataFrame, tables: DataFrame, columns:
     range join over the rows of all tables; of several intervals the first with such a
     row. Its value is the class's column, or the one numeric column that is left.
     """
-    # Used by each operation: chosen once.
-    q = kept(pick_tables(questions(asked), candidates, tables, columns, cells))
+    # What several steps read is made once, so that no plan holds it again for each.
+    tables, columns = kept(tables), kept(columns)
+    sent = sent_if_few(tables, columns)
+    rows = kept(cells.join(sent(tables.select("table_id")), "table_id", "left_semi").groupBy("table_id").agg(F.count_distinct("row").alias("rows")))
+    q = kept(pick_tables(questions(asked), candidates, tables, columns, cells, rows))
     low = F.col("low")
     cc = class_columns(columns)
-    rows = cells.groupBy("table_id").agg(F.count_distinct("row").alias("rows"))
-    classes = cells.join(cc.withColumnRenamed("class_col", "col"), ["table_id", "col"]).groupBy("table_id", "class_name").agg(F.count_distinct(F.lower(F.trim(F.coalesce("raw", F.lit(""))))).alias("classes"))
-    counted = q.where("operation = 'count'").join(rows, "table_id").join(classes, "table_id", "left")
+    classes = cells.join(sent(cc.withColumnRenamed("class_col", "col")), ["table_id", "col"]).groupBy("table_id", "class_name").agg(F.count_distinct(F.lower(F.trim(F.coalesce("raw", F.lit(""))))).alias("classes"))
+    counted = q.where("operation = 'count'").join(sent(rows), "table_id").join(sent(classes), "table_id", "left")
     by_class = low.rlike(r"\bclasses?\b") & F.coalesce(F.exists(_parts(F.col("class_name")), lambda t: (F.char_length(t) >= 3) & F.contains(low, t)), F.lit(False))
     none = F.lit(None).cast("string")
     count = counted.select("query_id", "operation", "table_id", F.when(by_class, F.col("class_name")).alias("column"), F.when(by_class, F.col("classes")).otherwise(F.col("rows")).cast("string").alias("value"), none.alias("unit"), F.lit(None).cast("int").alias("row"))
 
     # The column of the asked class: its own name first, then the first that begins with it.
     shaped = columns.where(F.col("name").rlike(r"^class_[a-z0-9.]+$")).select("table_id", "col", "name", "unit", F.substring("name", 7, 200).alias("id"))
-    met = q.where("class IS NOT NULL").join(shaped, "table_id").where(F.col("id").startswith(F.col("class")))
+    met = q.where("class IS NOT NULL").join(sent(shaped), "table_id").where(F.col("id").startswith(F.col("class")))
     of_class = met.groupBy("query_id").agg(F.min(F.struct((F.col("id") != F.col("class")).alias("o"), "col", "name", F.col("unit").alias("u"))).alias("x"))
     of_class = of_class.select("query_id", F.col("x.col").alias("class_as_col"), F.col("x.name").alias("class_as_name"), F.col("x.u").alias("class_as_unit"))
     numeric = columns.where(F.col("type").isin("number", "integer") | F.col("name").rlike(r"^class_[a-z0-9.]+$"))
@@ -117,32 +130,32 @@ def answer(asked: DataFrame, candidates: DataFrame, tables: DataFrame, columns:
     hint = F.lit(False)
     for unit, words in UNIT_WORDS.items():
         hint = hint | ((F.col("unit") == unit) & low.rlike(rf"\b({'|'.join(words)})\b"))
-    scored = ends.where("class_as_col IS NULL").join(numeric, "table_id").withColumn("fit", fit + F.coalesce(hint, F.lit(False)).cast("int")).where("fit > 0")
+    scored = ends.where("class_as_col IS NULL").join(sent(numeric), "table_id").withColumn("fit", fit + F.coalesce(hint, F.lit(False)).cast("int")).where("fit > 0")
     chosen = scored.groupBy("query_id", "operation", "table_id").agg(F.max(F.struct("fit", (-F.col("col")).alias("p"), "col", "name", "unit")).alias("x")).select("query_id", "operation", "table_id", "x.col", "x.name", "x.unit")
     chosen = chosen.unionByName(ends.where("class_as_col IS NOT NULL").select("query_id", "operation", "table_id", F.col("class_as_col").alias("col"), F.col("class_as_name").alias("name"), F.col("class_as_unit").alias("unit")))
     # Extremes of a column once, for all questions that ask for it.
-    known = cells.join(chosen.select("table_id", "col").distinct(), ["table_id", "col"]).withColumn("v", cell_number(F.col("raw"))).where("v IS NOT NULL")
+    known = cells.join(sent(chosen.select("table_id", "col").distinct()), ["table_id", "col"]).withColumn("v", cell_number(F.col("raw"))).where("v IS NOT NULL")
     extremes = known.groupBy("table_id", "col").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    extreme = chosen.join(extremes, ["table_id", "col"]).select("query_id", "operation", "table_id", F.col("name").alias("column"), F.when(F.col("operation") == "min", F.col("lo")).otherwise(F.col("hi")).cast("string").alias("value"), F.nullif("unit", F.lit("")).alias("unit"), F.lit(None).cast("int").alias("row"))
+    extreme = chosen.join(sent(extremes), ["table_id", "col"]).select("query_id", "operation", "table_id", F.col("name").alias("column"), F.when(F.col("operation") == "min", F.col("lo")).otherwise(F.col("hi")).cast("string").alias("value"), F.nullif("unit", F.lit("")).alias("unit"), F.lit(None).cast("int").alias("row"))
 
-    pairs = intervals_of(columns)
+    pairs = kept(intervals_of(columns))
     num = cells.withColumn("v", cell_number(F.col("raw")))
-    side = lambda c, to: pairs.select("table_id", "pair", F.col(c).alias("col")).join(num, ["table_id", "col"]).select("table_id", "pair", "row", F.col("v").alias(to))
-    all_rows = pairs.join(cells.select("table_id", "row").distinct(), "table_id").select("table_id", "pair", "row", "open_low")
+    side = lambda c, to: num.join(sent(pairs.select("table_id", "pair", F.col(c).alias("col"))), ["table_id", "col"]).select("table_id", "pair", "row", F.col("v").alias(to))
+    all_rows = cells.select("table_id", "row").distinct().join(sent(pairs), "table_id").select("table_id", "pair", "row", "open_low")
     spans = all_rows.join(unsent(side("low_col", "low")), ["table_id", "pair", "row"], "left").join(unsent(side("high_col", "high")), ["table_id", "pair", "row"], "left")
-    named = cells.join(cc.withColumnRenamed("class_col", "col"), ["table_id", "col"]).select("table_id", "row", F.lower(F.trim(F.coalesce("raw", F.lit("")))).alias("key"))
+    named = cells.join(sent(cc.withColumnRenamed("class_col", "col")), ["table_id", "col"]).select("table_id", "row", F.lower(F.trim(F.coalesce("raw", F.lit("")))).alias("key"))
     # Each row under its own class, and under no class in particular.
     keyed = spans.join(unsent(named), ["table_id", "row"]).unionByName(spans.withColumn("key", F.lit("*")))
-    keyed = keyed.withColumn("row_index", F.col("row")).withColumnRenamed("row", "found")
-    looked = q.where("operation = 'lookup'").join(pairs.where("unit <> ''"), "table_id").join(cc, "table_id", "left")
+    keyed = kept(keyed.withColumn("row_index", F.col("row")).withColumnRenamed("row", "found"))
+    looked = q.where("operation = 'lookup'").join(sent(pairs.where("unit <> ''")), "table_id").join(sent(cc), "table_id", "left")
     pattern = F.concat(F.lit(rf"(?i)({NUMBER})\s*\Q"), F.col("unit"), F.lit(r"\E\b"))
     looked = looked.withColumn("stated", cell_number(F.nullif(F.call_function("regexp_extract", F.col("text"), pattern, F.lit(1)), F.lit("")))).where("stated IS NOT NULL")
     looked = looked.withColumn("key", F.when(F.col("class").isNotNull() & F.col("class_col").isNotNull(), F.col("class")).otherwise("*"))
-    hit = ranges.first_interval(looked.drop("open_low"), "stated", keyed, ["found"], ["table_id", "pair", "key"]).where("found IS NOT NULL")
+    hit = kept(ranges.first_interval(looked.drop("open_low"), "stated", keyed, ["found"], ["table_id", "pair", "key"]).where("found IS NOT NULL"))
     first = hit.groupBy("query_id").agg(F.min("pair").alias("pair"))
     hit = hit.join(unsent(first), ["query_id", "pair"]).join(unsent(of_class), "query_id", "left")
     used = F.when(F.col("key") != "*", F.col("class_col"))
-    rest = hit.select("query_id", "table_id", "low_col", "high_col", used.alias("used")).join(numeric, "table_id").where("col <> low_col AND col <> high_col AND NOT (col <=> used)")
+    rest = hit.select("query_id", "table_id", "low_col", "high_col", used.alias("used")).join(sent(numeric), "table_id").where("col <> low_col AND col <> high_col AND NOT (col <=> used)")
     only = rest.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("col", "name", F.col("unit").alias("u"))).alias("x")).where("n = 1").select("query_id", F.col("x.col").alias("one"), F.col("x.name").alias("one_name"), F.col("x.u").alias("one_unit"))
     hit = hit.join(unsent(only), "query_id", "left").withColumns({
         "col": F.coalesce("class_as_col", "one"), "column": F.coalesce("class_as_name", "one_name"), "_unit": F.when(F.col("class_as_col").isNotNull(), F.col("class_as_unit")).otherwise(F.col("one_unit")),

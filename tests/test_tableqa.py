@@ -41,3 +41,21 @@ def test_answers(spark):
     candidates = spark.createDataFrame([(i, t, p) for i, (_, ts, _) in enumerate(CASES) for p, t in enumerate(ts)], "query_id int, table_id string, place int")
     got = {r["query_id"]: (r["operation"], r["table_id"], r["column"], r["value"], r["unit"], r["row"]) for r in tableqa.answer(asked, candidates, tables, columns, cells).collect()}
     assert {i: got.get(i) for i in range(len(CASES))} == {i: want for i, (*_, want) in enumerate(CASES)}
+
+
+def test_no_cells_and_no_questions_are_sent_to_every_task(spark):
+    """Only what tables and columns bound is; Spark takes cells and questions for as small as the files they came from."""
+    from clauseq import lookups
+
+    lines = lookups.table_answers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    sent = 0
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            sent += 1
+            for part in lines[i:end]:
+                if "HashAggregate" in part:
+                    break
+                assert "explode(array(struct(col, 0, raw" not in part and "FileScan parquet [query_id" not in part
+    assert sent and len(lines) < 1000
