@@ -270,7 +270,18 @@ def typed_pin(pool: DataFrame, hits: DataFrame, clauses: DataFrame, families: li
     unit counts the question's words that it has, a bonus where its block is asked for
     or it stands in the clause of the first hit in prose, and the share of filled cells.
     Without a hard scope a unit that is no table needs three of the words. `clauses` is
-    the lane of clause passages. The three are put together once by query; all else are windows over a query's rows.
+    the lane of clause passages. The three are put together once by query, see pin_among.
+    """
+    more = [c for c in ("block", "asked", "family", "title", "text") if c not in pool.columns]
+    of = lambda df, k: df.select(*pool.columns, *(F.col(c) if c in df.columns else F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in more), *(F.lit(k == n).alias(n) for n in ("in_pool", "in_hits", "in_clauses")))
+    rows = of(pool, "in_pool").unionByName(of(hits, "in_hits")).unionByName(of(clauses, "in_clauses")).repartition("query_id")
+    return pin_among(rows, families, hard, keep).select(*pool.columns)
+
+
+def pin_among(rows: DataFrame, families: list[str], hard: bool = True, keep: int = KEEP) -> DataFrame:
+    """The pool of typed_pin out of rows that hold pool, hits and clauses: in_pool, in_hits and in_clauses tell for which of them a row counts, one or several.
+
+    All windows are over a query's rows in no order, so that these are sorted by query once, or not at all where they are already.
     """
     low, bare = F.lower("asked"), F.coalesce("unit_id", F.lit("")) == ""
     terms = F.filter(F.split(F.regexp_replace(low, r"[^\p{L}\p{N}\s]", " "), r"\s+"), lambda t: F.char_length(t) > 2)
@@ -278,30 +289,30 @@ def typed_pin(pool: DataFrame, hits: DataFrame, clauses: DataFrame, families: li
     cells = F.split(F.coalesce("text", F.lit("")), r"\|")
     filled = F.size(F.filter(cells, lambda c: F.trim(c) != "")) / F.size(cells)
     asks = reduce(lambda a, b: a | b, ((F.col("block") == name) & low.rlike(pattern) for name, pattern in ASKS_BLOCK.items()))
-    more = [c for c in ("block", "asked", "family", "title", "text") if c not in pool.columns]
-    of = lambda df, k: df.select(*pool.columns, *(F.col(c) if c in df.columns else F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in more), F.lit(k).alias("_from"))
-    rows = of(pool, 0).unionByName(of(hits, 1)).unionByName(of(clauses, 2)).repartition("query_id")
-    hit, sure = F.col("_from") == 1, lambda c: F.coalesce(c, F.lit(False))
+    hit, sure = F.col("in_hits"), lambda c: F.coalesce(c, F.lit(False))
     one = lambda c: F.max(c).over(per_query())
+    at = lambda x: sure((F.col("pos") == x["pos"]) & F.col("id").eqNullSafe(x["id"]))
     prose = F.min(F.when(hit & bare, F.struct("pos", F.coalesce("anchor", F.lit("")).alias("anchor")))).over(per_query())["anchor"]
     unit = sure(hit & ~bare & F.col("block").isNotNull() & F.col("family").isin(families))
     r = rows.withColumn("_near", (F.col("anchor") == prose) & (prose != "")).withColumns({"_n": F.when(unit, F.size(terms)), "_o": F.when(unit, F.size(F.filter(terms, lambda t: F.contains(hay, t))))})
     bonus = F.when(sure(asks), 2 * F.col("_n")).when(sure(F.col("_near")), F.col("_n")).otherwise(0)
-    r = r.withColumn("_s", F.when(unit, F.col("_o") + bonus + 2 * filled))
-    r = r.withColumn("_best", unit & (F.row_number().over(per_query().orderBy(F.desc(unit), F.desc_nulls_last("_s"), "pos")) == 1))
-    passes = F.col("_best") & (F.lit(hard) | (F.col("_o") >= GATE) | (F.col("block") == "table"))
-    r = r.withColumn("_b", one(F.when(sure(passes & F.col("query_id").isNotNull()), F.struct("id", "doc", "anchor"))))
-    r = r.withColumn("_new", sure(F.col("_b").isNotNull() & ~one(sure((F.col("_from") == 0) & (F.col("id") == F.col("_b.id"))))))
-    r = r.withColumn("_kept", (F.col("_from") == 0) & sure(~F.col("_new") | (F.col("pos") <= keep - 1)))
+    best = one(F.when(unit, F.struct((F.col("_o") + bonus + 2 * filled).alias("s"), (-F.col("pos")).alias("p"), "pos", "id", "doc", "anchor", F.col("_o").alias("o"), "block")))
+    r = r.withColumns({"_unit": unit, "_b": best})
+    passes = F.lit(hard) | (F.col("_b.o") >= GATE) | (F.col("_b.block") == "table")
+    r = r.withColumn("_b", F.when(sure(passes & F.col("query_id").isNotNull()), F.col("_b"))).drop("_near", "_n", "_o")
+    r = r.withColumn("_new", sure(F.col("_b").isNotNull() & ~one(sure(F.col("in_pool") & (F.col("id") == F.col("_b.id"))))))
+    r = r.withColumn("_kept", F.col("in_pool") & sure(~F.col("_new") | (F.col("pos") <= keep - 1)))
     there = sure((F.col("doc") == F.col("_b.doc")) & (F.col("anchor") == F.col("_b.anchor"))) & bare
-    seen = F.max("_kept").over(Window.partitionBy("query_id", "id")) | sure(F.col("id") == F.col("_b.id"))
-    r = r.withColumns({"_last": F.coalesce(one(F.when(F.col("_kept"), F.col("pos"))), F.lit(0)), "_bare": one(F.col("_kept") & there), "_seen": F.col("id").isNotNull() & seen})
-    r = r.withColumn("_clause", (F.col("_from") == 2) & F.col("_new") & sure(F.col("_b.anchor") != "") & there & ~F.col("_bare") & ~F.col("_seen"))
-    r = r.withColumn("_parent", F.col("_clause") & (F.row_number().over(per_query().orderBy(F.desc("_clause"), "pos")) == 1)).withColumn("_best", F.col("_best") & F.col("_new"))
+    ids = F.collect_list(F.when(F.col("_kept"), F.col("id"))).over(per_query())
+    r = r.withColumns({"_last": F.coalesce(one(F.when(F.col("_kept"), F.col("pos"))), F.lit(0)), "_bare": one(F.col("_kept") & there), "_ids": ids})
+    seen = sure(F.array_contains("_ids", F.col("id"))) | sure(F.col("id") == F.col("_b.id"))
+    r = r.withColumn("_clause", F.col("in_clauses") & F.col("_new") & sure(F.col("_b.anchor") != "") & there & ~F.col("_bare") & ~seen).drop("_ids")
+    r = r.withColumn("_parent", F.col("_clause") & at(F.min(F.when(F.col("_clause"), F.struct("pos", "id"))).over(per_query())))
+    r = r.withColumn("_best", F.col("_unit") & F.col("_new") & at(F.col("_b")))
     r = r.where(F.col("_kept") | F.col("_best") | F.col("_parent"))
     place = F.when(F.col("_kept"), F.col("pos")).when(F.col("_best"), F.col("_last") + 1).otherwise(F.col("_last") + 2)
     score = F.when(F.col("_parent"), F.col("score") * PARENT).otherwise(F.col("score"))
-    return r.withColumns({"pos": place.cast(pool.schema["pos"].dataType), "score": score}).select(*pool.columns)
+    return r.withColumns({"pos": place.cast(rows.schema["pos"].dataType), "score": score}).select(*(c for c in rows.columns if c not in ("in_pool", "in_hits", "in_clauses")))
 
 
 def section_descent(pool: DataFrame, clauses: DataFrame) -> DataFrame:

@@ -218,8 +218,8 @@ def typed_pin(spark: SparkSession, sf_dir: str) -> DataFrame:
         "unit_id": F.when(typed, F.col("id")), "text": F.concat(F.col("title"), F.lit(" | "), F.coalesce("standard_key", F.lit(""))),
         "block": F.when(F.col("corpus") == "c1", "table").when(F.col("corpus") == "c2", "figure"), "asked": F.lit("Which figure shows the red ring?"),
     })
-    few = h.where("pos <= 3").drop("block", "asked")
-    got = stages.run_stages(few, {"typed-pin": {"hits": h, "clauses": h.drop("block", "asked"), "families": ["0", "1"], "hard": False, "keep": 3}})
+    # Pool, hits and clauses are all of the same rows, which are made once.
+    got = stages.pin_among(h.withColumns({"in_pool": F.col("pos") <= 3, "in_hits": F.lit(True), "in_clauses": F.lit(True)}), ["0", "1"], False, 3)
     return got.select("query_id", "id", "pos", F.round("score", 6).alias("points"))
 
 

@@ -30,3 +30,14 @@ def test_a_pin_takes_the_last_seat_and_its_clause_follows(spark):
     }
     assert got.columns == pool.columns and got.schema["pos"].dataType == pool.schema["pos"].dataType
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # a query's rows are put together once
+
+
+def test_a_pin_reads_the_pool_once_and_sorts_it_once(spark):
+    from clauseq import retrieval
+
+    plan = retrieval.typed_pin(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("FileScan parquet [l_orderkey") == 1
+    hits = stages.as_pool(spark.createDataFrame([(1, 1, "a", "figure", 1.0, "which")], "query_id long, pos int, id string, block string, score double, asked string"))
+    bare = hits.drop("block", "asked")
+    plan = stages.typed_pin(bare, hits, bare, ["0"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
