@@ -146,3 +146,16 @@ def test_search_and_search_in_sets_from_one_scoring(spark, tmp_path, monkeypatch
         assert len(calls) == 1
         monkeypatch.undo()
         assert rows(near) == rows(index.search(asked, k)) and rows(within) == rows(index.search_sets(asked, numbers, sets, of_sets)) and within.count() > of_sets
+
+
+def test_postings_stay_where_they_are_made_and_pairs_are_not_shuffled(spark, tmp_path):
+    """A load writes a document's postings by the task that read it; a search moves hits once, by document."""
+    from pyspark.sql import functions as F
+
+    index = TextIndex(spark, f"{tmp_path}/near", slots=4)
+    index.upsert(spark.createDataFrame([(i, f"word{i} common measure{i % 7}") for i in range(60)], "doc_id long, text string").repartition(3, "doc_id"))
+    by = spark.read.parquet(f"{tmp_path}/near/postings/gen=1").withColumn("task", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1))
+    assert by.groupBy("doc_id").agg(F.count_distinct("task").alias("n")).where("n > 1").count() == 0 and by.count() == 180
+    asked = spark.createDataFrame([(1, "common word3"), (2, "measure2 load-cell")], "query_id long, text string")
+    plan = index.search(asked)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not any("hashpartitioning(query_id" in line and "doc_id" in line for line in plan.splitlines())
