@@ -50,9 +50,8 @@ def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     bands = part.select(F.col("p_partkey").alias("band"), F.col("p_brand").alias("kind"), (F.col("p_retailprice") * 50).alias("centre"), (10.0 * F.col("p_size")).alias("tolerance"))
     sold = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    lines = sold.select(F.col("p_brand").alias("kind"), F.col("l_extendedprice").alias("price")).distinct()
-    gap = F.round(F.min(F.abs(F.col("price") - F.col("centre"))), 6)
-    return ranges.within_bands(lines, "price", bands, ["kind"]).groupBy("kind", "price").agg(F.count(F.lit(1)).alias("n"), F.min("band").alias("band"), gap.alias("gap"))
+    lines = sold.select(F.col("p_brand").alias("kind"), F.col("l_extendedprice").alias("price"))
+    return ranges.band_totals(lines, "price", bands, ["kind"], "band").withColumn("gap", F.round("gap", 6))
 
 
 @query("""WITH e AS (SELECT o_orderkey % 500 AS set_id, o_orderpriority AS kind, avg(o_totalprice) AS centre, 60000.0 AS tolerance FROM orders GROUP BY ALL),

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from clauseq.plans.folders import kept
+
 #: Cuts of the axis at most, which are the only numbers that reach the driver, and intervals' ends for a cut.
 CUTS, ENDS = 4096, 16
 #: Of condition sets: entries that are sent to every task at most, pairs of a question and a set for a task, tasks at most.
@@ -180,6 +182,36 @@ def within_bands(rows: DataFrame, value: str, bands: DataFrame, by: list[str] =
     return all_intervals(rows, value, ends, by).drop("low", "high", "open_low")
 
 
+def band_totals(rows: DataFrame, value: str, bands: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Each pair of `by` and a value that a band of within_bands holds, once: n (how many do), the least `name` of these, and gap, the distance from their nearest centre.
+
+    No pair of a value and a band is made but where the band ends, or has its centre,
+    in the slot of the value, whose ends Axis bounds. The other bands over a slot
+    are counted down for the slot before the shuffle: of their centres only the last below it and the first
+    above it can be nearest. Work is values, and distinct bands times the slots that they span.
+    """
+    by, v, t = list(by), F.col(value).cast("double"), F.coalesce("tolerance", F.lit(0.0))
+    own = bands.where("centre IS NOT NULL").select(*by, F.col("centre").cast("double").alias("centre"), (F.col("centre") - t).cast("double").alias("low"), (F.col("centre") + t).cast("double").alias("high"), F.col(name).alias("_name"))
+    own = kept(own.where("low <= high").groupBy(*by, "centre", "low", "high").agg(F.count(F.lit(1)).alias("_n"), F.min("_name").alias("_name")).withColumn("open_low", F.lit(False)))
+    axis = Axis(own)
+    ends = own.agg(F.min("low").alias("low"), F.max("high").alias("high")).first()
+    # Not null, so that no filter for it looks for the slots of rows before they are made distinct.
+    slot = F.coalesce(axis.slot(F.col("_x")), F.lit(-1))
+    asked = rows.select(*by, v.alias("_x")).where(F.col("_x").between(*(F.lit(ends[c]).cast("double") for c in ("low", "high")))).distinct().withColumn("_slot", slot)
+    spans = _spans(own, axis).withColumn("_c", axis.slot(F.col("centre")))
+    inside = (F.col("_c") % 2 == 0) & F.col("_c").between(F.col("_from"), F.col("_upto"))
+    whole = spans.where("_from <= _upto").withColumn("_slot", F.explode(F.sequence("_from", "_upto"))).where("NOT (_slot = _c AND _c % 2 = 0)")
+    whole = whole.groupBy(*by, "_slot").agg(
+        F.sum("_n").alias("n"), F.min("_name").alias(name), F.max(F.when(F.col("_c") <= F.col("_slot"), F.col("centre"))).alias("_below"), F.min(F.when(F.col("_c") > F.col("_slot"), F.col("centre"))).alias("_above")
+    )
+    part = spans.withColumn("_slot", F.explode(F.array_union("_part", F.when(inside, F.array("_c")).otherwise(F.array().cast("array<int>")))))
+    # Spark takes the bands for as small as their file; they are not sent to every task.
+    over = asked.join(whole.hint("merge"), [*by, "_slot"]).select(*by, "_x", "n", name, F.least(F.col("_x") - F.col("_below"), F.col("_above") - F.col("_x")).alias("gap"))
+    near = asked.join(part.select(*by, "_slot", "low", "high", "centre", "_n", "_name").hint("merge"), [*by, "_slot"]).where("_x >= low AND _x <= high")
+    near = near.select(*by, "_x", F.col("_n").alias("n"), F.col("_name").alias(name), F.abs(F.col("_x") - F.col("centre")).alias("gap"))
+    return over.unionByName(near).groupBy(*by, F.col("_x").alias(value)).agg(F.sum("n").alias("n"), F.min(name).alias(name), F.min("gap").alias("gap"))
+
+
 def admitted_sets(stated: DataFrame, entries: DataFrame) -> DataFrame:
     """question, set_id, admitted: the condition sets that name a stated quantity, and whether they admit every one they name.
 

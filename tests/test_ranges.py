@@ -110,3 +110,33 @@ def test_first_intervals_are_looked_up_in_sections_not_in_lists(spark):
     for i, _, v in values:
         fit = min(((e[1], e[5]) for e in ends if holds(v, e[2], e[3], e[4])), default=None)
         assert found[i] == (fit and fit[1])
+
+
+def test_totals_of_bands_as_counted_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "ENDS", 2)
+    for cuts in (1, 7, 4096):
+        monkeypatch.setattr(ranges, "CUTS", cuts)
+        rng = random.Random(cuts)
+        bands = [(i, rng.choice("ab"), rng.choice([None, *(x / 4 for x in range(-40, 160))]), rng.choice([None, 0.0, 0.25, 1.0, 3.5, 20.0, -1.0])) for i in range(90)]
+        bands += [(100 + i, *bands[i % 7][1:]) for i in range(40)] + [(999, None, 5.0, 100.0)]
+        rows = [(rng.choice("abc"), rng.choice([None, rng.randint(-80, 300) / 8])) for _ in range(400)] + [("a", 10.0)] * 3 + [(None, 5.0)]
+        want = {}
+        for kind, x in rows:
+            held = [(i, c) for i, k, c, t in bands if kind and x is not None and k == kind and c is not None and c - (t or 0.0) <= x <= c + (t or 0.0)]
+            if held:
+                want[kind, x] = (len(held), min(i for i, _ in held), min(abs(x - c) for _, c in held))
+        got = ranges.band_totals(spark.createDataFrame(rows, "kind string, x double"), "x", spark.createDataFrame(bands, "band long, kind string, centre double, tolerance double"), ["kind"], "band").collect()
+        assert len(got) == len(want) > 50 and {(r["kind"], r["x"]): (r["n"], r["band"], r["gap"]) for r in got} == want
+    none = spark.createDataFrame([], "band long, kind string, centre double, tolerance double")
+    assert ranges.band_totals(spark.createDataFrame(rows, "kind string, x double"), "x", none, ["kind"], "band").count() == 0
+
+
+def test_bands_over_a_slot_are_counted_down_before_the_shuffle(spark):
+    from clauseq import lookups
+
+    lines = lookups.band_join(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    spread = [i for i, line in enumerate(lines) if "explode(sequence" in line]
+    assert spread
+    for i in spread:
+        above = next(j for j in range(i, -1, -1) if "Exchange" in lines[j])
+        assert any("HashAggregate" in line for line in lines[above:i])
