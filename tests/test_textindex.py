@@ -159,3 +159,14 @@ def test_postings_stay_where_they_are_made_and_pairs_are_not_shuffled(spark, tmp
     asked = spark.createDataFrame([(1, "common word3"), (2, "measure2 load-cell")], "query_id long, text string")
     plan = index.search(asked)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan and not any("hashpartitioning(query_id" in line and "doc_id" in line for line in plan.splitlines())
+
+
+def test_a_batch_is_taken_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    from clauseq.operators import textindex
+
+    monkeypatch.setattr(textindex, "PIECE", 10)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "text": ["abcd", "efgh", None, "i" * 50, "", "jk", "lmnopqrst"]})
+    got = [p.column("doc_id").to_pylist() for p in textindex.pieces(batch)]
+    assert sum(got, []) == list(range(7)) and len(got) > 2 and [p.num_rows for p in textindex.pieces(batch.slice(0, 0))] == []
